@@ -8,3 +8,83 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY norm)
 """
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS key
+  FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS w
+  FROM d GROUP BY source),
+lev AS (
+  SELECT *, 2 * source_size AS cap,
+         (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(2 * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per WINDOW r AS (ORDER BY CAST(2 * source_size AS DOUBLE) / w, source NULLS LAST)),
+tgt AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * max(level) OVER ()) AS target FROM lev),
+q AS (
+  SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum,
+         row_number() OVER () AS rid
+  FROM d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT rid, size, source, key, doc_id, lap, CAST(cum + (lap - 1) * source_size AS DOUBLE) / target AS f
+  FROM q, (VALUES (1), (2)) v(lap) WHERE size > 0 AND target > 0),
+run AS (
+  SELECT rid, size, sum(size) OVER (ORDER BY f, source IS NULL, source, key, doc_id, lap ROWS UNBOUNDED PRECEDING) AS c FROM e),
+took AS (SELECT rid, CAST(sum(size) AS BIGINT) AS taken FROM run WHERE c <= (SELECT sum(target) FROM tgt) GROUP BY rid)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken
+FROM q LEFT JOIN took USING (rid)
+"""
+
+_SHAPE = ", ".join(f"coalesce(seg[{i + 1}], '') AS s{i}" for i in range(3))
+_FAN = "".join(
+    f""",
+g{i} AS (
+  SELECT *, CASE WHEN count(DISTINCT s{i}) OVER (PARTITION BY host{"".join(f", t{k}" for k in range(i))}) > 32 THEN '*' ELSE s{i} END AS t{i}
+  FROM {"tree" if i == 0 else f"g{i - 1}"})"""
+    for i in range(3)
+)
+
+
+def _merge(i: int) -> str:
+    m = [f"m{k}" for k in range(3)]
+    rest = ", ".join(["host", *[x for x in m if x != f"m{i}"], "more"])
+    new = ", ".join(f"CASE WHEN labelled >= 2 AND m{i} <> '' AND (nn = 0 OR (bn * ns - nn * bs) * (bn * ns - nn * bs) <= 3.841459::DOUBLE * nn * bs * (ns - bs)) THEN '*' ELSE m{i} END AS m{i}" if k == i else f"m{k}" for k in range(3))
+    return f""",
+a{i} AS (SELECT *, CAST(sum(b) OVER (PARTITION BY host, {", ".join(m)}, more) AS DOUBLE) AS bn,
+                CAST(sum(n) OVER (PARTITION BY host, {", ".join(m)}, more) AS DOUBLE) AS nn FROM {"m" if i == 0 else f"c{i - 1}"}),
+b{i} AS (SELECT *, CAST(sum(b) OVER (PARTITION BY {rest}) AS DOUBLE) AS bs, CAST(sum(n) OVER (PARTITION BY {rest}) AS DOUBLE) AS ns,
+                count(DISTINCT CASE WHEN nn > 0 THEN m{i} END) OVER (PARTITION BY {rest}) AS labelled FROM a{i}),
+c{i} AS (SELECT host, t0, t1, t2, more, b, n, {new} FROM b{i})"""
+
+
+_FITS = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '/{p}')"
+
+OP8 = rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE WHEN {_FITS("example.com", "en/7")} THEN 'example.com/en/7' WHEN {_FITS("example.net", "de/8")} THEN 'example.net/de/8'
+                 WHEN {_FITS("com", "en/")} THEN 'com/en/' WHEN {_FITS("net", "de/")} THEN 'net/de/' WHEN {_FITS("org", "es/")} THEN 'org/es/' END AS rule
+  FROM u),
+j AS (
+  SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+         string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS seg
+  FROM r),
+s AS (SELECT page_id, host, path, rule, ruled, {_SHAPE}, CASE WHEN len(seg) > 3 THEN '...' ELSE '' END AS more FROM j),
+tree AS (SELECT host, s0, s1, s2, more, count(*) FILTER (ruled = 'block') AS b, count(ruled) AS n FROM s GROUP BY ALL){_FAN},
+m AS (SELECT host, t0, t1, t2, more, sum(b) AS b, sum(n) AS n, t0 AS m0, t1 AS m1, t2 AS m2 FROM g2 GROUP BY ALL){_merge(0)}{_merge(1)}{_merge(2)},
+v AS (
+  SELECT host, t0, t1, t2, more,
+         CASE WHEN (sum(b) OVER k + 1) * 100 >= (sum(n) OVER k + 2) * 90 THEN 'block' ELSE 'allow' END AS learnt,
+         '/' || array_to_string(list_filter([m0, m1, m2, more], lambda x: x <> ''), '/') AS template
+  FROM c2 WINDOW k AS (PARTITION BY host, m0, m1, m2, more)),
+leaves AS (SELECT g2.host, s0, s1, s2, g2.more, learnt, template FROM g2 JOIN v USING (host, t0, t1, t2, more))
+SELECT page_id, host, path, rule, coalesce(ruled, learnt) AS verdict, template
+FROM s JOIN leaves USING (host, s0, s1, s2, more)
+"""

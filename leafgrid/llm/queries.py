@@ -5,6 +5,8 @@ from __future__ import annotations
 from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
+from leafgrid.llm.mixing import mix
+from leafgrid.llm.url_filter import judge_urls
 from leafgrid.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -13,3 +15,13 @@ REGISTRY = Registry()
 @REGISTRY.query("op5_exact_dedup", oracles.OP5)
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
+
+
+@REGISTRY.query("op8_url_filter", oracles.OP8)
+def op8_url_filter(spark, sf_dir):
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+@REGISTRY.query("op9_mixing", oracles.OP9)
+def op9_mixing(spark, sf_dir):
+    return mix(read(spark, sf_dir, "documents"))
