@@ -6,6 +6,7 @@ from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.mixing import mix
+from leafgrid.llm.secrets import scan_secrets, secret_digest
 from leafgrid.llm.url_filter import judge_urls
 from leafgrid.plans.registry import Registry
 
@@ -17,6 +18,11 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
 
+@REGISTRY.query("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    return secret_digest(scan_secrets(read(spark, sf_dir, "documents")))
+
+
 @REGISTRY.query("op8_url_filter", oracles.OP8)
 def op8_url_filter(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"))
