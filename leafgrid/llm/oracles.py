@@ -88,3 +88,15 @@ leaves AS (SELECT g2.host, s0, s1, s2, g2.more, learnt, template FROM g2 JOIN v
 SELECT page_id, host, path, rule, coalesce(ruled, learnt) AS verdict, template
 FROM s JOIN leaves USING (host, s0, s1, s2, more)
 """
+
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM c)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

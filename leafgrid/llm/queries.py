@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.mixing import mix
 from leafgrid.llm.secrets import scan_secrets, secret_digest
+from leafgrid.llm.topk import top_k
 from leafgrid.llm.url_filter import judge_urls
 from leafgrid.plans.registry import Registry
 
@@ -18,6 +21,11 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
 
+@REGISTRY.query("op6_top_k", oracles.OP6)
+def op6_top_k(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @REGISTRY.query("op7_secret_scan")
 def op7_secret_scan(spark, sf_dir):
     return secret_digest(scan_secrets(read(spark, sf_dir, "documents")))
