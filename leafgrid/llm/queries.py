@@ -9,6 +9,7 @@ from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.mixing import mix
 from leafgrid.llm.secrets import scan_secrets, secret_digest
+from leafgrid.llm.simhash import near_components
 from leafgrid.llm.topk import top_k
 from leafgrid.llm.url_filter import judge_urls
 from leafgrid.plans.registry import Registry
@@ -16,6 +17,11 @@ from leafgrid.plans.registry import Registry
 REGISTRY = Registry()
 
 
+@REGISTRY.query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark, sf_dir):
+    return near_components(read(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op5_exact_dedup", oracles.OP5)
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
