@@ -8,6 +8,7 @@ from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.mixing import mix
+from leafgrid.llm.packing import pack
 from leafgrid.llm.secrets import scan_secrets, secret_digest
 from leafgrid.llm.simhash import near_components
 from leafgrid.llm.topk import top_k
@@ -45,3 +46,8 @@ def op8_url_filter(spark, sf_dir):
 @REGISTRY.query("op9_mixing", oracles.OP9)
 def op9_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"))
