@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
+from leafgrid.llm.language_id import identify
 from leafgrid.llm.mixing import mix
 from leafgrid.llm.packing import pack
+from leafgrid.llm.quality import score_quality
 from leafgrid.llm.secrets import scan_secrets, secret_digest
 from leafgrid.llm.simhash import near_components
 from leafgrid.llm.topk import top_k
@@ -23,6 +25,16 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return near_components(read(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    return identify(read(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @REGISTRY.query("op5_exact_dedup", oracles.OP5)
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
