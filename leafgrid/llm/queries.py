@@ -8,6 +8,7 @@ from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.language_id import identify
+from leafgrid.llm.licenses import scan_licenses
 from leafgrid.llm.mixing import mix
 from leafgrid.llm.packing import pack
 from leafgrid.llm.quality import score_quality
@@ -25,6 +26,11 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return near_components(read(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op3_language_id")
 def op3_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
