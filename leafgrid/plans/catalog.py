@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from leafgrid.plans import evaluation
 from leafgrid.plans.registry import Registry
 
 REGISTRY = Registry()
+for part in (evaluation,):
+    for name, query in part.REGISTRY.queries.items():
+        REGISTRY.add(name, query, part.REGISTRY.oracles.get(name))
