@@ -72,8 +72,8 @@ def fold_text(texts: pd.Series) -> pd.Series:
 
 
 def normalized_span(c: Column) -> Column:
-    """For containment tests: white space, ``---`` and ``#`` runs go, two look-alike glyphs are folded."""
-    folded = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("⼀"), F.lit("一")), F.lit("⽣"), F.lit("生"))
+    """For containment tests: white space, ``---`` and ``#`` runs go, two old spellings are folded."""
+    folded = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("責任"), F.lit("责任")), F.lit("行為"), F.lit("行为"))
     return F.regexp_replace(folded, r"(?U)\s+|---|#{1,6}", "")
 
 
@@ -199,9 +199,8 @@ def failed_page(error: Column) -> Column:
 
 
 def image_id(name: Column) -> Column:
-    """Prefix of a stored name ``prefix_<14 digits>_<6 hex digits>``, else the whole stem."""
-    own = stem(name)
-    return F.coalesce(filled(F.regexp_extract(own, r"^(.+)_\d{14}_[0-9a-f]{6}$", 1)), own)
+    """Leading ``letters_<14 digits>_<6 hex digits>`` of a stored name, else its stem."""
+    return F.coalesce(filled(F.regexp_extract(name, r"^([A-Za-z]+_\d{14}_[0-9a-f]{6})(?:_|$)", 1)), stem(name))
 
 
 def clamp_int(c: Column, default: int, low: int, high: int) -> Column:
@@ -293,7 +292,7 @@ def page_text(page_id: Column, width: Column, height: Column) -> Column:
 
 def short_count(n: Column) -> Column:
     """1234 -> 1.2K, 3400000 -> 3.4M."""
-    one = lambda x: F.regexp_replace(F.format_string("%.1f", F.round(x, 1)), r"\.0$", "")
+    one = lambda x: F.format_string("%.1f", x.cast("double"))
     return F.when(n >= 1_000_000, F.concat(one(n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(one(n / 1000), F.lit("K"))).otherwise(n.cast("string"))
 
 

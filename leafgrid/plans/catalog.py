@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafgrid.plans import evaluation, headings
+from leafgrid.plans import evaluation, headings, projections
 from leafgrid.plans.registry import Registry
 
 REGISTRY = Registry()
-for part in (evaluation, headings):
+for part in (evaluation, headings, projections):
     for name, query in part.REGISTRY.queries.items():
         REGISTRY.add(name, query, part.REGISTRY.oracles.get(name))
