@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from leafgrid.llm.common import ascii_lower, checkpointed
 
+#: Tasks that share the texts of one hash.
+SALTS = 32
+
 
 def _normal(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
@@ -50,12 +53,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("n > 1")
     )
     classes = checkpointed(classes)
-    # Only texts whose hash occurs more than once travel; the shuffle key is the hash, the group key the bytes.
-    repeated = classes.select("h").distinct()
+    # Only texts whose hash occurs more than once are compared. The join is salted, so that a hot group's texts meet in
+    # many tasks, each of which passes on one copy to the aggregate whose group key is the bytes.
+    repeated = classes.select("h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SALTS)).cast("int")
     compared = (
-        docs.select(_normal(F.col(text_col)).alias("norm"))
+        docs.select(_normal(F.col(text_col)).alias("norm"), salt.alias("salt"))
         .withColumn("h", F.unhex(F.md5("norm")))
-        .join(repeated, "h", "left_semi")
+        .join(repeated, ["h", "salt"], "left_semi")
         .groupBy("h", "norm")
         .agg(F.lit(1).alias("one"))
         .groupBy("h", F.sha2("norm", 256).alias("text_sha256"))
