@@ -13,7 +13,8 @@ block, and every partition sends back at most k rows a query, which are merged p
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, neither as
 queries nor as candidates; shorter vectors count as padded with zeros; a query's own id never is its answer;
-ties go to the smaller id; repeated rows answer once each; an empty table gives an empty result; extra columns
+ties go to the smaller id; a repeated candidate row is a candidate each time, a repeated query id is asked once, with its
+least vector; an empty table gives an empty result; extra columns
 are ignored. Components must stay below 2**31 after scaling; sums are 64-bit.
 """
 
@@ -32,6 +33,8 @@ SCALE, K = 64, 20
 BLOCK, QUERY_BLOCK = 256, 8192
 #: Rows of one partition of candidates: bounds a task's memory.
 PARTITION_ROWS = 65536
+#: Stands for no score; its negative is a valid number too.
+NONE = -(2**62)
 _OUT = "query_id long, vec_id long, score long"
 
 
@@ -71,8 +74,7 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
     bounds = _dot(positive, highest) + _dot(negative, lowest)
     order = np.argsort(-bounds, axis=1, kind="stable")
     n = len(queries)
-    none = np.iinfo(np.int64).min
-    best_s, best_i = np.full((n, k), none), np.full((n, k), np.iinfo(np.int64).max)
+    best_s, best_i = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max)
     live, scored = np.arange(n), 0
     for turn in range(len(starts)):
         at = order[live, turn]
@@ -87,7 +89,7 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
             own, vectors = ids[b * block : (b + 1) * block], rows[b * block : (b + 1) * block]
             s = _dot(queries[q], vectors)
             self_row = query_ids[q][:, None] == own[None, :]
-            s = np.concatenate([best_s[q], np.where(self_row, none, s)], axis=1)
+            s = np.concatenate([best_s[q], np.where(self_row, NONE, s)], axis=1)
             i = np.concatenate([best_i[q], np.where(self_row, np.iinfo(np.int64).max, own[None, :])], axis=1)
             if s.shape[1] > 4 * k:  # a row below the k-th score can't be among the first k; ties are kept for the exact order
                 kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
@@ -112,11 +114,11 @@ def top_k(vectors: DataFrame, query: Column, id_col: str = "vec_id", vec_col: st
     parts = max(1, min(-(-rows // PARTITION_ROWS), 100_000))
     parts = max(parts, min(spark.sparkContext.defaultParallelism, -(-rows // (4 * block))))
     ranges = usable.repartitionByRange(parts, "id").sortWithinPartitions("id")
-    asked = checkpointed(asked.select("id", "v"))
+    asked = checkpointed(asked.groupBy("id").agg(F.min("v").alias("v")))
     cuts = asked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     n_blocks = max(1, -(-cuts // query_block))
     if n_blocks > 1:
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(2 * n_blocks)))
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(2 * n_blocks)))
         turns = [asked.where(F.col("part") == p).drop("part") for p in range(2 * n_blocks)]
         ranges = checkpointed(ranges)
     else:
@@ -142,7 +144,7 @@ def top_k(vectors: DataFrame, query: Column, id_col: str = "vec_id", vec_col: st
             for at in range(0, len(query_ids), 1024):
                 part = slice(at, at + 1024)
                 s, i, _ = search_blocks(query_ids[part], queries[part], own, matrix, k, block)
-                some = s > np.iinfo(np.int64).min
+                some = s > NONE
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.broadcast_to(query_ids[part][:, None], s.shape)[some]), pa.array(i[some]), pa.array(s[some])],
                     names=["query_id", "vec_id", "score"],
