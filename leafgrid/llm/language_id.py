@@ -186,12 +186,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
+    model = learn(docs, id_col, text_col, lang_col)
+    # Plain arrays: workers need not import this module to read them.
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.symbol, model.size, model.state, model.bits))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*shared.value) if shared.value else None
         for b in batches:
-            langs, scores = classify(shared.value, b["text"])
+            langs, scores = classify(known, b["text"])
             yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(langs, pa.string()), pa.array(scores)], names=["id", "held_out", "lang_pred", "score"])
 
     plain = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))

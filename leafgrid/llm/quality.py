@@ -144,7 +144,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The input's rows and columns plus ``score`` and ``predicted``, which replace columns of those names."""
     model = learn(docs, labels, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: workers need not import this module to read them.
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.mean, model.scale, model.weight, model.shift))
 
     @F.pandas_udf("double")
     def score(texts):
@@ -152,7 +153,7 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
         if shared.value is None:
             return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(shared.value.scores(features([t.encode("utf-8", "surrogatepass") for t in texts])))
+        return pd.Series(Model(*shared.value).scores(features([t.encode("utf-8", "surrogatepass") for t in texts])))
 
     out = docs.withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
