@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: keeps nested expressions from growing exponentially."""
+    return F.transform(F.array(value), use)[0]
 
 
 @dataclass(frozen=True)
@@ -134,26 +138,37 @@ def rescaled(b: Box, content: Box, width: Column, height: Column) -> Column:
 
 def union_area(boxes: Column) -> Column:
     """Area of the union of an array of box structs: slabs between successive x, merged intervals of y in each."""
-    xs = F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b["x1"], b["x2"])))))
-    slabs = F.zip_with(F.slice(xs, F.lit(1), F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
+    return let(boxes, _union_area)
+
 
-    def height(slab: Column) -> Column:
-        spans = F.array_sort(F.transform(F.filter(boxes, lambda b: (b["x1"] < slab["r"]) & (b["x2"] > slab["l"])), lambda b: F.struct(b["y1"].alias("t"), b["y2"].alias("b"))))
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("end"))
+def _union_area(boxes: Column) -> Column:
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("end"))
 
-        def step(acc: Column, s: Column) -> Column:
-            new = F.when(acc["end"].isNull() | (s["t"] >= acc["end"]), s["b"] - s["t"]).otherwise(F.greatest(s["b"] - acc["end"], F.lit(0.0)))
-            return F.struct((acc["sum"] + new).alias("sum"), F.greatest(F.coalesce(acc["end"], s["b"]), s["b"]).alias("end"))
+    def step(acc: Column, s: Column) -> Column:
+        new = F.when(acc["end"].isNull() | (s["t"] >= acc["end"]), s["b"] - s["t"]).otherwise(F.greatest(s["b"] - acc["end"], F.lit(0.0)))
+        return F.struct((acc["sum"] + new).alias("sum"), F.greatest(F.coalesce(acc["end"], s["b"]), s["b"]).alias("end"))
 
+    def height(left: Column, right: Column) -> Column:
+        inside = F.filter(boxes, lambda b: (b["x1"] < right) & (b["x2"] > left))
+        spans = F.array_sort(F.transform(inside, lambda b: F.struct(b["y1"].alias("t"), b["y2"].alias("b"))))
         return F.aggregate(spans, start, step)["sum"]
 
-    return F.aggregate(slabs, F.lit(0.0), lambda acc, s: acc + (s["r"] - s["l"]) * height(s))
+    def over(xs: Column) -> Column:
+        n = F.greatest(F.size(xs) - 1, F.lit(0))
+        slabs = F.zip_with(F.slice(xs, F.lit(1), n), F.slice(xs, F.lit(2), n), lambda a, b: (b - a) * height(a, b))
+        return F.aggregate(slabs, F.lit(0.0), lambda acc, s: acc + s)
+
+    return let(F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b["x1"], b["x2"]))))), over)
 
 
 def group_coverage(b: Box, others: Column) -> Column:
     """Share of b that an array of box structs covers together."""
-    common = F.filter(F.transform(others, lambda o: overlap_box(b, Box.of(o))), lambda o: o.isNotNull())
-    return ratio(union_area(common), area(b))
+    def covered(s: Column) -> Column:
+        own = Box.of(s)
+        common = F.filter(F.transform(others, lambda o: overlap_box(own, Box.of(o))), lambda o: o.isNotNull())
+        return ratio(union_area(common), area(own))
+
+    return let(b.struct(), covered)
 
 
 def max_pair_overlap(boxes: Column) -> Column:

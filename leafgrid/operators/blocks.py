@@ -60,12 +60,12 @@ def normalized_page_blocks(payloads: DataFrame) -> DataFrame:
     rows = rows.withColumns({"px": F.when(F.size("b.bbox") == 4, by_pixel), "gr": F.when(F.size("b.bbox") == 4, by_grid)})
     pixel = F.col("mode") == "pixel"
     rows = rows.withColumns({
-        "bbox_1000": F.when(pixel, F.when(F.col("px").isNotNull(), G.grid_of_pixels(G.Box.of(F.col("px")), *size))).otherwise(F.col("gr")),
-        "model_bbox": F.when(pixel, F.col("px")).otherwise(F.when(F.col("gr").isNotNull(), G.pixels_of_1000(G.Box.of(F.col("gr")), *size))),
+        "bbox_1000": F.when(pixel, G.let(F.col("px"), lambda x: F.when(x.isNotNull(), G.grid_of_pixels(G.Box.of(x), *size)))).otherwise(F.col("gr")),
+        "model_bbox": F.when(pixel, F.col("px")).otherwise(G.let(F.col("gr"), lambda x: F.when(x.isNotNull(), G.pixels_of_1000(G.Box.of(x), *size)))),
     }).where("bbox_1000 is not null and model_bbox is not null")
     number = F.row_number().over(Window.partitionBy("doc", "page_id").orderBy("pos")) - 1
     content = G.Box(F.lit(0), F.lit(0), *size)
-    bbox = G.rescaled(G.Box.of(F.col("model_bbox")), content, F.col("page_width"), F.col("page_height"))
+    bbox = G.let(F.col("model_bbox"), lambda m: G.rescaled(G.Box.of(m), content, F.col("page_width"), F.col("page_height")))
     return rows.select(
         "doc", "page_id", F.format_string("p%03d_b%03d", F.col("page_id"), number).alias("id"), F.col("kind").alias("block_type"), F.coalesce("b.text", F.lit("")).alias("text"),
         bbox.alias("bbox"), "bbox_1000", "model_bbox", described(F.col("kind"), F.col("b.description")).alias("description"),
@@ -132,18 +132,22 @@ def truth_box(box: Column, width: Column, height: Column) -> Column:
 
 def export_box(b: Column, width: Column, height: Column, model_width: Column, model_height: Column, content: Column, on_model_page: Column) -> Column:
     """Grid box of an export: the block's own grid box, else its pixel box on the page's or the padded model page's grid."""
-    own = G.clamped_1000(G.Box.at(b["bbox_1000"]))
-    plain = G.clamped_1000(G.Box.at(b["bbox"]))
     sized = (F.coalesce(width, F.lit(0)) > 0) & (F.coalesce(height, F.lit(0)) > 0)
-    px = G.Box.of(G.clamped(G.Box.at(b["bbox"]), width, height))
-    on_page = G.clamped_1000(px.map(lambda c: c / width * 1000, lambda c: c / height * 1000))
     modelled = on_model_page & (F.coalesce(model_width, F.lit(0)) > 0) & (F.coalesce(model_height, F.lit(0)) > 0)
-    c = G.Box.at(F.when(F.size(content) == 4, F.transform(content, lambda v: v.cast("double"))).otherwise(F.array(F.lit(0.0), F.lit(0.0), model_width.cast("double"), model_height.cast("double"))))
-    cw, ch = F.greatest(c.x2 - c.x1, F.lit(1.0)), F.greatest(c.y2 - c.y1, F.lit(1.0))
-    padded = px.map(lambda v: (c.x1 + v / width * cw) / model_width * 1000, lambda v: (c.y1 + v / height * ch) / model_height * 1000)
-    box = F.when(~sized, plain).otherwise(F.when(modelled, G.clamped_1000(padded)).otherwise(on_page))
-    got = F.coalesce(own, box)
-    return F.when(got.isNotNull(), G.Box.of(got).array()).otherwise(unit_box())
+    whole = F.array(F.lit(0.0), F.lit(0.0), model_width.cast("double"), model_height.cast("double"))
+    padding = G.Box.at(F.when(F.size(content) == 4, F.transform(content, lambda v: v.cast("double"))).otherwise(whole)).struct()
+
+    def scaled(px: Column, pad: Column) -> Column:
+        p, c = G.Box.of(px), G.Box.of(pad)
+        cw, ch = F.greatest(c.x2 - c.x1, F.lit(1.0)), F.greatest(c.y2 - c.y1, F.lit(1.0))
+        on_page = p.map(lambda v: v / width * 1000, lambda v: v / height * 1000).struct()
+        padded = p.map(lambda v: (c.x1 + v / width * cw) / model_width * 1000, lambda v: (c.y1 + v / height * ch) / model_height * 1000).struct()
+        return G.let(F.when(modelled, padded).otherwise(on_page), lambda s: G.clamped_1000(G.Box.of(s)))
+
+    on_grid = G.let(G.clamped(G.Box.at(b["bbox"]), width, height), lambda px: G.let(padding, lambda pad: scaled(px, pad)))
+    box = F.when(sized, on_grid).otherwise(G.clamped_1000(G.Box.at(b["bbox"])))
+    got = F.coalesce(G.clamped_1000(G.Box.at(b["bbox_1000"])), box)
+    return G.let(got, lambda s: F.when(s.isNotNull(), G.Box.of(s).array()).otherwise(unit_box()))
 
 
 def segment(b: G.Box, width: Column, height: Column) -> Column:
