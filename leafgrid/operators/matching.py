@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.functions.geometry import Box, area, coverage, group_coverage, intersection, iou, max_pair_overlap, overlaps
+from leafgrid.functions.geometry import Box, area, coverage, group_coverage, intersection, iou, let, max_pair_overlap, overlaps
 
 #: Labels whose boxes are not held against each other.
 BBOX_EXEMPT, LABEL_ONLY = ("footer",), ("header",)
@@ -141,18 +141,28 @@ def equivalent_regions(gt: DataFrame, pred: DataFrame, keys: tuple[str, ...] = (
     found = regions(gt, pred, keys, excluded)
     joined = lambda side: F.array_join(F.transform(side, lambda b: F.coalesce(b["text"], F.lit(""))), "")
     found = found.withColumns({"gt_text": fold(joined("g")), "pred_text": fold(joined("p"))})
-    common = F.when((F.col("gt_text") == "") | (F.col("pred_text") == ""), 0).otherwise(shared_characters(F.col("gt_text"), F.col("pred_text")))
-    found = found.withColumns({"common": common, "single": (F.size("g") == 1) & (F.size("p") == 1)})
-    share = lambda text: F.coalesce(F.col("common") / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
     boxes = lambda side: F.transform(side, lambda b: Box.of(b).struct())
-    covered = lambda side, other: F.forall(side, lambda b: group_coverage(Box.of(b), boxes(other)) >= min_coverage)
-    by_text = (share("gt_text") >= min_coverage) & (share("pred_text") >= min_coverage)
-    one_to_one = F.col("single") & (share("gt_text") >= 0.9)
-    by_box = (
-        ~F.col("single") & (max_pair_overlap(boxes("g")) <= 0.5) & (max_pair_overlap(boxes("p")) <= 0.5)
-        & covered(F.col("g"), F.col("p")) & covered(F.col("p"), F.col("g"))
-    )
-    right = found.where(F.when(by_text | one_to_one, True).otherwise(by_box))
+
+    def covered(side: Column, other: Column) -> Column:
+        return F.forall(side, lambda b: group_coverage(Box.of(b), other) >= min_coverage)
+
+    def by_box(b: Column) -> Column:
+        apart = (max_pair_overlap(b["g"]) <= 0.5) & (max_pair_overlap(b["p"]) <= 0.5)
+        return F.when(apart, F.when(covered(b["g"], b["p"]), covered(b["p"], b["g"])).otherwise(False)).otherwise(False)
+
+    def judged(t: Column) -> Column:
+        common = F.when((t["gt"] == "") | (t["pred"] == ""), 0).otherwise(shared_characters(t["gt"], t["pred"]))
+
+        def by_share(c: Column) -> Column:
+            share = lambda text: F.coalesce(c / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+            single = (F.size("g") == 1) & (F.size("p") == 1)
+            by_text = ((share(t["gt"]) >= min_coverage) & (share(t["pred"]) >= min_coverage)) | (single & (share(t["gt"]) >= 0.9))
+            return F.when(by_text, True).when(single, False).otherwise(let(F.struct(boxes("g").alias("g"), boxes("p").alias("p")), by_box))
+
+        return let(common, by_share)
+
+    # One expression, each part bound once: a filter repeats whatever it refers to.
+    right = found.where(let(F.struct(F.col("gt_text").alias("gt"), F.col("pred_text").alias("pred")), judged))
     members = lambda side, name: F.transform(side, lambda b: F.struct(F.lit(name).alias("side"), b["idx"].alias("idx")))
     return right.select("doc", F.explode(F.concat(members(F.col("g"), "g"), members(F.col("p"), "p"))).alias("m")).select("doc", "m.side", "m.idx")
 

@@ -50,19 +50,22 @@ def evaluate(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, min_coverage:
         .join(pred.select("doc", F.col("idx").alias("pred_idx"), F.col("label").alias("pl"), F.col("level").alias("pv")), ["doc", "pred_idx"])
         .withColumn("same", F.col("gl") == F.col("pl")).withColumn("same_level", F.col("same") & (F.col("gv") == F.col("pv")))
     )
-    flags = {"g": [], "p": []}
-    for name, keys in (("region", ("label",)), ("region_level", ("label", "level"))):
-        if region_coverage is not None:
-            right = M.equivalent_regions(gt, pred, keys, region_coverage, loose, fold)
-            for side in flags:
-                flags[side].append(right.where(F.col("side") == side).select("doc", "idx", F.lit(True).alias(name)))
     no = F.lit(False)
+    flags = None
+    if region_coverage is not None:
+        found = [
+            M.equivalent_regions(gt, pred, keys, region_coverage, loose, fold).select("doc", "side", "idx", F.lit(wide).alias("wide"))
+            for wide, keys in ((True, ("label",)), (False, ("label", "level")))
+        ]
+        both_keys = found[0].unionByName(found[1])
+        # Both outcome tables read it: kept, so that the regions are judged once.
+        flags = both_keys.groupBy("doc", "side", "idx").agg(F.bool_or("wide").alias("region"), F.bool_or(~F.col("wide")).alias("region_level")).persist()
 
     def flagged(blocks: DataFrame, side: str) -> DataFrame:
-        for table in flags[side]:
-            blocks = blocks.join(table, ["doc", "idx"], "left")
+        if flags is not None:
+            blocks = blocks.join(flags.where(F.col("side") == side).drop("side"), ["doc", "idx"], "left")
         for name in ("region", "region_level"):
-            blocks = blocks.withColumn(name, F.coalesce(F.col(name), no) if name in blocks.columns else no)
+            blocks = blocks.withColumn(name, F.coalesce(F.col(name), no) if flags is not None else no)
         return blocks.withColumn("exempt", F.col("label").isin(*exempt) if exempt else no)
 
     by_gt = pairs.select("doc", F.col("gt_idx").alias("idx"), "pred_idx", F.col("pl").alias("pred_label"), F.col("pv").alias("pred_level"), "same", "same_level")
