@@ -196,7 +196,7 @@ def reconcile_locally(h: DataFrame) -> DataFrame:
 
     All evidence comes from the levels before the pass, so no change feeds another: joins and aggregates suffice.
     """
-    titles = numbered_titles(h)
+    titles = numbered_titles(h).persist()  # read by five joins
     near = neighbourhood(titles)
     aim = F.col("o_rank") == F.col("rank") + 1
     facts = near.groupBy("doc", "n").agg(
