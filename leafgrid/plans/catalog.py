@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafgrid.plans import evaluation, headings, projections, tables
+from leafgrid.plans import evaluation, headings, page_queries, projections, tables
 from leafgrid.plans.registry import Registry
 
 REGISTRY = Registry()
-for part in (evaluation, headings, projections, tables):
+for part in (evaluation, headings, projections, tables, page_queries):
     for name, query in part.REGISTRY.queries.items():
         REGISTRY.add(name, query, part.REGISTRY.oracles.get(name))
