@@ -8,6 +8,7 @@ from leafgrid.functions import geometry as G
 from leafgrid.functions import jsonx as J
 from leafgrid.functions import text as T
 from leafgrid.operators import blocks as B
+from leafgrid.operators.containment import contained
 from leafgrid.plans.registry import Registry
 from leafgrid.sources import views as V
 
@@ -420,14 +421,23 @@ def k10(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.relative_path(raw, {"/srv/app": "", "/srv/app/backend/datasets": "datasets", "/srv/app/backend": "backend"}).alias("text"))
 
 
-@REGISTRY.query("j14_containment", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+_CONTAINED = "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
+
+
+def _passages(spark, d):
+    return V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+
+
+@REGISTRY.query("j14_containment", _CONTAINED)
 def j14(spark, d):
-    """Benchmark passages that documents contain verbatim. The list of passages is of fixed size and is broadcast only below a stated size."""
-    bench = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs = _docs(spark, d)
-    passages = bench.agg(F.collect_list(F.struct("item_id", "passage")).alias("p"), F.lit(1).alias("one"))
-    hits = docs.withColumn("one", F.lit(1)).join(F.broadcast(passages), "one")
-    return hits.select("doc_id", F.explode(F.filter("p", lambda x: F.contains(F.col("text"), x["passage"]))).alias("h")).select("doc_id", "h.item_id")
+    """Benchmark passages that documents contain verbatim."""
+    return contained(_docs(spark, d), _passages(spark, d))
+
+
+@REGISTRY.query("j14_containment_by_anchor", _CONTAINED)
+def j14_anchor(spark, d):
+    """The same by the way of lists too long to broadcast."""
+    return contained(_docs(spark, d), _passages(spark, d), broadcast_bytes=0)
 
 
 @REGISTRY.query("f1_fold_text")
