@@ -11,9 +11,9 @@ rows queue as separate documents (ties in finish time go by source, shuffle key,
 of the input are ignored.
 
 No task holds a whole source: cumulative sizes come from per-(source, bucket) sums over ``BUCKETS`` hash
-buckets plus a window inside one bucket, and the global cut from ``BINS`` sums of finish-time bins plus a
-window inside the one bin where the budget runs out. Only those bin sums (at most 2 * BINS + 1 numbers)
-and one row reach the driver.
+buckets plus a window inside one bucket, and the global cut from sums of finish-time bins, of finer bins inside
+the bin where the budget runs out, and a window inside the one finer bin where it does. Only those sums (at most
+3 * BINS + 1 numbers) and one row reach the driver.
 """
 
 from __future__ import annotations
@@ -54,6 +54,15 @@ def _laps(n: int):
     return range(1, n + 1)
 
 
+def _cut(sums: list[tuple[int, int]], used: float, total: float) -> tuple[float, int | None]:
+    """Words taken before the first bin that does not fit whole, and that bin (None if all fit)."""
+    for b, s in sums:
+        if used + s > total:
+            return used, b
+        used += s
+    return used, None
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words, repeats counted)."""
@@ -89,17 +98,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Bounded by the number of bins, whatever the number of documents.
     in_bins = sorted((r["bin"], r["s"]) for r in entries.groupBy("bin").agg(F.sum("size").alias("s")).collect())
     total = targets.agg(F.sum("target").alias("t")).first()["t"] or 0.0
-    used, cut = 0, None
-    for b, s in in_bins:
-        if used + s > total:
-            cut = b
-            break
-        used += s
+    used, cut = _cut(in_bins, 0, total)
     edge = None
     if cut is not None:
+        # The bin of the cut is split once more, so that the window orders a BINS ** 2-th of the queue.
+        fine = F.least(F.floor((F.col("e.f") * BINS - cut) * BINS), F.lit(BINS - 1)).cast("int")
+        near = entries.where(F.col("bin") == cut).select("e", "size", fine.alias("fine"))
+        in_fine = sorted((r["fine"], r["s"]) for r in near.groupBy("fine").agg(F.sum("size").alias("s")).collect())
+        used, fine_cut = _cut(in_fine, used, total)
         order = Window.partitionBy(F.lit(0)).orderBy("e").rowsBetween(Window.unboundedPreceding, 0)
-        inside = entries.where(F.col("bin") == cut).withColumn("run", F.sum("size").over(order)).where(F.col("run") <= F.lit(total - used))
-        edge = inside.agg(F.max("e").alias("e")).first()["e"]
+        inside = near.where(F.col("fine") == fine_cut).withColumn("run", F.sum("size").over(order)).where(F.col("run") <= F.lit(total - used))
+        edge = near.where(F.col("fine") < fine_cut).select("e").union(inside.select("e")).agg(F.max("e").alias("e")).first()["e"]
 
     def taken(k: int):
         f = F.col(f"f{k}")
