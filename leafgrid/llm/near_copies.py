@@ -3,17 +3,17 @@
 Texts of Jaccard similarity 0.8 on five-word shingles differ in about ten bits of a 64-bit SimHash, beyond what a
 pigeonhole over fingerprint bits can shard. So the shards of this operator come from MinHash bands
 (``BANDS`` bands of ``ROWS`` values: at similarity 0.8 a pair misses every shard with probability 0.2%); within a shard
-a BK-tree over the SimHashes finds the pairs within ``RADIUS`` bits (four standard deviations above the mean at 0.8),
-and a pair is a link if at least the share ``similarity - SLACK`` of its ``VALUES`` MinHash values agree (an estimate of the
-Jaccard similarity with standard error 0.025 at 0.8; pairs of similarity 0.7 link in 1% of cases, 0.8 in 88%, 0.84 or more in 99%). Groups are the connected components of the links; the
-document with the smallest id of each group stays.
+a BK-tree over the SimHashes finds the pairs within ``RADIUS`` bits (four standard deviations above the mean at 0.8).
+A pair of which at least the share ``similarity - SLACK`` of the ``VALUES`` MinHash values agree (an estimate with standard error 0.025
+at 0.8, so the slack is six of them) is then compared exactly: it is a link if the Jaccard similarity of its shingle sets (as sorted 64-bit
+hashes) is ``similarity`` or more. Groups are the connected components of the links; the document with the smallest id of each group stays.
 
 A shard of more than ``TILE`` documents is cut into tiles of about that size. First each tile is searched together with up to
 ``PIVOTS`` documents of the whole shard, which joins large groups at a cost linear in the shard. Then pairs of tiles are
 searched, each pair in a task of its own, but only pairs between different groups (``second_tiles``): a pair of documents
 already in one group needs no comparison, and no other pair is lost. What stays quadratic is the part of a shard that shares a band
 with many documents and links to none of them. A task emits a spanning star per group of linked documents. Only documents
-that share a band travel with their sketches.
+that share a band travel with their sketches and sets, and of shards with the same members only one is searched.
 
 Defined results: A-Z is lower-cased; words are runs of anything but ASCII space and the controls TAB to CR; a text of
 fewer words than a shingle is one shingle; null texts and texts without words link to nothing and stay; rows that agree in id and
@@ -35,8 +35,10 @@ from leafgrid.llm.graph import connected_components
 from leafgrid.llm.simhash import LEAF, _Sets
 
 VALUES, BANDS, ROWS, RADIUS, TILE, PIVOTS = 256, 12, 4, 22, 2048, 64
-#: Taken off the similarity before an estimate is held against it: 1.2 standard errors at 0.8.
-SLACK = 0.03
+#: Taken off the similarity before an estimate is held against it: six standard errors at 0.8. Pairs above are compared exactly.
+SLACK = 0.15
+#: Pairs compared exactly before those joined meanwhile are left out.
+VERIFY = 256
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +46,8 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, VALUES, dtype=np.uint64)
 
 
-def sketch(text: bytes, words: int, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray] | None:
-    """SimHash (of distinct shingles) and MinHash values of a text; None without words."""
+def shingle_set(text: bytes, words: int) -> np.ndarray | None:
+    """Sorted distinct hashes of a text's shingles; None without words."""
     tokens = text.lower().split()
     if not tokens:
         return None
@@ -53,7 +55,14 @@ def sketch(text: bytes, words: int, a: np.ndarray, b: np.ndarray) -> tuple[int,
         shingles = [b" ".join(tokens)]
     else:
         shingles = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)))))
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def sketch(text: bytes, words: int, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """SimHash (of distinct shingles) and MinHash values of a text; None without words."""
+    h = shingle_set(text, words)
+    if h is None:
+        return None
     ones, least = np.zeros(64, np.int64), np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 512):
         part = h[at : at + 512]
@@ -94,16 +103,47 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return plain.mapInArrow(run, f"id {kind}, node long, f long, values binary, keys array<long>")
 
 
-def tree_links(f: np.ndarray, values: np.ndarray, similarity: float, sets: _Sets, offset: int, radius: int = RADIUS) -> None:
-    """Join in ``sets`` all documents of a shard whose SimHashes lie within the radius and whose values agree enough."""
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, shingles) of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, words).tobytes() for t in batch["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    texts = docs.select(node_of(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
+    return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles binary")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def tree_links(f: np.ndarray, values: np.ndarray, shingles: list[np.ndarray], similarity: float, sets: _Sets, offset: int, radius: int = RADIUS) -> None:
+    """Join in ``sets`` all documents of a shard whose SimHashes lie within the radius and whose shingle sets are similar enough."""
+    lengths = np.array([len(s) for s in shingles])
+
+    def apart(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        two = sets.roots(p + offset) != sets.roots(q + offset)
+        return p[two], q[two]
 
     def link(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = i[i < j], j[i < j]  # the search meets each pair from both sides
         for at in range(0, len(i), 20000):
-            p, q = i[at : at + 20000], j[at : at + 20000]
-            apart = sets.roots(p + offset) != sets.roots(q + offset)
-            p, q = p[apart], q[apart]
-            alike = (values[p] == values[q]).mean(1) >= similarity - SLACK if len(p) else np.zeros(0, bool)
-            sets.union(p[alike] + offset, q[alike] + offset)
+            p, q = apart(i[at : at + 20000], j[at : at + 20000])
+            if not len(p):
+                continue
+            alike = (values[p] == values[q]).mean(1) >= similarity - SLACK
+            alike &= np.minimum(lengths[p], lengths[q]) / np.maximum(lengths[p], lengths[q]) >= similarity
+            p, q = p[alike], q[alike]
+            while len(p):
+                now = np.array([jaccard(shingles[x], shingles[y]) >= similarity for x, y in zip(p[:VERIFY], q[:VERIFY])])
+                sets.union(p[:VERIFY][now] + offset, q[:VERIFY][now] + offset)
+                p, q = apart(p[VERIFY:], q[VERIFY:])
 
     every = np.arange(len(f))
     todo = [(every, every)]
@@ -138,13 +178,14 @@ def _solve(similarity: float):
             f = np.array(held["f"], np.int64)[first].view(np.uint64)
             values = np.frombuffer(b"".join(held["v"]), np.uint8).reshape(-1, VALUES)[first]
             sets = _Sets(len(nodes))
-            tree_links(f, values, similarity, sets, 0)
+            shingles = [np.frombuffer(held["s"][i], np.uint64) for i in first]
+            tree_links(f, values, shingles, similarity, sets, 0)
             root = sets.roots(np.arange(len(nodes)))
             some = root != np.arange(len(nodes))
             return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], names=["a", "b"]) if some.any() else None
 
         for b in batches:
-            for key, tile, n, f, v in zip(*(b[c].to_pylist() for c in ("key", "tile", "node", "f", "values")), strict=True):
+            for key, tile, n, f, v, s in zip(*(b[c].to_pylist() for c in ("key", "tile", "node", "f", "values", "shingles")), strict=True):
                 if (key, tile) != shard:
                     if (out := flush()) is not None:
                         yield out
@@ -152,6 +193,7 @@ def _solve(similarity: float):
                 held["n"].append(n)
                 held["f"].append(f)
                 held["v"].append(v)
+                held["s"].append(s)
         if (out := flush()) is not None:
             yield out
 
@@ -217,12 +259,15 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(node, id, keeper) of the documents in groups of two or more; keeper is true for the one that stays."""
     sketches = checkpointed(_sketches(docs, id_col, text_col, words))
     keyed = sketches.select("node", F.explode("keys").alias("key")).distinct()
-    shards = checkpointed(keyed.groupBy("key").count().where("count > 1"))
+    members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *[F.bit_xor(F.xxhash64(F.lit(10 + k), "node")).alias(f"x{k}") for k in (0, 1)])
+    # Shards of the same members (told by 128 bits) have the same links.
+    shards = checkpointed(members.where("count > 1").groupBy("count", "x0", "x1").agg(F.min("key").alias("key")).select("key", "count"))
     shared = keyed.join(shards, "key").select("key", "node", "count")
-    known = sketches.select("node", "f", "values").dropDuplicates(["node"])
+    sets = _shingle_sets(docs, checkpointed(shared.select("node").distinct()), id_col, text_col, words)
+    known = checkpointed(sets.join(sketches.select("node", "f", "values").dropDuplicates(["node"]), "node"))
 
     def solved(members: DataFrame) -> DataFrame:
-        placed = checkpointed(members).join(known, "node").select("key", "tile", "node", "f", "values")
+        placed = checkpointed(members).join(known, "node").select("key", "tile", "node", "f", "values", "shingles")
         placed = placed.repartition("key", "tile").sortWithinPartitions("key", "tile")
         return checkpointed(placed.mapInArrow(_solve(similarity), "a long, b long"))
 

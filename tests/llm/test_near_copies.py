@@ -52,6 +52,21 @@ def test_links_are_above_the_similarity(spark):
         assert i in kept if alike < 0.65 else (i not in kept if alike > 0.92 else True)
 
 
+def test_pairs_near_the_threshold_link_by_exact_similarity(spark):
+    """Pairs of similarity 0.778 and 0.794 both stay; of pairs of 0.802 and 0.810 one stays."""
+    rng, rows, want = random.Random(11), [], set()
+    for g in range(160):
+        words = [f"g{g}w{i}" for i in range(1004)]
+        copy = list(words)
+        for at in rng.sample(range(5, 995, 10), (21, 22, 23, 25)[g % 4]):  # no two changes touch one shingle
+            copy[at] = f"new{rng.random()}"
+        pair = [" ".join(words), " ".join(copy)]
+        rows += [(2 * g + k, t, 0, "") for k, t in enumerate(pair)]
+        want |= {2 * g} | ({2 * g + 1} if similarity(*pair) < 0.8 else set())
+    assert len(want) == 240
+    assert {r["doc_id"] for r in N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_odd_rows(spark):
     assert N.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, None, 1, "a"), (2, "", 1, "a"), (3, "", 1, "a"), (None, "a b", 1, "a"), (4, "a b", 1, "b"), (4, "a b", 1, "b"), (5, "A  B", 2, "c"), (6, "x " * 30000, 1, "a")]
