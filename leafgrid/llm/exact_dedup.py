@@ -98,7 +98,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tagged = docs.withColumn("__sha2", F.sha2(_normal(F.col(text_col)), 256))
     same = tagged[id_col].eqNullSafe(kept["__id"]) & (tagged["__sha2"] == kept["__sha"])
     out = tagged.join(kept, same, "left_semi")
-    recurring = docs.select(id_col, F.xxhash64(text_col).alias("x")).groupBy(id_col, "x").count().where("count > 1")
+    recurring = docs.select(id_col, F.xxhash64(_normal(F.col(text_col))).alias("x")).groupBy(id_col, "x").count().where("count > 1")
     if not recurring.isEmpty():
         out = out.dropDuplicates([id_col, "__sha2"])
     return out.drop("__sha2")

@@ -75,6 +75,11 @@ def test_drop_exact_copies_keeps_columns_and_one_row(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).collect() == [] and exact_dedup.drop_exact_copies(docs(spark, [])).collect() == []
 
 
+def test_drop_exact_copies_with_a_recurring_id_in_other_case(spark):
+    rows = [(1, "Abc", "a"), (1, "abc", "a"), (2, None, "a"), (2, "", "a"), (3, "x", "a")]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(docs(spark, rows)).collect()) == [1, 2, 3]
+
+
 # --- language ----------------------------------------------------------------------------------------------------------
 
 
