@@ -260,11 +260,17 @@ def a9_max_pair_overlap(spark, d):
 
 @REGISTRY.query("f15_f16_box_metrics", _VIEWS + _PAIRS + "\nSELECT doc, gt_idx, pred_idx, inter, ga AS gt_area, pa AS pred_area, gt_coverage, iou FROM pairs WHERE gt_idx % 4 = pred_idx % 4")
 def f15_f16_box_metrics(spark, d):
+    return f15_f16_box_metrics_all(spark, d).where("gt_idx % 4 = pred_idx % 4")
+
+
+@REGISTRY.query("f15_f16_box_metrics_all", _VIEWS + _PAIRS + "\nSELECT doc, gt_idx, pred_idx, inter, ga AS gt_area, pa AS pred_area, gt_coverage, iou FROM pairs")
+def f15_f16_box_metrics_all(spark, d):
+    """The metrics of all pairs of blocks of a page; ``f15_f16_box_metrics`` has a quarter of them, as its SQL does."""
     gt, pred = _views(spark, d)
     fields = ("idx", "x1", "y1", "x2", "y2")
     both = gt.select("doc", "page_id", *[F.col(c).alias("g_" + c) for c in fields]).join(pred.select("doc", "page_id", *[F.col(c).alias("p_" + c) for c in fields]), ["doc", "page_id"])
     a, b = G.Box.named("g_"), G.Box.named("p_")
-    return both.where("g_idx % 4 = p_idx % 4").select(
+    return both.select(
         "doc", F.col("g_idx").alias("gt_idx"), F.col("p_idx").alias("pred_idx"), G.intersection(a, b).alias("inter"), G.area(a).alias("gt_area"), G.area(b).alias("pred_area"),
         G.coverage(a, b).alias("gt_coverage"), G.iou(a, b).alias("iou"),
     )

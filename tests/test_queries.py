@@ -47,3 +47,11 @@ def test_query(spark, duck, name):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_box_metrics_cover_all_pairs_of_a_page(spark):
+    from leafgrid.sources import views
+
+    counts = [f(spark, DATA).groupBy("doc", "page_id").count() for f in (views.gt_blocks, views.pred_blocks)]
+    want = sum(r["a"] * r["b"] for r in counts[0].withColumnRenamed("count", "a").join(counts[1].withColumnRenamed("count", "b"), ["doc", "page_id"]).collect())
+    assert entry.queries()["f15_f16_box_metrics_all"](spark, DATA).count() == want
