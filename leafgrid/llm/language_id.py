@@ -10,27 +10,30 @@ of all languages (the ``MAX_STATES`` most frequent of the longest order; variabl
 code length is the exact sum over all its bytes; the language with the shortest code wins (ties: the first in
 order), and the score is its posterior probability under equal priors.
 
-The sample has about ``SAMPLE_ROWS`` whole texts per language, chosen by a hash of id and text, and at most
-``MAX_LANGS`` languages (the most frequent); both are documented bounds of fitting only. Every text is scored whole, in
+All languages are learned. More than ``TABLE_LANGS`` are dealt evenly to several tables of ``MAX_STATES / TABLE_LANGS`` states per
+language, of which a worker holds one at a time; a text is coded with each table, so time grows with the number of languages.
+The sample has about ``SAMPLE_ROWS`` whole texts per language, chosen by a hash of id and text: a bound of fitting only. Every text is scored whole, in
 windows of ``WINDOW`` bytes that carry their context.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; a null id
 counts as the empty text in the fold rule and so is held out; repeated rows give repeated results; an empty table
-gives an empty result; extra columns are ignored. The broadcast table is bounded by MAX_STATES * alphabet * languages.
+gives an empty result; extra columns are ignored. A broadcast table is bounded by MAX_STATES * alphabet * TABLE_LANGS.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, MAX_STATES, MAX_CELLS = 3, 8192, 12_000_000
-SAMPLE_ROWS, MAX_LANGS, WINDOW = 250, 64, 1 << 20
+ORDER, MAX_STATES, TABLE_LANGS = 3, 8192, 4
+#: Tables whose samples are read at once.
+READ_TABLES = 16
+SAMPLE_ROWS, WINDOW = 250, 1 << 20
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -46,8 +49,8 @@ class Model:
         self.langs, self.symbol, self.size, self.state, self.bits = langs, symbol, size, state, bits
 
 
-def fit(samples: dict[str, list[bytes]]) -> Model | None:
-    """Context trees of each language's texts, compiled."""
+def fit(samples: dict[str, list[bytes]], limit: int = MAX_STATES) -> Model | None:
+    """Context trees of each language's texts, compiled to at most ``limit`` states."""
     langs = sorted(k for k, texts in samples.items() if any(texts))
     if not langs:
         return None
@@ -68,7 +71,6 @@ def fit(samples: dict[str, list[bytes]]) -> Model | None:
                     break
                 code = s[: len(s) - k - 1] * size ** (k + 1) + code[1:]
         counts.append([np.unique(np.concatenate(g), return_counts=True) if g else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for g in grams])
-    limit = max(256, min(MAX_STATES, MAX_CELLS // (size * len(langs))))
     contexts: list[np.ndarray] = [np.zeros(1, np.int64)]
     for k in range(1, ORDER + 1):
         keys, n = np.unique(np.concatenate([c[k][0] // size for c in counts]), return_counts=False), None
@@ -147,54 +149,69 @@ def _has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(text)) or any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
-def classify(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
+def classify(models: Iterable[Model], column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a string column."""
     n = len(column)
     langs, scores = ["und"] * n, np.zeros(n)
-    if model is None or not n:
+    if not n:
         return langs, scores
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and column.buffers()[2].size else np.zeros(0, np.uint8)
-    bits = code_lengths(model, data, offsets)
+    names: list[str] = []
+    costs: list[np.ndarray] = []
+    for model in models:
+        names += model.langs
+        costs.append(code_lengths(model, data, offsets))
+    if not costs:
+        return langs, scores
+    bits = np.concatenate(costs, axis=1)
     best = bits.argmin(1)
     post = 1.0 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     for i in range(n):
         if valid[i] and _has_letter(data[offsets[i] : offsets[i + 1]].tobytes()):
-            langs[i], scores[i] = model.langs[best[i]], post[i]
+            langs[i], scores[i] = names[best[i]], post[i]
     return langs, scores
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of the documents outside the held-out fold."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Iterator[Model]:
+    """Models of the documents outside the held-out fold, each of some of the languages, in order of language."""
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
-    sizes = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return None
-    share = {r["lang"]: min(1.0, SAMPLE_ROWS / r["count"]) for r in sizes}
-    rate = F.lit(None).cast("double")
-    for lang, s in share.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(s)).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1_000_000)) < rate * 1_000_000
-    rows = usable.where(draw).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toArrow()
-    samples: dict[str, list[bytes]] = {}
-    for lang, text in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda x: (x[0], x[1] or "")):
-        samples.setdefault(lang, []).append((text or "").encode())
-    return fit(samples)
+    share = {r["lang"]: min(1.0, SAMPLE_ROWS / r["count"]) for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    langs, count = sorted(share), -(-len(share) // TABLE_LANGS)
+    tables = [langs[len(langs) * i // count : len(langs) * (i + 1) // count] for i in range(count)]
+    for at in range(0, count, READ_TABLES):
+        rate = F.lit(None).cast("double")
+        for lang in sum(tables[at : at + READ_TABLES], []):
+            rate = F.when(F.col(lang_col) == lang, F.lit(share[lang])).otherwise(rate)
+        draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1_000_000)) < rate * 1_000_000
+        rows = usable.where(draw).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toArrow()
+        samples: dict[str, list[bytes]] = {}
+        for lang, text in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda x: (x[0], x[1] or "")):
+            samples.setdefault(lang, []).append((text or "").encode())
+        for table in tables[at : at + READ_TABLES]:
+            limit = MAX_STATES if count == 1 else MAX_STATES // TABLE_LANGS * len(table)
+            if (model := fit({k: samples.get(k, []) for k in table}, limit)) is not None:
+                yield model
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
-    model = learn(docs, id_col, text_col, lang_col)
     # Plain arrays: workers need not import this module to read them.
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.symbol, model.size, model.state, model.bits))
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast((m.langs, m.symbol, m.size, m.state, m.bits)) for m in learn(docs, id_col, text_col, lang_col)]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*shared.value) if shared.value else None
+        def known() -> Iterator[Model]:
+            for table in shared:
+                yield Model(*table.value)
+                if len(shared) > 1:
+                    vars(table).pop("_value", None)  # read again for the next batch, so that one table is in memory
+
         for b in batches:
-            langs, scores = classify(known, b["text"])
+            langs, scores = classify(known(), b["text"])
             yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(langs, pa.string()), pa.array(scores)], names=["id", "held_out", "lang_pred", "score"])
 
     plain = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))

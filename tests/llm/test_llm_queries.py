@@ -155,6 +155,16 @@ def test_language_on_odd_rows(spark):
     assert [(r["lang_pred"], r["score"]) for r in language_id.identify(unknown).collect()] == [("und", 0.0)]
 
 
+def test_all_languages_are_learned(spark):
+    rng, rows = random.Random(12), []
+    for k in range(70):  # the last ones are the least frequent
+        words = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=40)), f"l{k:02}", "s", None, "", 0, 0, 0) for i in range(12 if k < 64 else 10)]
+    truth = {r[0]: r[2] for r in rows}
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == truth
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 
