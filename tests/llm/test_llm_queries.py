@@ -136,6 +136,27 @@ def test_code_lengths_are_exact():
         assert np.allclose(g, want, rtol=1e-5, atol=1e-4)
 
 
+def test_contexts_counted_on_executors_give_the_same_trees(spark):
+    rng = random.Random(4)
+    words = {"aa": "der die und nicht haus größe straße", "bb": "the and not house size street", "cc": "le la et ne pas maison rue"}
+    rows = [(i, " ".join(rng.choices(words[k].split(), k=rng.choice([3, 40, 900]))), k) for i in range(90) for k in [sorted(words)[i % 3]]]
+    frame = spark.createDataFrame([(i, t, k, "s", 1, "h", 1, 2, 3) for i, t, k in rows], DOCS)
+    kept = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5]
+    want = language_id.fit({k: [t.encode() for t, x in kept if x == k] for k in words})
+    (got,) = language_id.learn(frame)
+    assert got.langs == want.langs and got.size == want.size
+    for name in ("symbol", "state", "bits"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+    before = language_id.WINDOW
+    try:
+        language_id.WINDOW = 64
+        short = language_id.count_contexts([t.encode() for t, _ in kept])
+    finally:
+        language_id.WINDOW = before
+    for (a, n), (b, m) in zip(short, language_id.count_contexts([t.encode() for t, _ in kept])):
+        assert np.array_equal(a, b) and np.array_equal(n, m)
+
+
 def test_language_contract_and_accuracy(spark):
     frame = read(spark, DATA, "documents")
     truth = {r["doc_id"]: r["lang"] for r in frame.collect()}
