@@ -7,9 +7,9 @@ Texts without words, and null texts, have fingerprint zero, which links like any
 
 Search: fingerprints within ``radius`` bits agree in one of radius + 1 segments of their bits (pigeonhole), so
 each distinct fingerprint goes to radius + 1 shards, keyed by the value of one segment. A shard's BK-tree (children
-keyed by their Hamming distance to the parent; only edges within the radius are followed; leaves of up to
-``LEAF`` fingerprints are compared directly) lives in the one task that the shard's members meet in: a
-broadcast of all trees would grow with the corpus. A shard of more than ``SHARD`` fingerprints is not
+keyed by their Hamming distance to the parent; only edges within the radius are followed) lives in the one task that the
+shard's members meet in: a broadcast of all trees would grow with the corpus. Every shard of two or more has a tree; a task
+builds and asks those of its shards side by side. A shard of more than ``SHARD`` fingerprints is not
 gathered: its members are dealt anew by segments of the bits that they do not share, level by level; the last
 level leaves at most ``LAST_BITS`` free bits, so no tree ever has more than 2**LAST_BITS nodes, and no pair is lost.
 A shard emits a spanning star per group of linked members, never all pairs; groups are merged by
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from leafgrid.llm.common import checkpointed
 from leafgrid.llm.graph import connected_components
 
-RADIUS, SHARD, LEAF, LAST_BITS = 2, 4096, 32, 14
+RADIUS, SHARD, LAST_BITS = 2, 4096, 14
+#: Rows that ask the trees at once.
+CHUNK = 8192
 
 
 def fingerprints(texts: list[bytes], words: int, seeds: tuple[int, ...]) -> np.ndarray:
@@ -116,41 +118,49 @@ class _Sets:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def bk_links(values: np.ndarray, radius: int, sets: _Sets, offset: int = 0) -> None:
-    """Join in ``sets`` all values (distinct uint64) within the radius of each other, by a BK-tree.
+def forest_pairs(values: np.ndarray, shard: np.ndarray, radius: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of values of one shard within the radius of each other, by one BK-tree per shard.
 
-    The tree's nodes are visited with all the queries that reach them at once: a node keeps a pivot, its
-    children are the rest by distance to the pivot, and a query goes on to the children whose distance
-    differs from its own by the radius at most.
+    Rows of a shard stand together. The trees of all shards are built level by level: a node's pivot is its first row, its children
+    are the other rows by distance to the pivot. The rows then ask, ``chunk`` at a time: a row goes from a node to the children whose
+    distance differs from its own by the radius at most, and leaves where all rows come after it, since those meet it as askers.
     """
-    every = np.arange(len(values))
-    todo = [(every, every)]
-    while todo:
-        items, asked = todo.pop()
-        if len(items) <= LEAF or len(asked) <= LEAF:
-            if len(items) * len(asked) > 4_000_000:
-                half = len(asked) // 2 if len(asked) > len(items) else 0
-                if half:
-                    todo += [(items, asked[:half]), (items, asked[half:])]
-                else:
-                    cut = len(items) // 2
-                    todo += [(items[:cut], asked), (items[cut:], asked)]
-                continue
-            near = np.bitwise_count(values[items][:, None] ^ values[asked][None, :]) <= radius
-            i, j = np.nonzero(near)
-            i, j = items[i], asked[j]
-            sets.union(i[i < j] + offset, j[i < j] + offset)
-            sets.union(i[i > j] + offset, j[i > j] + offset)
-            continue
-        pivot, rest = items[0], items[1:]
-        away = np.bitwise_count(values[asked] ^ values[pivot]).astype(np.int64)
-        close = asked[away <= radius]
-        sets.union(np.full(len(close), pivot + offset), close + offset)
-        key = np.bitwise_count(values[rest] ^ values[pivot]).astype(np.int64)
-        for d in np.unique(key):
-            reach = asked[np.abs(away - d) <= radius]
-            if len(reach):
-                todo.append((rest[key == d], reach))
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    items, key = np.arange(len(values)), shard
+    root = np.zeros(len(values), np.int64)
+    while len(items):
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        node, pivots = np.cumsum(first) - 1, items[first]
+        if not levels:
+            root = node
+        items, node = items[~first], node[~first]
+        # a key is 128 * node + distance
+        key = node * 128 + np.bitwise_count(values[items] ^ values[pivots[node]])
+        order = np.argsort(key, kind="stable")
+        items, key = items[order], key[order]
+        levels.append((pivots, key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key))
+    for at in range(0, len(values), chunk):
+        asked = np.arange(at, min(len(values), at + chunk))
+        node = root[asked]
+        for pivots, children in levels:
+            later = asked > pivots[node]
+            asked, node = asked[later], node[later]
+            if not len(asked):
+                break
+            away = np.bitwise_count(values[asked] ^ values[pivots[node]]).astype(np.int64)
+            near = away <= radius
+            if near.any():
+                yield pivots[node[near]], asked[near]
+            low = np.searchsorted(children, node * 128 + np.maximum(away - radius, 0))
+            count = np.searchsorted(children, node * 128 + away + radius, side="right") - low
+            asked = np.repeat(asked, count)
+            node = np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(asked))
+
+
+def bk_links(values: np.ndarray, radius: int, sets: _Sets, offset: int = 0) -> None:
+    """Join in ``sets`` all values (distinct uint64) within the radius of each other, by a BK-tree."""
+    for i, j in forest_pairs(values, np.zeros(len(values), np.int64), radius):
+        sets.union(i + offset, j + offset)
 
 
 def _solve(radius: int):
@@ -161,20 +171,12 @@ def _solve(radius: int):
 
         def stars(m: np.ndarray) -> pa.RecordBatch:
             mask, key, fp = m
-            n = len(fp)
-            sets, values = _Sets(n), fp.view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])) if n else np.zeros(0, int)
-            sizes = np.diff(np.concatenate([starts, [n]]))
-            small = np.repeat(sizes <= LEAF, sizes)
-            shard = np.repeat(np.arange(len(starts)), sizes)
-            for shift in range(1, min(LEAF, n)):  # single-leaf trees, all at once
-                a = np.flatnonzero(small[:-shift] & (shard[:-shift] == shard[shift:]))
-                if not len(a):
-                    break
-                a = a[np.bitwise_count(values[a] ^ values[a + shift]) <= radius]
-                sets.union(a, a + shift)
-            for s, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-                bk_links(values[s : s + size], radius, sets, s)
+            n, values = len(fp), fp.view(np.uint64)
+            sets = _Sets(n)
+            if n:
+                shard = np.cumsum(np.concatenate([[False], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
+                for i, j in forest_pairs(values, shard, radius):
+                    sets.union(i, j)
             root = sets.roots(np.arange(n)) if n else np.zeros(0, int)
             linked = np.flatnonzero(root != np.arange(n))
             return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["a", "b"])
@@ -184,7 +186,8 @@ def _solve(radius: int):
             now = np.concatenate([left, now], axis=1)
             if not now.shape[1]:
                 continue
-            last = int(np.flatnonzero((now[0] != now[0, -1]) | (now[1] != now[1, -1]))[-1]) + 1 if ((now[0] != now[0, -1]) | (now[1] != now[1, -1])).any() else 0
+            other = np.flatnonzero((now[0] != now[0, -1]) | (now[1] != now[1, -1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             left = now[:, last:]  # the shard at the end may go on in the next batch
             if last:
                 yield stars(np.ascontiguousarray(now[:, :last]))
