@@ -42,5 +42,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows (of a few short columns) that are sent to every executor; beyond, a join shuffles both sides.
+BROADCAST_ROWS = 250_000
+
+
+def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table of narrow rows, with a broadcast hint if a count finds at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -9,7 +9,9 @@ Texts are equal when identical after lower-casing A-Z. Defined results for odd i
 
 No step gathers a group: counts and the kept id are partial aggregates, the byte comparison is a hash
 aggregate whose key is the text itself (so copies collapse before the shuffle), and the way back from
-groups to rows is a plain join whose hot keys adaptive execution splits.
+groups to rows is a plain join whose hot keys adaptive execution splits. Lists of repeated hashes and of
+dropped rows are broadcast if a count finds at most ``BROADCAST_ROWS``, so that no text is shuffled but
+one copy of each repeated one; larger lists are joined by shuffles.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import ascii_lower, checkpointed
+from leafgrid.llm.common import BROADCAST_ROWS, ascii_lower, checkpointed, counted
 
 #: Tasks that share the texts of one hash.
 SALTS = 32
@@ -53,14 +55,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("n > 1")
     )
     classes = checkpointed(classes)
-    # Only texts whose hash occurs more than once are compared. The join is salted, so that a hot group's texts meet in
-    # many tasks, each of which passes on one copy to the aggregate whose group key is the bytes.
-    repeated = classes.select("h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Only texts whose hash occurs more than once are compared: a filter before the shuffle while those hashes are few, else a
+    # salted join, so that a hot group's texts meet in many tasks, each of which passes on one copy to the aggregate whose key is the bytes.
+    few = classes.count() <= BROADCAST_ROWS
+    repeated = classes.select("h").distinct()
+    repeated = F.broadcast(repeated) if few else repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SALTS)).cast("int")
     compared = (
         docs.select(_normal(F.col(text_col)).alias("norm"), salt.alias("salt"))
         .withColumn("h", F.unhex(F.md5("norm")))
-        .join(repeated, ["h", "salt"], "left_semi")
+        .join(repeated, ["h"] if few else ["h", "salt"], "left_semi")
         .groupBy("h", "norm")
         .agg(F.lit(1).alias("one"))
         .groupBy("h", F.sha2("norm", 256).alias("text_sha256"))
@@ -76,7 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "keep_id",
         "keep_row",
     )
-    proven = checkpointed(proven)
+    proven = counted(checkpointed(proven))
     return rows.join(proven, ["h", "text_sha256"], "left").select(
         rows["doc_id"].alias(id_col),
         F.when(F.col("n").isNull(), rows["doc_id"]).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -89,16 +93,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The input's rows without copies: one row of each group stays, all columns unchanged.
 
-    Rows are matched back by (id, content hash). Only where an id recurs with the same text does a
-    further pass reduce such rows to one.
+    Rows go by (id, content hash). Copies that have the kept row's own id can't be told from it so; such rows are reduced
+    to one in a further pass over them alone.
     """
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(
-        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")
+    dropped = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(
+        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("twin")
     )
+    dropped = checkpointed(dropped)
+    others, twins = (counted(checkpointed(dropped.where(x).drop("twin").distinct())) for x in ("not twin", "twin"))
     tagged = docs.withColumn("__sha2", F.sha2(_normal(F.col(text_col)), 256))
-    same = tagged[id_col].eqNullSafe(kept["__id"]) & (tagged["__sha2"] == kept["__sha"])
-    out = tagged.join(kept, same, "left_semi")
-    recurring = docs.select(id_col, F.xxhash64(_normal(F.col(text_col))).alias("x")).groupBy(id_col, "x").count().where("count > 1")
-    if not recurring.isEmpty():
-        out = out.dropDuplicates([id_col, "__sha2"])
+    same = lambda keys: tagged[id_col].eqNullSafe(keys["__id"]) & (tagged["__sha2"] == keys["__sha"])
+    out = tagged.join(others, same(others), "left_anti")
+    if not twins.isEmpty():
+        first = tagged.join(twins, same(twins), "left_semi").dropDuplicates([id_col, "__sha2"])
+        out = out.join(twins, same(twins), "left_anti").unionByName(first)
     return out.drop("__sha2")
