@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import checkpointed, word_count
+from leafgrid.llm.common import WORD, checkpointed, counted, word_count
 
 #: Hash buckets of a source's queue, and bins of finish time between 0 and 1 (times from 2 on share the last bin).
 BUCKETS, BINS = 4096, 4096
@@ -127,3 +127,48 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("id").alias(id_col), "source", "size", "source_size", "target",
         sum((taken(k) for k in _laps(max_repeat)), F.lit(0).cast("long")).alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The input's rows, each as often as the mix takes it; rows without words stay once.
+
+    A source's queue is taken from its start, so all but a few of its buckets are taken a whole number of times. Their rows follow a table
+    of buckets (broadcast if small), and only rows of the buckets in which a lap ends are joined by id. Rows that agree in id, source and size
+    share the laps of all of them, the first rows one more if the number does not divide.
+    """
+    taken = checkpointed(mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).where("size > 0").select(
+        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("t")
+    ))
+    place = lambda c: F.substring(F.coalesce(F.md5(F.col(c).cast("string")), F.lit("")), 1, 3)
+    buckets = taken.groupBy("__source", place("__id").alias("__place")).agg(F.min("t").alias("__t"), F.max("t").alias("most"))
+    buckets = counted(checkpointed(buckets.select("__source", "__place", F.when(F.col("__t") == F.col("most"), F.col("__t")).alias("__t"))))
+    ends = counted(checkpointed(buckets.where("__t is null").select("__source", "__place")))
+    part = taken.join(ends, taken["__source"].eqNullSafe(ends["__source"]) & (place("__id") == ends["__place"]), "left_semi")
+    laps = checkpointed(part.groupBy("__id", "__source", "__size").agg(F.count(F.lit(1)).alias("__count"), F.sum("t").alias("__laps")))
+
+    rows = docs.withColumns({"__row_place": place(id_col), "__words": F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))})
+    at = rows["__row_place"].eqNullSafe(buckets["__place"]) & rows[source_col].eqNullSafe(buckets["__source"]) & rows["__words"]
+    rows = rows.join(buckets, at, "left").drop("__source", "__place")
+    times = lambda frame, t: frame.select(*docs.columns, F.explode(F.sequence(F.lit(1), t)).alias("__lap")).select(docs.columns)
+    whole = times(rows.where("not __words or __t > 0"), F.when(F.col("__words"), F.col("__t")).otherwise(1))
+    ending = rows.where("__words and __t is null").withColumn("__words_of", word_count(F.col(text_col)))
+    key = ending[id_col].eqNullSafe(laps["__id"]) & ending[source_col].eqNullSafe(laps["__source"]) & (ending["__words_of"] == laps["__size"])
+    ending = ending.join(laps, key)
+    even = times(ending.where("__laps % __count = 0 and __laps > 0"), (F.col("__laps") / F.col("__count")).cast("int"))
+    odd = checkpointed(ending.where("__laps % __count <> 0").withColumn("__part", F.spark_partition_id()))
+    return whole.unionByName(even).unionByName(times(_shared_laps(odd), F.col("__mine")).select(docs.columns))
+
+
+def _shared_laps(odd: DataFrame) -> DataFrame:
+    """Rows with ``__mine`` laps each, more than none; rows are numbered within partitions, and partitions by their counts."""
+    key = ["__id", "__source", "__size"]
+    counts = odd.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias("_" + k) for k in key], F.col("__part").alias("__p"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*key, "__part").orderBy(F.lit(0))
+    numbered = odd.withColumn("__n", F.row_number().over(within))
+    same = F.col("__part") == F.col("__p")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col("_" + k))
+    mine = F.floor(F.col("__laps") / F.col("__count")) + (F.col("__before") + F.col("__n") <= F.col("__laps") % F.col("__count")).cast("long")
+    return numbered.join(counts, same).withColumn("__mine", mine.cast("int")).where("__mine > 0")

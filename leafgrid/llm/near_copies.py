@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import checkpointed
+from leafgrid.llm.common import checkpointed, counted
 from leafgrid.llm.graph import connected_components
-from leafgrid.llm.simhash import LEAF, _Sets
+from leafgrid.llm.simhash import _Sets, forest_pairs
 
 VALUES, BANDS, ROWS, RADIUS, TILE, PIVOTS = 256, 12, 4, 22, 2048, 64
 #: Taken off the similarity before an estimate is held against it: six standard errors at 0.8. Pairs above are compared exactly.
@@ -74,7 +74,9 @@ def sketch(text: bytes, words: int, a: np.ndarray, b: np.ndarray) -> tuple[int,
 
 
 def node_of(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    """Name of a document: 128 bits (md5, base 64) of its id and text."""
+    both = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.substring(F.base64(F.unhex(F.md5(both))), 1, 22)
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -100,7 +102,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
             )
 
     plain = docs.select(F.col(id_col).alias("id"), node_of(id_col, text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, f"id {kind}, node long, f long, values binary, keys array<long>")
+    return plain.mapInArrow(run, f"id {kind}, node string, f long, values binary, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -112,7 +114,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(made, pa.binary())], names=["node", "shingles"])
 
     texts = docs.select(node_of(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
-    return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles binary")
+    return texts.join(nodes, "node", "left_semi").mapInArrow(run, "node string, shingles binary").dropDuplicates(["node"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -123,78 +125,78 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def tree_links(f: np.ndarray, values: np.ndarray, shingles: list[np.ndarray], similarity: float, sets: _Sets, offset: int, radius: int = RADIUS) -> None:
-    """Join in ``sets`` all documents of a shard whose SimHashes lie within the radius and whose shingle sets are similar enough."""
+def tree_links(f: np.ndarray, shard: np.ndarray, values: np.ndarray, shingles: list[np.ndarray], similarity: float, sets: _Sets, radius: int = RADIUS) -> None:
+    """Join in ``sets`` all documents of one shard whose SimHashes lie within the radius and whose shingle sets are similar enough.
+
+    Rows of a shard stand together; the BK-trees of all shards are searched side by side.
+    """
     lengths = np.array([len(s) for s in shingles])
 
     def apart(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        two = sets.roots(p + offset) != sets.roots(q + offset)
+        two = sets.roots(p) != sets.roots(q)
         return p[two], q[two]
 
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        i, j = i[i < j], j[i < j]  # the search meets each pair from both sides
+    for i, j in forest_pairs(f, shard, radius):
         for at in range(0, len(i), 20000):
             p, q = apart(i[at : at + 20000], j[at : at + 20000])
             if not len(p):
                 continue
+            alike = np.minimum(lengths[p], lengths[q]) / np.maximum(lengths[p], lengths[q]) >= similarity
+            p, q = p[alike], q[alike]
             alike = (values[p] == values[q]).mean(1) >= similarity - SLACK
-            alike &= np.minimum(lengths[p], lengths[q]) / np.maximum(lengths[p], lengths[q]) >= similarity
             p, q = p[alike], q[alike]
             while len(p):
                 now = np.array([jaccard(shingles[x], shingles[y]) >= similarity for x, y in zip(p[:VERIFY], q[:VERIFY])])
-                sets.union(p[:VERIFY][now] + offset, q[:VERIFY][now] + offset)
+                sets.union(p[:VERIFY][now], q[:VERIFY][now])
                 p, q = apart(p[VERIFY:], q[VERIFY:])
 
-    every = np.arange(len(f))
-    todo = [(every, every)]
-    while todo:
-        items, asked = todo.pop()
-        if len(items) <= LEAF or len(asked) <= LEAF:
-            near = np.bitwise_count(f[items][:, None] ^ f[asked][None, :]) <= radius
-            near &= items[:, None] != asked[None, :]
-            x, y = np.nonzero(near)
-            link(items[x], asked[y])
-            continue
-        pivot, rest = items[0], items[1:]
-        away = np.bitwise_count(f[asked] ^ f[pivot]).astype(np.int64)
-        close = asked[(away <= radius) & (asked != pivot)]
-        link(np.full(len(close), pivot), close)
-        key = np.bitwise_count(f[rest] ^ f[pivot]).astype(np.int64)
-        for d in np.unique(key):
-            reach = asked[np.abs(away - d) <= radius]
-            if len(reach):
-                todo.append((rest[key == d], reach))
+
+def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8), offsets
 
 
 def _solve(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"s": [], "n": [], "f": [], "v": []}
-        shard = None
-
-        def flush() -> pa.RecordBatch | None:
-            if len(held["n"]) < 2:
-                return None
-            nodes, first = np.unique(np.array(held["n"], np.int64), return_index=True)
-            f = np.array(held["f"], np.int64)[first].view(np.uint64)
-            values = np.frombuffer(b"".join(held["v"]), np.uint8).reshape(-1, VALUES)[first]
-            sets = _Sets(len(nodes))
-            shingles = [np.frombuffer(held["s"][i], np.uint64) for i in first]
-            tree_links(f, values, shingles, similarity, sets, 0)
-            root = sets.roots(np.arange(len(nodes)))
-            some = root != np.arange(len(nodes))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], names=["a", "b"]) if some.any() else None
+    """Kernel over rows sorted by (key, tile): spanning stars (a, b) of each shard's links."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        column = lambda c: rows[c].chunk(0)
+        key, tile = column("key").to_numpy(), column("tile").to_numpy()
+        shard = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+        data, offsets = _blobs(column("values"))
+        values = data[offsets[0] : offsets[-1]].reshape(-1, VALUES)
+        data, offsets = _blobs(column("shingles"))
+        shingles = [data[a:b].view(np.uint64) if a % 8 == 0 else np.frombuffer(data[a:b].tobytes(), np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
+        sets = _Sets(len(shard))
+        tree_links(column("f").to_numpy().view(np.uint64), shard, values, shingles, similarity, sets)
+        root = sets.roots(np.arange(len(shard)))
+        some = np.flatnonzero(root != np.arange(len(shard)))
+        if not len(some):
+            return None
+        nodes = column("node")
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(root[some]))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows up to the last shard's, which may go on in the next batch
         for b in batches:
-            for key, tile, n, f, v, s in zip(*(b[c].to_pylist() for c in ("key", "tile", "node", "f", "values", "shingles")), strict=True):
-                if (key, tile) != shard:
-                    if (out := flush()) is not None:
-                        yield out
-                    shard, held = (key, tile), {"s": [], "n": [], "f": [], "v": []}
-                held["n"].append(n)
-                held["f"].append(f)
-                held["v"].append(v)
-                held["s"].append(s)
-        if (out := flush()) is not None:
+            if not b.num_rows:
+                continue
+            key, tile = b["key"].to_numpy(), b["tile"].to_numpy()
+            if held and (held[-1]["key"][-1].as_py(), held[-1]["tile"][-1].as_py()) != (key[0], tile[0]):
+                if (out := stars(held)) is not None:
+                    yield out
+                held = []
+            other = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
+            if len(other):
+                if (out := stars([*held, b.slice(0, int(other[-1]) + 1)])) is not None:
+                    yield out
+                held = [b.slice(int(other[-1]) + 1)]
+            else:
+                held.append(b)
+        if held and (out := stars(held)) is not None:
             yield out
 
     return run
@@ -263,13 +265,13 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Shards of the same members (told by 128 bits) have the same links.
     shards = checkpointed(members.where("count > 1").groupBy("count", "x0", "x1").agg(F.min("key").alias("key")).select("key", "count"))
     shared = keyed.join(shards, "key").select("key", "node", "count")
-    sets = _shingle_sets(docs, checkpointed(shared.select("node").distinct()), id_col, text_col, words)
+    sets = _shingle_sets(docs, counted(checkpointed(shared.select("node").distinct())), id_col, text_col, words)
     known = checkpointed(sets.join(sketches.select("node", "f", "values").dropDuplicates(["node"]), "node"))
 
     def solved(members: DataFrame) -> DataFrame:
-        placed = checkpointed(members).join(known, "node").select("key", "tile", "node", "f", "values", "shingles")
+        placed = checkpointed(members.distinct()).join(known, "node").select("key", "tile", "node", "f", "values", "shingles")
         placed = placed.repartition("key", "tile").sortWithinPartitions("key", "tile")
-        return checkpointed(placed.mapInArrow(_solve(similarity), "a long, b long"))
+        return checkpointed(placed.mapInArrow(_solve(similarity), "a string, b string"))
 
     cut = shards.where(F.col("count") > TILE)
     groups = checkpointed(connected_components(solved(first_tiles(shared, TILE))))
@@ -285,5 +287,6 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input's rows and columns without near copies: one document of each group stays."""
-    losers = checkpointed(near_copy_groups(docs, id_col, text_col, words, similarity).where("not keeper").select(F.col("node").alias("__node")))
+    losers = near_copy_groups(docs, id_col, text_col, words, similarity).where("not keeper").select(F.col("node").alias("__node"))
+    losers = counted(checkpointed(losers))
     return docs.withColumn("__own", node_of(id_col, text_col)).join(losers, F.col("__own") == F.col("__node"), "left_anti").drop("__own")

@@ -136,13 +136,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    return classified(docs.select(F.col(id_col), F.col(text_col)), labels, id_col, text_col, threshold).select(
-        id_col, held_out(id_col).alias("held_out"), "score", "predicted"
-    )
+    score = scorer(docs, labels, id_col, text_col)(F.coalesce(F.col(text_col), F.lit("")))
+    scored = docs.select(id_col, held_out(id_col).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input's rows and columns plus ``score`` and ``predicted``, which replace columns of those names."""
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The input's rows and columns with a score of ``threshold`` or more."""
+    return docs.where(scorer(docs, labels, id_col, text_col)(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
+
+
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
+    """A function of a non-null text column that gives its score under the model of these documents and labels."""
     model = learn(docs, labels, id_col, text_col)
     # Plain arrays: workers need not import this module to read them.
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.mean, model.scale, model.weight, model.shift))
@@ -155,5 +160,4 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             return pd.Series(np.full(len(texts), 0.5))
         return pd.Series(Model(*shared.value).scores(features([t.encode("utf-8", "surrogatepass") for t in texts])))
 
-    out = docs.withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score
