@@ -1,7 +1,12 @@
 """A corpus pipeline: quality, exact copies, near copies, source weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of ``documents``.
+next stage's docs. All but the last return the columns of ``documents``, unchanged, whatever their names.
+
+Defined results of all stages: null and empty texts are documents without words (the classifier scores them like any
+text, they are copies of each other, link to no near copy, take no part of the budget and stay once in the mix, and pack as pieces
+of size 0); a null id or source is a value of its own; of rows equal in id and text exact dedup keeps one; ties go to the
+larger id in exact dedup and to the smaller one among near copies; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,19 +15,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import drop_exact_copies
-from leafgrid.llm.mixing import mix
+from leafgrid.llm.mixing import mixed_rows
 from leafgrid.llm.near_copies import drop_near_copies
 from leafgrid.llm.packing import pack
-from leafgrid.llm.quality import classified
+from leafgrid.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1."""
-    return classified(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select(docs.columns)
+    return keep_good(docs, read(spark, sf_dir, "labels")).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice. A document without words takes no part of the
     budget and stays once.
     """
-    taken = mix(docs.select("doc_id", "text", "source")).select(
-        F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int")).alias("__times")
-    )
-    out = docs.join(taken.where("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times")), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__lap")).select(docs.columns)
+    return mixed_rows(docs).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
