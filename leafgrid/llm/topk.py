@@ -9,13 +9,15 @@ equals it is still scored, since a tie may go to a smaller id.
 
 Queries travel in fixed blocks of at most ``QUERY_BLOCK`` rows, gathered by the driver one block at a time and
 broadcast (QUERY_BLOCK * dimensions * 8 bytes at most); all candidate partitions of the cluster work on each
-block, and every partition sends back at most k rows a query, which are merged per query.
+block. Partitions are searched in waves, each of all so far times ``WAVE_GROWTH``: after a wave the k best rows of each query are kept,
+and their k-th score is the floor below which the next wave's blocks and rows are left out. So about WAVE_GROWTH * k rows
+a query come back from a wave, and their number grows with the logarithm of the table.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, neither as
 queries nor as candidates; shorter vectors count as padded with zeros; a query's own id never is its answer;
 ties go to the smaller id; a repeated candidate row is a candidate each time, a repeated query id is asked once, with its
 least vector; an empty table gives an empty result; extra columns
-are ignored. Components must stay below 2**31 after scaling; sums are 64-bit.
+are ignored. A component of 2**31 or more after scaling stops the run; sums are 64-bit.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SCALE, K = 64, 20
 BLOCK, QUERY_BLOCK = 256, 8192
 #: Rows of one partition of candidates: bounds a task's memory.
 PARTITION_ROWS = 65536
+#: Partitions of the first wave, and growth of what all waves so far have searched.
+FIRST_PARTS, WAVE_GROWTH = 64, 4
 #: Stands for no score; its negative is a valid number too.
 NONE = -(2**62)
 _OUT = "query_id long, vec_id long, score long"
@@ -42,9 +46,9 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v array<long>) of the rows that take part."""
     v = F.col(vec_col)
     odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
-    return vectors.where(v.isNotNull() & ~F.exists(v, odd)).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v")
-    )
+    large = F.raise_error(F.lit("a component is 2**31 or more after scaling")).cast("long")
+    scaled = lambda x: F.when(F.abs(x.cast("double") * SCALE) < 2.0**31, F.floor(x.cast("double") * SCALE).cast("long")).otherwise(large)
+    return vectors.where(v.isNotNull() & ~F.exists(v, odd)).select(F.col(id_col).cast("long").alias("id"), F.transform(v, scaled).alias("v"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -66,8 +70,12 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int):
-    """Top k of rows (sorted by id) for each query: arrays (query number, id, score). Also the blocks scored."""
+def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int, floor: np.ndarray | None = None):
+    """Top k of rows (sorted by id) for each query: arrays (query number, id, score). Also the blocks scored.
+
+    ``floor`` has a score per query that k other rows reach; rows below it may be left out.
+    """
+    floor = np.full(len(queries), NONE) if floor is None else floor
     starts = np.arange(0, len(ids), block)
     highest, lowest = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
@@ -78,7 +86,7 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
     live, scored = np.arange(n), 0
     for turn in range(len(starts)):
         at = order[live, turn]
-        live = live[bounds[live, at] >= best_s[live, k - 1]]
+        live = live[bounds[live, at] >= np.maximum(best_s[live, k - 1], floor[live])]
         if not len(live):
             break
         at = order[live, turn]
@@ -104,25 +112,32 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
 
 
 def top_k(vectors: DataFrame, query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
-          query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
+          query_block: int = QUERY_BLOCK, block: int = BLOCK, wave_parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``query`` holds, its k best other rows."""
     spark = vectors.sparkSession
     usable = integer_vectors(vectors, id_col, vec_col)
     asked = integer_vectors(vectors.where(query), id_col, vec_col)
+    # Row numbers, fixed by the checkpoint, let a repeated id fill several partitions.
+    usable = checkpointed(usable.withColumn("row", F.monotonically_increasing_id()))
     size = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     rows, dims = size["n"], size["d"] or 0
     parts = max(1, min(-(-rows // PARTITION_ROWS), 100_000))
     parts = max(parts, min(spark.sparkContext.defaultParallelism, -(-rows // (4 * block))))
-    ranges = usable.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ranges = usable.repartitionByRange(parts, "id", "row").sortWithinPartitions("id").select("id", "v")
     asked = checkpointed(asked.groupBy("id").agg(F.min("v").alias("v")))
     cuts = asked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     n_blocks = max(1, -(-cuts // query_block))
     if n_blocks > 1:
         asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(2 * n_blocks)))
         turns = [asked.where(F.col("part") == p).drop("part") for p in range(2 * n_blocks)]
-        ranges = checkpointed(ranges)
     else:
         turns = [asked]
+    waves = waves_of(parts, wave_parts or max(FIRST_PARTS, 2 * spark.sparkContext.defaultParallelism))
+    if n_blocks > 1 or waves > 1:
+        ranges = checkpointed(ranges.withColumn("wave", wave_of(F.spark_partition_id(), parts, waves)))
+    else:
+        ranges = ranges.withColumn("wave", F.lit(0))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     found = None
     for turn in turns:
         table = turn.toArrow()  # about query_block rows or fewer: the stated block of queries
@@ -130,32 +145,71 @@ def top_k(vectors: DataFrame, query: Column, id_col: str = "vec_id", vec_col: st
             continue
         q_ids = table["id"].combine_chunks().to_numpy()
         q_rows = _matrix(table["v"].combine_chunks(), dims)
-        shared = spark.sparkContext.broadcast((q_ids, q_rows))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared, dims=dims, k=k, block=block) -> Iterator[pa.RecordBatch]:
-            ids, mats = [], []
-            for b in batches:
-                ids.append(b["id"].to_numpy(zero_copy_only=False))
-                mats.append(_matrix(b["v"], dims))
-            if not ids:
-                return
-            query_ids, queries = shared.value
-            own, matrix = np.concatenate(ids), np.concatenate(mats)
-            for at in range(0, len(query_ids), 1024):
-                part = slice(at, at + 1024)
-                s, i, _ = search_blocks(query_ids[part], queries[part], own, matrix, k, block)
-                some = s > NONE
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.broadcast_to(query_ids[part][:, None], s.shape)[some]), pa.array(i[some]), pa.array(s[some])],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-        part = ranges.mapInArrow(score, _OUT)
-        # A block of queries is finished before the next is gathered, so that its broadcast can go.
-        part = checkpointed(part) if len(turns) > 1 else part
-        found = part if found is None else found.unionByName(part)
+        best = None
+        for wave in range(waves):
+            # The k-th scores so far: rows below them are of no use, so a later wave sends back a few times k rows a query, not k a partition.
+            shared = spark.sparkContext.broadcast((q_ids, q_rows, _floors(best, q_ids, k)))
+            part = ranges.where(F.col("wave") == wave).select("id", "v").mapInArrow(_score(shared, dims, k, block), _OUT)
+            part = part if best is None else best.unionByName(part)
+            if waves > 1:
+                part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+            # A block of queries is finished before the next is gathered, so that its broadcast can go.
+            best = checkpointed(part) if len(turns) > 1 or waves > 1 else part
+        found = best if found is None else found.unionByName(best)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def waves_of(parts: int, first: int) -> int:
+    """Number of waves of partitions: ``first`` in the first one, and with each further wave WAVE_GROWTH times as many in all."""
+    waves, done = 1, first
+    while done < parts:
+        waves, done = waves + 1, done * WAVE_GROWTH
+    return waves
+
+
+def wave_of(part: Column, parts: int, waves: int) -> Column:
+    """The wave of a partition: places are shuffled, so that a wave samples all of the id range."""
+    place = F.pmod(F.xxhash64(part), F.lit(1 << 30)) / (1 << 30)
+    out = F.lit(waves - 1)
+    for w in range(waves - 2, -1, -1):
+        out = F.when(place < WAVE_GROWTH ** (w + 1 - waves), F.lit(w)).otherwise(out)
+    return out
+
+
+def _floors(best: DataFrame | None, query_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query so far (one number a query of the block)."""
+    floors = np.full(len(query_ids), NONE)
+    if best is None:
+        return floors
+    full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).toArrow()
+    at = np.argsort(query_ids)
+    floors[at[np.searchsorted(query_ids[at], full["query_id"].to_numpy())]] = full["s"].to_numpy()
+    return floors
+
+
+def _score(shared, dims: int, k: int, block: int):
+    """Kernel over a partition of candidates sorted by id: the rows that may be among the k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, mats = [], []
+        for b in batches:
+            if b.num_rows:
+                ids.append(b["id"].to_numpy(zero_copy_only=False))
+                mats.append(_matrix(b["v"], dims))
+        if not ids:
+            return
+        query_ids, queries, floors = shared.value
+        own, matrix = np.concatenate(ids), np.concatenate(mats)
+        for at in range(0, len(query_ids), 1024):
+            part = slice(at, at + 1024)
+            s, i, _ = search_blocks(query_ids[part], queries[part], own, matrix, k, block, floors[part])
+            some = (s > NONE) & (s >= floors[part][:, None])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.broadcast_to(query_ids[part][:, None], s.shape)[some]), pa.array(i[some]), pa.array(s[some])],
+                names=["query_id", "vec_id", "score"],
+            )
+
+    return run

@@ -244,6 +244,39 @@ def test_pruned_search_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_ranks_repeated_candidates_and_waves(spark):
+    """Every row of the answer, ranks and repeats included, for one wave and for many."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1500)]
+    rows += [(17, rows[17][1])] * 40 + [(40, rows[40][1])] * 3
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in range(0, 1500, 20):
+        v = good[q][1]
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = topk.PARTITION_ROWS
+    try:
+        for part_rows, wave in ((before, None), (50, 2)):
+            topk.PARTITION_ROWS = part_rows
+            out = topk.top_k(frame, F.col("vec_id") % 20 == 0, block=16, wave_parts=wave)
+            assert sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+    finally:
+        topk.PARTITION_ROWS = before
+    assert topk.waves_of(31, 2) == 3 and topk.waves_of(4, 8) == 1
+
+
+def test_components_beyond_the_bound_stop_the_run(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*31"):
+        topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()
+
+
 def test_blocks_below_the_bound_are_skipped():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.integers(-3, 4, (64, 8)) + 40, rng.integers(-3, 4, (640, 8))]).astype(np.int64)
