@@ -9,8 +9,9 @@ by residual, until it finds the tightest bin with room for one more document of
 residual are held by bitmap signature, since bins with equal bitmaps are interchangeable.
 
 Shards of documents are packed independently, one shard per task: the number of shards follows the number of
-rows (``SHARD_ROWS`` each on average) and rows are dealt to them by a hash of the id and the content, so a hot
-source or a hot cluster is spread evenly, a task's memory is bounded, and no text travels. Cluster bitmaps
+rows (``SHARD_ROWS`` each on average) and rows are dealt to them by a hash of id, content and row number, so a hot
+source, a hot cluster or a row repeated many times is spread evenly, a task's memory is bounded, and no text travels. Row numbers follow
+the input's partitions, so the bins of a table are the same in each run that reads it in the same splits. Cluster bitmaps
 need bits only for clusters that recur in a shard.
 
 Defined results: null text has size 0; pieces of size 0 go to one bin of their shard each time there is room (they take no
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         id_.alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"),
         word_count(F.col(text_col)).alias("size"),
     )
-    sized = checkpointed(sized.withColumn("order", F.xxhash64("id", "cluster", "source")))
+    sized = checkpointed(sized.withColumns({"order": F.xxhash64("id", "cluster", "source"), "row": F.monotonically_increasing_id()}))
     shards = max(1, -(-sized.count() // shard_rows))
     shape = f"id {kind}, source string, cluster long, piece int, start_word long, words long, bin_id string, bin_offset int"
 
@@ -129,6 +130,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             "words": made["words"], "bin_id": str(shard) + "-" + made["bin"].astype(str), "bin_offset": made["offset"],
         })
 
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "order", "size"), F.lit(shards)))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "order", "row"), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(pack_one, shape)
     return packed.withColumnRenamed("id", id_col)

@@ -79,3 +79,35 @@ def test_shards_keep_all_rows_and_reruns_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = [sorted(map(tuple, packing.pack(docs, shard_rows=60).collect())) for _ in range(2)]
     assert out[0] == out[1] and {r[0] for r in out[0]} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_each_piece_goes_to_the_tightest_bin():
+    """Replays the placements of a shard: no compatible bin was tighter than the chosen one."""
+    rng = random.Random(9)
+    for hot in (0.1, 0.6):
+        rows = frame(rng, 600, hot)
+        data = pd.DataFrame(rows, columns=["id", "source", "cluster", "size"])
+        data["order"] = range(len(data))
+        made = packing.pack_shard(data, 100, 2)
+        bins = {}
+        for r in made.itertuples():
+            if r.words == 100:
+                continue
+            fits = [b for b in bins.values() if b["room"] >= r.words and b["sources"][r.source] < 2 and r.cluster not in b["clusters"]]
+            if r.bin in bins:
+                assert any(b is bins[r.bin] for b in fits) and bins[r.bin]["room"] == min(b["room"] for b in fits)
+            else:
+                assert not fits
+                bins[r.bin] = {"room": 100, "sources": Counter(), "clusters": set()}
+            b = bins[r.bin]
+            assert r.offset == 100 - b["room"]
+            b["room"] -= r.words
+            b["sources"][r.source] += 1
+            b["clusters"].add(r.cluster)
+
+
+def test_a_row_repeated_many_times_fills_many_shards(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 0, "x")] * 3000, SCHEMA)
+    out = packing.pack(docs, capacity=12, shard_rows=300).collect()
+    shards = Counter(r["bin_id"].split("-")[0] for r in out)
+    assert sum(shards.values()) == 3000 and len(shards) == 10 and max(shards.values()) < 450
