@@ -6,9 +6,10 @@ it, and the path starts with the rule's), the longest decides.
 
 URLs that no rule fits are judged by their host's template tree, whose labels are the rules' own verdicts:
 
-1. shape: digit runs in a segment become ``#``; segments beyond ``LEVELS`` collapse into one ``...``;
-2. generalise: level by level, all children of a node with more than ``MAX_FAN`` different segments
-   become the wildcard ``*``;
+1. shape: digit runs in a segment become ``#``; the path is its first ``LEVELS - 1`` segments and, as one more, all that
+   follows them, so that the whole path counts;
+2. generalise: level by level, the children of a node with more than ``MAX_FAN`` different segments
+   become the wildcard ``*``; of the labelled ones only those that step 3 would merge, the others stay as they are;
 3. merge: at each level, sibling templates that differ only there become one wildcard branch if at least
    two siblings carry labels; a labelled sibling joins if its share of blocked URLs does not differ from
    the pooled share (one-degree chi-squared test at 5%), an unlabelled one always. A host with a single
@@ -19,7 +20,7 @@ Defined results: null URLs and URLs without ``://`` have empty host and path, fi
 repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 
 Only counts per (host, shape) travel through the tree. After step 2 a host has at most
-MAX_FAN ** LEVELS templates, which bounds the windows of step 3; before it, fan-outs come from partial
+(MAX_FAN + its labelled branches) ** LEVELS templates, which bounds the windows of step 3; before it, fan-outs come from partial
 aggregates and joins.
 """
 
@@ -38,7 +39,7 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-LEVELS, MAX_FAN = 3, 32
+LEVELS, MAX_FAN = 4, 32
 #: Smoothed share of blocked URLs, in percent, from which a template is rejected.
 PURITY = 90
 #: Critical value of the chi-squared distribution, one degree of freedom, 5%.
@@ -67,10 +68,15 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def _shape(path: Column) -> list[Column]:
-    """The first LEVELS segments with digit runs as '#', '' where missing, then '...' if there are more."""
-    segments = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "#"), "/", -1)
-    first = [F.coalesce(F.get(segments, F.lit(i)), F.lit("")) for i in range(LEVELS)]
-    return [*first, F.when(F.size(segments) > LEVELS, F.lit("...")).otherwise(F.lit(""))]
+    """The first LEVELS - 1 segments with digit runs as '#', '' where missing, then all further segments as one."""
+    segments = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "#"), "/", LEVELS)
+    return [F.coalesce(F.get(segments, F.lit(i)), F.lit("")) for i in range(LEVELS)]
+
+
+def _similar(b: Column, n: Column, b_all: Column, n_all: Column) -> Column:
+    """Whether b blocked of n labelled fit b_all of n_all (one-degree chi-squared test)."""
+    apart = b * n_all - n * b_all
+    return apart * apart <= F.lit(CHI2) * n * b_all * (n_all - b_all)
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -83,50 +89,54 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     shape = _shape(F.col("path"))
     judged = judged.select(
         "id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"),
-        *[c.alias(n) for c, n in zip(shape, [*names, "more"], strict=True)],
+        *[c.alias(n) for c, n in zip(shape, names, strict=True)],
     )
     tree = checkpointed(
-        judged.groupBy("host", *names, "more").agg(
+        judged.groupBy("host", *names).agg(
             F.count_if(F.col("ruled") == "block").alias("b"), F.count("ruled").alias("n")
         )
     )
     # Generalise: t_i is the segment of level i, or '*' below a node with many children.
     for i, name in enumerate(names):
         node = ["host", *[f"t{k}" for k in range(i)]]
-        fan = tree.select(*node, name).distinct().groupBy(*node).agg(F.count(F.lit(1)).alias("fan"))
-        tree = tree.join(fan, node).withColumn(f"t{i}", F.when(F.col("fan") > MAX_FAN, F.lit("*")).otherwise(F.col(name))).drop("fan")
-    tree = checkpointed(tree)
+        children = checkpointed(tree.groupBy(*node, name).agg(F.sum("b").cast("double").alias("cb"), F.sum("n").cast("double").alias("cn")))
+        totals = children.groupBy(*node).agg(
+            F.count(F.lit(1)).alias("fan"), F.sum("cb").alias("tb"), F.sum("cn").alias("tn"), F.count_if(F.col("cn") > 0).alias("labelled")
+        )
+        # Only nodes with many children and their labelled children have an own verdict; all other children of such nodes are unlabelled.
+        wide = checkpointed(totals.where(F.col("fan") > MAX_FAN))
+        own = children.where("cn > 0").join(wide, node).where(~((F.col("labelled") >= 2) & _similar(F.col("cb"), F.col("cn"), F.col("tb"), F.col("tn"))))
+        tree = tree.join(wide.select(*node, F.lit(True).alias("wide")), node, "left").join(own.select(*node, name, F.lit(True).alias("own")), [*node, name], "left")
+        tree = checkpointed(tree.withColumn(f"t{i}", F.when(F.col("wide") & F.col("own").isNull(), F.lit("*")).otherwise(F.col(name))).drop("wide", "own"))
     keys = [f"t{i}" for i in range(LEVELS)]
-    merged = tree.groupBy("host", *keys, "more").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    merged = tree.groupBy("host", *keys).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
     merged = merged.select("*", *[F.col(k).alias(f"m{i}") for i, k in enumerate(keys)])
     for i in range(LEVELS):
         final = [f"m{k}" for k in range(LEVELS)]
-        rest = ["host", *[m for m in final if m != f"m{i}"], "more"]
-        branch, siblings = Window.partitionBy("host", *final, "more"), Window.partitionBy(*rest)
+        rest = ["host", *[m for m in final if m != f"m{i}"]]
+        branch, siblings = Window.partitionBy("host", *final), Window.partitionBy(*rest)
         merged = merged.withColumns({"bn": F.sum("b").over(branch).cast("double"), "nn": F.sum("n").over(branch).cast("double")})
         merged = merged.withColumns({
             "bs": F.sum("b").over(siblings).cast("double"),
             "ns": F.sum("n").over(siblings).cast("double"),
             "labelled": F.size(F.collect_set(F.when(F.col("nn") > 0, F.col(f"m{i}"))).over(siblings)),
         })
-        similar = (F.col("bn") * F.col("ns") - F.col("nn") * F.col("bs")) * (F.col("bn") * F.col("ns") - F.col("nn") * F.col("bs")) <= (
-            F.lit(CHI2) * F.col("nn") * F.col("bs") * (F.col("ns") - F.col("bs"))
-        )
+        similar = _similar(F.col("bn"), F.col("nn"), F.col("bs"), F.col("ns"))
         merge = (F.col("labelled") >= 2) & ((F.col("nn") == 0) | similar) & (F.col(f"m{i}") != "")
         merged = merged.withColumn(f"m{i}", F.when(merge, F.lit("*")).otherwise(F.col(f"m{i}"))).drop("bn", "nn", "bs", "ns", "labelled")
-    final = Window.partitionBy("host", *[f"m{i}" for i in range(LEVELS)], "more")
+    final = Window.partitionBy("host", *[f"m{i}" for i in range(LEVELS)])
     blocked, labelled = F.sum("b").over(final), F.sum("n").over(final)
-    parts_of = F.filter(F.array(*[F.col(f"m{i}") for i in range(LEVELS)], F.col("more")), lambda x: x != "")
+    parts_of = F.filter(F.array(*[F.col(f"m{i}") for i in range(LEVELS)]), lambda x: x != "")
     verdicts = merged.select(
-        F.col("host").alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("more").alias("mo"),
+        F.col("host").alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
         F.when((blocked + 1) * 100 >= (labelled + 2) * PURITY, F.lit("block")).otherwise(F.lit("allow")).alias("learnt"),
         F.concat(F.lit("/"), F.array_join(parts_of, "/")).alias("template"),
     )
-    at_node = (tree["host"] == verdicts["h"]) & (tree["more"] == verdicts["mo"])
+    at_node = tree["host"] == verdicts["h"]
     for i in range(LEVELS):
         at_node = at_node & (tree[f"t{i}"] == verdicts[f"k{i}"])
-    leaves = checkpointed(tree.join(verdicts, at_node).select("host", *names, "more", "learnt", "template"))
-    out = judged.join(leaves, ["host", *names, "more"])
+    leaves = checkpointed(tree.join(verdicts, at_node).select("host", *names, "learnt", "template"))
+    out = judged.join(leaves, ["host", *names])
     return out.select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.coalesce("ruled", "learnt").alias("verdict"), "template",

@@ -373,5 +373,24 @@ def test_url_templates_generalise_from_two_branches(spark):
     assert out[140]["rule"] is None and out[140]["verdict"] == "allow"
 
 
+def test_url_templates_use_the_whole_path(spark):
+    """Paths that differ from the fifth segment on have templates of their own."""
+    rules = (("block", "h.com/a/b/c/d/bad/x/"), ("block", "h.com/a/b/c/d/bad/y/"), ("allow", "h.com/a/b/c/d/good/"))
+    urls = [f"http://h.com/a/b/c/d/{s}/{i}" for s in ("bad/x", "bad/y", "good/z") for i in range(30)] + ["http://h.com/a/b/c/d/other/1"]
+    out = judged(spark, urls, rules=rules)
+    assert out[0]["template"] == "/a/b/c/d/bad/x/#" and out[60]["template"] == "/a/b/c/d/good/z/#"
+    assert out[90]["rule"] is None and out[90]["template"] not in (out[0]["template"], out[60]["template"])
+
+
+def test_one_labelled_branch_does_not_speak_for_a_wide_host(spark):
+    rules = (("block", "w.com/a/"), ("block", "v.com/a/"), ("block", "v.com/b/"), ("allow", "v.com/c/"))
+    letters = [x + y for x in string.ascii_lowercase[3:9] for y in string.ascii_lowercase[:7]]
+    urls = [f"http://{h}.com/{s}/{i}" for h in "wv" for s in [*"abc", *letters] for i in range(12)]
+    out = judged(spark, urls, rules=rules)
+    by = {u: out[i] for i, u in enumerate(urls)}
+    assert by["http://w.com/dc/3"]["verdict"] == "allow" and by["http://w.com/a/3"]["template"] == "/a/#" and by["http://w.com/dc/3"]["template"] == "/*/#"
+    assert by["http://v.com/c/3"]["template"] == "/c/#" and by["http://v.com/dc/3"]["template"] == "/*/#"
+
+
 def test_rules_are_sorted_by_length():
     assert oracles.OP8.index("example.com/en/7") < oracles.OP8.index("'com/en/'")
