@@ -8,7 +8,7 @@ from leafgrid.llm import oracles
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.language_id import identify
-from leafgrid.llm.licenses import scan_licenses
+from leafgrid.llm.licenses import ALL_TEMPLATES, scan_licenses
 from leafgrid.llm.mixing import mix
 from leafgrid.llm.packing import pack
 from leafgrid.llm.quality import score_quality
@@ -28,7 +28,7 @@ def op1_simhash_near_dedup(spark, sf_dir):
 
 @REGISTRY.query("op2_license_scan")
 def op2_license_scan(spark, sf_dir):
-    return scan_licenses(read(spark, sf_dir, "documents"))
+    return scan_licenses(read(spark, sf_dir, "documents"), templates=ALL_TEMPLATES)
 
 
 @REGISTRY.query("op3_language_id")

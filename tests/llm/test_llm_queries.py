@@ -345,6 +345,50 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(docs(spark, [])).collect() == []
 
 
+NOTICES = {
+    "SPDX-License-Identifier: MIT": "MIT", "MIT License\n\nCopyright (c) 2020 Someone": "MIT", "GNU GENERAL PUBLIC LICENSE Version 3": "GPL-3.0", "Released under the BSD 3-Clause License": "BSD-3-Clause",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "as-is-disclaimer",
+    "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under the MIT License.": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+}
+
+
+def test_usual_notices_are_found(spark):
+    lines = list(NOTICES)
+    rows = [(i, f"some words before it and {t} and some words after it", "s") for i, t in enumerate(lines)]
+    found = defaultdict(set)
+    for r in licenses.scan_licenses(docs(spark, rows), templates=licenses.ALL_TEMPLATES).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert all(NOTICES[t] in found[i] for i, t in enumerate(lines)), dict(found)
+
+
+def test_long_texts_are_found_with_edits_and_each_occurrence_counts(spark):
+    """Every eleventh word of a license text changed keeps too few shingles; every thirtieth keeps enough. Repeats are rows of their own."""
+    rng, rows, want = random.Random(3), [], {}
+    base = len(licenses.TEMPLATES) + len(licenses.MORE_NOTICES)
+    for k, (_, text) in enumerate(licenses.LONG_TEXTS):
+        words = re.findall(r"[^\W_]+", text)
+        shingles = {tuple(w.lower() for w in words[i : i + 5]) for i in range(len(words) - 4)}
+        for every in (11, 30, 40, 1000):
+            for _ in range(5):
+                cut = [f"edit{rng.random()}".replace(".", "") if i % every == every - 1 else w for i, w in enumerate(words)]
+                own = {tuple(w.lower() for w in cut[i : i + 5]) for i in range(len(cut) - 4)}
+                want[len(rows), base + k] = len(own & shingles) / len(shingles)
+                lead = [f"lead{i}" for i in range(rng.randrange(40))]
+                rows.append((len(rows), " ".join([*lead, *cut, "tail"]), "s"))
+    twice = len(rows)
+    line = licenses.TEMPLATES[5][1]
+    rows.append((twice, f"a {line} {line} between {line} z", "s"))
+    spans, got = [], {}
+    for r in licenses.scan_licenses(docs(spark, rows), templates=licenses.ALL_TEMPLATES).collect():
+        if r["doc_id"] == twice and r["notice"] == 5:
+            spans.append((r["start_word"], r["end_word"]))
+        got[r["doc_id"], r["notice"]] = r["containment"]
+    assert sorted(spans) == [(1, 13), (13, 25), (26, 38)]
+    for key, share in want.items():
+        assert (key in got) == (share >= 0.8), (key, share)
+        assert key not in got or abs(got[key] - share) < 1e-9
+
+
 # --- URLs --------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, host int, verdict string"
