@@ -23,7 +23,10 @@ def contained(texts: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
 
     A small list, by its measured size, is broadcast. A larger one is joined by an anchor: a passage's second to fourth words (between spaces) stand in any
     text that contains it, so texts and passages meet by an equi-join on their hashes, and the containment itself is then tested. Passages of fewer
-    than five words have no anchor; they must fit the broadcast bound.
+    than five words have no anchor; they are broadcast in blocks of about half the default bound.
+
+    Defined results: null texts and null passages take no part, the empty passage is in every text; a null id finds nothing in the anchored way; repeated
+    rows give one row per (id, item) there and one per text otherwise; empty tables give an empty result.
     """
     texts, passages = texts.select(F.col(id_col), F.col(text_col)), passages.select(F.col(item_col), F.col(passage_col)).where(F.col(passage_col).isNotNull())
 
@@ -33,14 +36,20 @@ def contained(texts: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
         return both.select(id_col, F.explode(F.filter("_p", lambda x: F.contains(F.col(text_col), x[passage_col]))).alias("_h")).select(id_col, f"_h.{item_col}")
 
     size = lambda rows: rows.agg(F.sum(F.octet_length(passage_col)).alias("n")).first()["n"] or 0
-    if size(passages) <= broadcast_bytes:
+    in_all = size(passages)
+    if in_all <= broadcast_bytes:
         return listed(passages)
     split = passages.withColumn("_w", F.split(passage_col, " ", -1))
     short, long = split.where(F.size("_w") < ANCHOR + 2).drop("_w"), split.where(F.size("_w") >= ANCHOR + 2)
-    if size(short) > broadcast_bytes:
-        raise ValueError("too many passages of fewer than five words")
-    keyed = long.select(item_col, passage_col, F.get(_anchors(F.col("_w"), F.lit(1), F.lit(1)), F.lit(0)).alias("_a"))
+    # Only ids and anchors meet; the texts of the few candidates come back by their ids.
+    keyed = long.select(item_col, F.get(_anchors(F.col("_w"), F.lit(1), F.lit(1)), F.lit(0)).alias("_a"))
     words = texts.withColumn("_w", F.split(text_col, " ", -1))
-    hits = words.select(id_col, text_col, F.explode(F.array_distinct(_anchors(F.col("_w"), F.lit(0), F.size("_w") - ANCHOR))).alias("_a"))
-    found = hits.join(keyed, "_a").where(F.contains(F.col(text_col), F.col(passage_col))).select(id_col, item_col)
-    return found.unionByName(listed(short)).distinct()
+    anchors = words.select(id_col, F.explode(F.array_distinct(_anchors(F.col("_w"), F.lit(0), F.size("_w") - ANCHOR))).alias("_a"))
+    candidates = anchors.join(keyed, "_a").select(id_col, item_col).distinct()
+    found = candidates.join(texts, id_col).join(long.select(item_col, passage_col), item_col).where(F.contains(F.col(text_col), F.col(passage_col))).select(id_col, item_col)
+    # Passages without an anchor go in blocks of half the default bound, each against all texts.
+    blocks = -(-2 * size(short) // BROADCAST_BYTES)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64(passage_col, item_col), F.lit(blocks)) == k)
+        found = found.unionByName(listed(block))
+    return found.distinct()

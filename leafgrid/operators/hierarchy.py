@@ -95,26 +95,33 @@ def page_outlines(h: DataFrame, recent: int = 12, following: int | None = None)
     """
     titles = clamp_levels(h.where((F.col("block_type") == "paragraph_title") & F.col("level").isin(*T.LEVELS)))
     titles = titles.withColumn("rank", T.level_rank(F.col("repaired"))).select("doc", "page_id", "ord", "level", "repaired", "rank", T.clip(F.col("text")).alias("text"))
-    pages = h.select("doc", "page_id").distinct()
-    row = F.struct("ord", "rank", "repaired", "text", "page_id", "level")
-    per_page = titles.groupBy("doc", "page_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    # A page's context is the state at the last title before it, so each title keeps its own path, recent titles and seen levels.
+    at_title = active_path(titles.withColumn("block_type", F.lit("paragraph_title")))
+    line = F.concat(F.lit("  "), F.col("repaired"), F.lit(" "), F.col("text"))
+    back = _order().rowsBetween(1 - recent, 0)
+    running = _order().rowsBetween(Window.unboundedPreceding, 0)
+    state = F.struct(
+        F.array(*[F.col(f"path{n}") for n in range(1, 5)]).alias("path"), F.collect_list(line).over(back).alias("listed"),
+        F.array(*[F.max(F.col("rank") == n).over(running) for n in range(1, 5)]).alias("seen"),
+    )
+    at_title = at_title.withColumn("state", state)
+    aggregates = [F.max_by("state", "ord").alias("last")]
+    if following is not None:
+        ahead = F.concat(F.lit("  page "), (F.col("page_id") + 1).cast("string"), F.lit(": "), F.col("level"), F.lit(" "), F.col("text"))
+        at_title = at_title.withColumn("ahead", F.collect_list(ahead).over(_order().rowsBetween(0, following - 1)))
+        aggregates.append(F.min_by("ahead", "ord").alias("first"))
+    all_pages = h.select("doc", "page_id").distinct().join(at_title.groupBy("doc", "page_id").agg(*aggregates), ["doc", "page_id"], "left")
     by_page = Window.partitionBy("doc").orderBy("page_id")
-    all_pages = pages.join(per_page, ["doc", "page_id"], "left").withColumn("t", F.coalesce("t", F.array().cast(per_page.schema["t"].dataType)))
-    earlier = F.flatten(F.collect_list("t").over(by_page.rowsBetween(Window.unboundedPreceding, -1)))
-    all_pages = all_pages.withColumn("past", earlier)
-    later = F.flatten(F.collect_list("t").over(by_page.rowsBetween(1, Window.unboundedFollowing)))
-    all_pages = all_pages.withColumn("next", F.slice(later, 1, following or 1))
-    start = F.array(*[F.lit(None).cast("string") for _ in range(4)])
-    path = F.aggregate("past", start, lambda acc, x: F.transform(acc, lambda t, i: F.when(i + 1 < x["rank"], t).when(i + 1 == x["rank"], x["text"])))
-    all_pages = all_pages.withColumn("path", path)
+    all_pages = all_pages.withColumn("state", F.last("last", True).over(by_page.rowsBetween(Window.unboundedPreceding, -1)))
+    texts = F.array().cast("array<string>")
+    path = F.coalesce(F.col("state.path"), F.array_repeat(F.lit(None).cast("string"), 4))
     empty = F.lit("  " + OUTLINE["empty"])
-    lines = F.filter(F.transform("path", lambda t, i: F.concat(F.repeat(F.lit("  "), i + 1), F.lit("H"), (i + 1).cast("string"), F.lit(": "), t)), lambda x: x.isNotNull())
-    listed = F.transform(F.slice("past", -recent, recent) if recent else F.col("past"), lambda x: F.concat(F.lit("  "), x["repaired"], F.lit(" "), x["text"]))
-    listed = F.when(F.size("past") > recent, listed).otherwise(F.transform("past", lambda x: F.concat(F.lit("  "), x["repaired"], F.lit(" "), x["text"])))
+    lines = F.filter(F.transform(path, lambda t, i: F.concat(F.repeat(F.lit("  "), i + 1), F.lit("H"), (i + 1).cast("string"), F.lit(": "), t)), lambda x: x.isNotNull())
+    listed = F.coalesce(F.col("state.listed"), texts)
     none = lambda a: F.when(F.size(a) == 0, empty).otherwise(F.array_join(a, "\n"))
     names = F.array(*map(F.lit, T.LEVELS))
-    seen = F.filter(names, lambda n: F.exists("past", lambda x: x["repaired"] == n))
-    depth = F.coalesce(F.array_max(F.transform("path", lambda t, i: F.when(t.isNotNull(), i + 1))), F.lit(0))
+    seen = F.filter(names, lambda n, i: F.coalesce(F.get(F.col("state.seen"), i), F.lit(False)))
+    depth = F.coalesce(F.array_max(F.transform(path, lambda t, i: F.when(t.isNotNull(), i + 1))), F.lit(0))
     allowed = F.least(depth + 1, F.lit(4))
     named = lambda a: F.concat(F.lit("  "), F.coalesce(T.filled(F.array_join(a, ", ")), F.lit(OUTLINE["empty"])))
     parts = [
@@ -122,7 +129,7 @@ def page_outlines(h: DataFrame, recent: int = 12, following: int | None = None)
         F.lit(OUTLINE["allowed"]), named(F.slice(names, F.lit(1), allowed)), F.lit(OUTLINE["forbidden"]), named(F.slice(names, allowed + 1, F.lit(4))),
     ]
     if following is not None:
-        more = F.transform("next", lambda x: F.concat(F.lit("  page "), (x["page_id"] + 1).cast("string"), F.lit(": "), x["level"], F.lit(" "), x["text"]))
+        more = F.coalesce(F.first("first", True).over(by_page.rowsBetween(1, Window.unboundedFollowing)), texts)
         parts += [F.lit(""), F.lit(OUTLINE["following_header"]), F.lit(OUTLINE["following"]), none(more)]
     return all_pages.select("doc", "page_id", _joined(parts).alias("outline"), allowed.alias("allowed_rank"))
 
@@ -315,11 +322,14 @@ def review_candidates(h: DataFrame, limit: int = 32) -> DataFrame:
     titles = h.where(F.col("block_type") == "paragraph_title").withColumn("rank", T.level_rank(F.coalesce(F.col("level"), F.lit(""))))
     titles = titles.withColumn("decimal", T.decimal_number(F.col("text")))
     listed = T.squeezed(F.col("text")).rlike(r"(?U)^(?:\d+(?:[.．]\d+)+|[（(][一二三四五六七八九十\d]+[)）]|\d+[、.)）])")
-    a = titles.where(F.col("rank").isin(2, 3) & (listed | ((F.col("rank") == 2) & (F.coalesce(F.size("decimal"), F.lit(0)) >= 3)))).alias("a")
-    b = titles.alias("b")
-    parent = F.col("a.decimal").isNotNull() & (F.slice(F.col("a.decimal"), F.lit(1), F.greatest(F.size("a.decimal") - 1, F.lit(0))) == F.col("b.decimal"))
-    indented = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.x1") >= F.col("b.x1") + 24)
-    backed = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("b.ord") < F.col("a.ord")) & (F.col("a.rank") == F.col("b.rank")) & (parent | indented), "left_semi")
+    # A parent by number: the first title of the doc and rank with the shorter number. By indent: the leftmost earlier title of the page and rank.
+    earlier = Window.partitionBy("doc", "rank", "page_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    titles = titles.withColumn("leftmost", F.min("x1").over(earlier))
+    numbered = titles.where("decimal is not null").groupBy("doc", "rank", F.col("decimal").alias("parent")).agg(F.min("ord").alias("first"))
+    wanted = titles.where(F.col("rank").isin(2, 3) & (listed | ((F.col("rank") == 2) & (F.coalesce(F.size("decimal"), F.lit(0)) >= 3))))
+    wanted = wanted.withColumn("parent", F.slice(F.col("decimal"), F.lit(1), F.greatest(F.size("decimal") - 1, F.lit(0))))
+    both = wanted.join(numbered, ["doc", "rank", "parent"], "left")
+    backed = both.where((F.col("first") < F.col("ord")) | (F.col("x1") >= F.col("leftmost") + 24))
     place = F.row_number().over(_order())
     return backed.withColumn("k", place).where(F.col("k") <= limit).select("doc", "ord", "level", "text", "k")
 
@@ -349,24 +359,57 @@ def prior_blocks(h: DataFrame) -> DataFrame:
     return per.select("doc", "page_id", F.coalesce(F.sum("n").over(window), F.lit(0)).alias("prior"))
 
 
-def visible_pages(pages: DataFrame, schedule: str, concurrency: int) -> DataFrame:
-    """(doc, page_id, prior_page): the earlier pages whose headings a page sees under a schedule of page inference.
+def visible_bounds(pages: DataFrame, schedule: str, concurrency: int) -> DataFrame:
+    """(doc, page_id, through, evens): a page sees all earlier pages up to ``through``, and of the pages from ``evens`` on every second one.
 
     ``contiguous`` and ``contiguous_cascade``: all earlier pages. ``contiguous_anchor``: a batch's first page sees all earlier pages, the
     others only pages up to the first. ``staggered``: in windows of twice the concurrency, even offsets see earlier windows and
-    earlier even offsets; odd offsets see all earlier pages.
+    earlier even offsets; odd offsets see all earlier pages. One row per page.
     """
-    a, b = pages.select("doc", "page_id").alias("a"), pages.select("doc", F.col("page_id").alias("prior_page")).alias("b")
-    both = a.join(b, "doc").where("prior_page < page_id")
+    page = F.col("page_id")
+    before, no = page - 1, F.lit(None).cast("int")
     if schedule in ("contiguous", "contiguous_cascade"):
-        return both
-    if schedule == "contiguous_anchor":
-        first = (F.floor(F.col("page_id") / concurrency) * concurrency).cast("int")
-        return both.where(F.when(F.col("page_id") == first, True).otherwise(F.col("prior_page") <= first))
-    if schedule == "staggered":
-        size = 2 * concurrency
-        window = lambda c: F.floor(F.col(c) / size)
-        offset = lambda c: F.col(c) % size
-        even = offset("page_id") % 2 == 0
-        return both.where(~even | (window("prior_page") < window("page_id")) | (offset("prior_page") % 2 == 0))
-    raise ValueError(f"unknown schedule {schedule}")
+        through, evens = before, no
+    elif schedule == "contiguous_anchor":
+        first = (F.floor(page / concurrency) * concurrency).cast("int")
+        through, evens = F.when(page == first, before).otherwise(first), no
+    elif schedule == "staggered":
+        start = (F.floor(page / (2 * concurrency)) * (2 * concurrency)).cast("int")
+        even = (page - start) % 2 == 0
+        through, evens = F.when(even, start - 1).otherwise(before), F.when(even, start)
+    else:
+        raise ValueError(f"unknown schedule {schedule}")
+    return pages.select("doc", "page_id", through.cast("int").alias("through"), evens.cast("int").alias("evens"))
+
+
+def visible_pages(pages: DataFrame, schedule: str, concurrency: int) -> DataFrame:
+    """(doc, page_id, prior_page): the earlier pages whose headings a page sees; the rows that ``visible_bounds`` stands for."""
+    bounds = visible_bounds(pages, schedule, concurrency)
+    low = pages.groupBy("doc").agg(F.min("page_id").alias("low"))
+    none = F.array().cast("array<int>")
+    dense = F.when(F.col("through") >= F.col("low"), F.sequence("low", "through")).otherwise(none)
+    second = F.when(F.col("page_id") - 2 >= F.col("evens"), F.sequence(F.col("evens"), F.col("page_id") - 2, F.lit(2))).otherwise(none)
+    every = bounds.join(low, "doc").select("doc", "page_id", F.explode(F.concat(dense, second)).alias("prior_page"))
+    return every.join(pages.select("doc", F.col("page_id").alias("prior_page")), ["doc", "prior_page"], "left_semi").select("doc", "page_id", "prior_page")
+
+
+def prompt_pages(pages: DataFrame, schedule: str, concurrency: int) -> DataFrame:
+    """(doc, page_id, before, also, step, until): the pages whose titles the request for a page lists, as they are known when it is sent.
+
+    All pages below ``before``; and the pages from ``also`` to ``until`` in steps of ``step`` (null: none). Pages of a batch are sent together, so they know the
+    batches before; ``contiguous_cascade`` sends the first page ahead, so the others know it too. ``staggered`` sends the even offsets of
+    a window first; an odd offset then knows them all, those after it as look-ahead.
+    """
+    page = F.col("page_id")
+    size = 2 * concurrency if schedule == "staggered" else concurrency
+    start = (F.floor(page / size) * size).cast("int")
+    if schedule in ("contiguous", "contiguous_anchor"):
+        extra = F.lit(False)
+    elif schedule == "contiguous_cascade":
+        extra = page > start
+    elif schedule == "staggered":
+        extra = (page - start) % 2 == 1
+    else:
+        raise ValueError(f"unknown schedule {schedule}")
+    until = start if schedule != "staggered" else start + size - 2
+    return pages.select("doc", "page_id", start.alias("before"), F.when(extra, start).alias("also"), F.when(extra, F.lit(2 if schedule == "staggered" else 1)).alias("step"), F.when(extra, until).cast("int").alias("until"))

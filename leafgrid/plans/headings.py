@@ -127,13 +127,50 @@ def w3_allowed_levels(spark, d):
     return H.page_outlines(_h(spark, d)).select("doc", "page_id", "allowed_rank")
 
 
-@REGISTRY.query("w3_page_outlines")
+def outline_sql(following: bool) -> str:
+    """The outline text of each page (view ol: doc, page_id, outline) from lists of the titles before and after it."""
+    clip = r"CASE WHEN len(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 40 THEN left(trim(regexp_replace(text, '\s+', ' ', 'g')), 40) || '…' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END"
+    o = H.OUTLINE
+    none = f"'  {o['empty']}'"
+    lines = lambda a: f"CASE WHEN len({a}) = 0 THEN {none} ELSE array_to_string({a}, chr(10)) END"
+    names = lambda test: f"'  ' || CASE WHEN len(list_filter([1, 2, 3, 4], lambda n: {test})) = 0 THEN '{o['empty']}' ELSE array_to_string(list_transform(list_filter([1, 2, 3, 4], lambda n: {test}), lambda n: 'H' || CAST(n AS VARCHAR)), ', ') END"
+    more = f", '', '{o['following_header']}', '{o['following']}', {lines('ahead')}" if following else ""
+    return f""",
+ot AS (SELECT doc, page_id, ord, level, {clip} AS txt, {_RANK} AS l, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k FROM hd WHERE block_type = 'paragraph_title' AND level IS NOT NULL),
+orp AS (SELECT *, CAST(k + least(0, min(l - k) OVER (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING)) AS INTEGER) AS r FROM ot),
+opg AS (SELECT DISTINCT doc, page_id FROM hd),
+opast AS (SELECT p.doc, p.page_id, coalesce(list({{r: t.r, x: t.txt}} ORDER BY t.ord) FILTER (t.ord IS NOT NULL), []) AS past FROM opg p LEFT JOIN orp t ON t.doc = p.doc AND t.page_id < p.page_id GROUP BY ALL),
+onext AS (SELECT p.doc, p.page_id, coalesce(list('  page ' || CAST(t.page_id + 1 AS VARCHAR) || ': ' || t.level || ' ' || t.txt ORDER BY t.ord) FILTER (t.ord IS NOT NULL), [])[1:12] AS ahead FROM opg p LEFT JOIN orp t ON t.doc = p.doc AND t.page_id > p.page_id GROUP BY ALL),
+opath AS (
+  SELECT *, list_reduce([CAST([NULL, NULL, NULL, NULL] AS VARCHAR[])] || list_transform(past, lambda t: [CAST(t.r AS VARCHAR), t.x]::VARCHAR[]),
+    lambda a, t: [CASE WHEN 1 < CAST(t[1] AS INTEGER) THEN a[1] WHEN 1 = CAST(t[1] AS INTEGER) THEN t[2] END, CASE WHEN 2 < CAST(t[1] AS INTEGER) THEN a[2] WHEN 2 = CAST(t[1] AS INTEGER) THEN t[2] END,
+                  CASE WHEN 3 < CAST(t[1] AS INTEGER) THEN a[3] WHEN 3 = CAST(t[1] AS INTEGER) THEN t[2] END, CASE WHEN 4 = CAST(t[1] AS INTEGER) THEN t[2] END]::VARCHAR[]) AS path
+  FROM opast JOIN onext USING (doc, page_id)),
+odep AS (SELECT *, least(coalesce(list_max(list_filter([1, 2, 3, 4], lambda n: path[n] IS NOT NULL)), 0) + 1, 4) AS allow,
+  list_transform(list_filter([1, 2, 3, 4], lambda n: path[n] IS NOT NULL), lambda n: repeat('  ', n) || 'H' || CAST(n AS VARCHAR) || ': ' || path[n]) AS pl,
+  list_transform(past[-12:], lambda t: '  H' || CAST(t.r AS VARCHAR) || ' ' || t.x) AS rl FROM opath),
+ol AS (SELECT doc, page_id, CAST(allow AS INTEGER) AS allowed_rank, array_to_string(['{o['header']}', '{o['path']}', {lines('pl')}, '{o['recent']}', {lines('rl')}, '{o['appeared']}', {names('len(list_filter(past, lambda t: t.r = n)) > 0')},
+  '{o['allowed']}', {names('n <= allow')}, '{o['forbidden']}', {names('n > allow')}{more}], chr(10)) AS outline FROM odep)"""
+
+
+@REGISTRY.query("w3_page_outlines", _HD + outline_sql(True) + "\nSELECT doc, page_id, outline, allowed_rank FROM ol")
 def w3_page_outlines(spark, d):
-    """Prompt texts with look-ahead; held against a plain Python version in the tests."""
+    """Prompt texts with look-ahead; also held against a plain Python version in the tests."""
     return H.page_outlines(_h(spark, d), following=12)
 
 
-@REGISTRY.query("w5_financial_chain")
+_CHAIN = _HD + r""",
+ht AS (SELECT doc, page_id, ord, block_type, level, x1, y1, replace(text, '章', '节') AS text FROM hd),
+ft AS (SELECT doc, ord, coalesce(CAST(substr(level, 2) AS INTEGER), 0) AS rank, regexp_replace(text, '\s+', '', 'g') AS t FROM ht WHERE block_type = 'paragraph_title'),
+fk AS (SELECT *, regexp_matches(t, '^第[一二三四五六七八九十]+节') AS root, regexp_matches(t, '^\d+、') AS item, regexp_matches(t, '^[（(][一二三四五六七八九十]+[）)]') OR regexp_matches(t, '^\d+\.(\d\d|\d([^.\d]|$))') AS paren FROM ft),
+fl AS (SELECT doc, list({s: false, h2: false, h3: false, ord: ord, rank: rank, root: root, item: item, paren: paren, outs: CAST([] AS INTEGER[][])} ORDER BY ord) AS xs FROM fk GROUP BY doc),
+fr AS (SELECT doc, unnest(list_reduce([{s: false, h2: false, h3: false, ord: 0, rank: 0, root: false, item: false, paren: false, outs: CAST([] AS INTEGER[][])}] || xs, lambda a, x: {
+  s: a.s OR x.root, h2: NOT x.root AND (a.h2 OR (a.s AND x.rank = 1 AND x.item)), h3: NOT x.root AND (a.h3 OR (a.s AND x.rank = 2 AND x.paren AND a.h2)), ord: x.ord, rank: x.rank, root: x.root, item: x.item, paren: x.paren,
+  outs: list_append(a.outs, [x.ord, x.rank + CASE WHEN a.s AND NOT x.root AND ((x.rank = 1 AND x.item) OR (x.rank = 2 AND x.paren AND a.h2) OR (x.rank = 3 AND x.item AND a.h3)) THEN 1 ELSE 0 END])}).outs) AS o FROM fl)"""
+
+
+@REGISTRY.query("w5_financial_chain", _CHAIN + """
+SELECT ht.doc, ht.ord, level, CASE WHEN o IS NOT NULL AND o[2] > 0 THEN 'H' || CAST(o[2] AS VARCHAR) ELSE level END AS fixed FROM ht LEFT JOIN fr ON fr.doc = ht.doc AND fr.o[1] = ht.ord""")
 def w5_financial_chain(spark, d):
     h = _h(spark, d).withColumn("text", F.replace(F.col("text"), F.lit("章"), F.lit("节")))
     return H.financial_chain(h).select("doc", "ord", "level", "fixed")
@@ -258,3 +295,27 @@ SELECT a.doc, a.page_id, b.page_id AS prior_page FROM pg a JOIN pg b ON a.doc =
 _visibility("contiguous", "true")
 _visibility("contiguous_anchor", "a.page_id % 4 = 0 OR b.page_id <= a.page_id // 4 * 4")
 _visibility("staggered", "(a.page_id % 8) % 2 = 1 OR b.page_id // 8 < a.page_id // 8 OR (b.page_id % 8) % 2 = 0")
+_visibility("contiguous_cascade", "true")
+
+
+def _prompts(name: str, before: str, condition: str) -> None:
+    sql = V.with_views() + f""",
+pg AS (SELECT DISTINCT doc, CAST((l_orderkey % 40) AS INTEGER) AS page_id FROM li)
+SELECT a.doc, a.page_id, count(*) FILTER (b.page_id < {before}) AS known, count(*) FILTER (b.page_id >= {before} AND {condition}) AS same_batch, max(b.page_id) FILTER (b.page_id > a.page_id AND {condition}) AS last_ahead
+FROM pg a JOIN pg b ON a.doc = b.doc GROUP BY a.doc, a.page_id"""
+
+    def run(spark, d):
+        pages = V.items(spark, d).select("doc", (F.col("l_orderkey") % 40).cast("int").alias("page_id")).distinct()
+        bounds = H.prompt_pages(pages, name, 4)
+        both = bounds.join(pages.select("doc", F.col("page_id").alias("b")), "doc")
+        also = F.coalesce((F.col("b") >= F.col("also")) & (F.col("b") <= F.col("until")) & ((F.col("b") - F.col("also")) % F.col("step") == 0), F.lit(False))
+        return both.groupBy("doc", "page_id").agg(
+            F.count_if(F.col("b") < F.col("before")).alias("known"), F.count_if(also).alias("same_batch"), F.max(F.when(also & (F.col("b") > F.col("page_id")), F.col("b"))).alias("last_ahead"))
+
+    REGISTRY.add(f"t3_prompt_pages_{name}", run, sql)
+
+
+_prompts("contiguous", "a.page_id // 4 * 4", "false")
+_prompts("contiguous_anchor", "a.page_id // 4 * 4", "false")
+_prompts("contiguous_cascade", "a.page_id // 4 * 4", "(a.page_id % 4 > 0 AND b.page_id = a.page_id // 4 * 4)")
+_prompts("staggered", "a.page_id // 8 * 8", "((a.page_id % 8) % 2 = 1 AND b.page_id // 8 = a.page_id // 8 AND (b.page_id % 8) % 2 = 0)")
