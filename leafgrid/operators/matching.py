@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions.geometry import Box, area, coverage, group_coverage, intersection, iou, let, max_pair_overlap, overlaps
+from leafgrid.functions.text import fold_text
 
 #: Labels whose boxes are not held against each other.
 BBOX_EXEMPT, LABEL_ONLY = ("footer",), ("header",)
@@ -131,7 +132,7 @@ def regions(gt: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("label",),
 
 
 def equivalent_regions(gt: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("label",), min_coverage: float = 0.8,
-                       excluded: tuple[str, ...] = (*BBOX_EXEMPT, *LABEL_ONLY), fold=plain_text) -> DataFrame:
+                       excluded: tuple[str, ...] = (*BBOX_EXEMPT, *LABEL_ONLY), fold=fold_text) -> DataFrame:
     """Blocks that count as correct because their region holds the same content: (doc, side, idx), side g or p.
 
     A component counts if both texts cover each other; or it is one to one and the prediction covers the ground

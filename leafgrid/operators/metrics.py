@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgrid.functions import text as T
 from leafgrid.operators import matching as M
 
 MISSING, EXTRA = "__missing__", "__extra__"
@@ -27,7 +28,7 @@ class Outcomes:
 
 def evaluate(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, min_coverage: float | None = None, region_coverage: float | None = 0.8,
              exempt: tuple[str, ...] = M.BBOX_EXEMPT, label_only: tuple[str, ...] = M.LABEL_ONLY, flowchart_pages: DataFrame | None = None,
-             failed_pages: DataFrame | None = None, gt_docs: DataFrame | None = None, fold=M.plain_text) -> Outcomes:
+             failed_pages: DataFrame | None = None, gt_docs: DataFrame | None = None, fold=T.fold_text) -> Outcomes:
     """Outcomes of all blocks. ``region_coverage`` None leaves out region equivalence; ``gt_docs`` lists documents
     that have ground truth, also those without blocks (default: those with blocks)."""
     known = (gt if gt_docs is None else gt_docs).select("doc").distinct().withColumn("known", F.lit(True))
