@@ -258,14 +258,13 @@ def a9_max_pair_overlap(spark, d):
     return boxes.select("doc", "page_id", G.max_pair_overlap(F.col("bs")).alias("overlap"))
 
 
-@REGISTRY.query("f15_f16_box_metrics", _VIEWS + _PAIRS + "\nSELECT doc, gt_idx, pred_idx, inter, ga AS gt_area, pa AS pred_area, gt_coverage, iou FROM pairs WHERE gt_idx % 4 = pred_idx % 4")
-def f15_f16_box_metrics(spark, d):
-    return f15_f16_box_metrics_all(spark, d).where("gt_idx % 4 = pred_idx % 4")
+_BOX_METRICS = _VIEWS + _PAIRS + "\nSELECT doc, gt_idx, pred_idx, inter, ga AS gt_area, pa AS pred_area, gt_coverage, iou FROM pairs"
 
 
-@REGISTRY.query("f15_f16_box_metrics_all", _VIEWS + _PAIRS + "\nSELECT doc, gt_idx, pred_idx, inter, ga AS gt_area, pa AS pred_area, gt_coverage, iou FROM pairs")
-def f15_f16_box_metrics_all(spark, d):
-    """The metrics of all pairs of blocks of a page; ``f15_f16_box_metrics`` has a quarter of them, as its SQL does."""
+@REGISTRY.query("f15_f16_box_metrics", _BOX_METRICS)
+@REGISTRY.query("f15_f16_box_metrics_all", _BOX_METRICS)
+def f15_f16_box_metrics(spark, d):
+    """The metrics of all pairs of blocks of a page (under both of its names)."""
     gt, pred = _views(spark, d)
     fields = ("idx", "x1", "y1", "x2", "y2")
     both = gt.select("doc", "page_id", *[F.col(c).alias("g_" + c) for c in fields]).join(pred.select("doc", "page_id", *[F.col(c).alias("p_" + c) for c in fields]), ["doc", "page_id"])
