@@ -271,3 +271,72 @@ def copied(prompts: DataFrame, suffix: Column) -> DataFrame:
     return prompts.where("deleted_at is null").withColumns({
         "id": F.concat(T.template_id(F.col("name")), F.lit("_copy_"), suffix), "name": F.concat("name", F.lit("_副本")), "is_default": F.lit(False), "version": F.lit("v1.0"), "versions": fresh,
     })
+
+
+def batch_progress(jobs: DataFrame, by: list[str]) -> DataFrame:
+    """Pages and finished pages of each batch of jobs."""
+    return jobs.groupBy(*by).agg(F.sum("page_count").alias("pages"), F.sum("completed_pages").alias("done"))
+
+
+def migrated_prompts(prompts: DataFrame, builtin: DataFrame, legacy: DataFrame, default_id: str, revision: str) -> DataFrame:
+    """Prompts after the store's migrations: missing built-in records, then missing legacy templates, then the default's new revision.
+
+    Built-in and legacy rows have id, name, prompt. A legacy template without id or prompt is left out. The default record takes the built-in text and
+    the next version unless its notes carry the revision or it is deleted.
+    """
+    columns = ["id", "name", "description", "content", "version", "is_default", "deleted_at", "notes"]
+
+    def records(rows: DataFrame, description: str) -> DataFrame:
+        named = rows.where(F.coalesce(F.trim("id"), F.lit("")) != "")
+        return named.select(
+            "id", F.coalesce(T.filled(F.col("name")), F.col("id")).alias("name"), F.lit(description).alias("description"), F.col("prompt").alias("content"), F.lit("v1.0").alias("version"),
+            (F.col("id") == default_id).alias("is_default"), F.lit(None).cast("string").alias("deleted_at"), F.lit("").alias("notes"),
+        )
+
+    out = insert_if_absent(prompts.select(*columns), records(builtin, "从内置模板初始化。"), ["id"])
+    out = insert_if_absent(out, records(legacy.where(F.coalesce(F.trim("prompt"), F.lit("")) != ""), "从旧提示词模板迁移而来。"), ["id"])
+    text = builtin.where(F.col("id") == default_id).select("id", F.col("prompt").alias("_new"))
+    out = out.join(F.broadcast(text), "id", "left")
+    stale = F.col("_new").isNotNull() & F.col("deleted_at").isNull() & ~F.coalesce(F.col("notes"), F.lit("")).contains(revision)
+    return out.withColumns({
+        "content": F.when(stale, F.col("_new")).otherwise(F.col("content")), "version": F.when(stale, T.next_version(F.col("version"))).otherwise(F.col("version")),
+        "notes": F.when(stale, F.lit(f"revision={revision}")).otherwise(F.col("notes")),
+    }).select(*columns)
+
+
+def changed_labels(datasets: DataFrame, edits: DataFrame) -> DataFrame:
+    """Box datasets (id, labels) after edits (id, n, action, label, new) in order n: add, remove or rename a label; unknown datasets are ignored."""
+    listed = edits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "action", "label", "new"))).alias("_e"))
+
+    def step(labels: Column, e: Column) -> Column:
+        rest = F.filter(labels, lambda x: x != e["label"])
+        renamed = F.array_distinct(F.transform(labels, lambda x: F.when(x == e["label"], e["new"]).otherwise(x)))
+        return F.when(e["action"] == "add", F.array_append(rest, e["label"])).when(e["action"] == "remove", rest).when(e["action"] == "rename", renamed).otherwise(labels)
+
+    both = datasets.join(listed, "id", "left")
+    return both.withColumn("labels", F.when(F.col("_e").isNull(), F.col("labels")).otherwise(F.aggregate("_e", F.col("labels"), step))).drop("_e")
+
+
+def saved_boxes(stored: DataFrame, saves: DataFrame) -> DataFrame:
+    """Box annotations (dataset_id, image_id, kind, boxes) after saves (dataset_id, image_id, n, mode, boxes).
+
+    A draft replaces the image's draft; a submit replaces the annotation, clears the draft and keeps the annotation it replaces as a version; a delete
+    removes annotation and draft. The last save of an image counts for each kind, in order n.
+    """
+    image = ["dataset_id", "image_id"]
+    drafts = latest(saves.where("mode = 'draft'"), image, F.col("n").desc()).select(*image, F.col("n").alias("dn"), F.col("boxes").alias("db"))
+    submits = saves.where("mode = 'submit'")
+    last = latest(submits, image, F.col("n").desc()).select(*image, F.col("n").alias("sn"), F.col("boxes").alias("sb"))
+    gone = saves.where("mode = 'delete'").groupBy(*image).agg(F.max("n").alias("gn"))
+    old = stored.groupBy(*image).agg(F.first(F.when(F.col("kind") == "annotation", F.col("boxes")), True).alias("ob"), F.first(F.when(F.col("kind") == "draft", F.col("boxes")), True).alias("od"))
+    both = old.join(drafts, image, "full").join(last, image, "full").join(gone, image, "left")
+    never = F.lit(-1)
+    n = lambda c: F.coalesce(F.col(c), never)
+    annotation = F.when((n("sn") > n("gn")), F.col("sb")).when(F.col("gn").isNull(), F.col("ob"))
+    draft = F.when((n("dn") > n("gn")) & (n("dn") > n("sn")), F.col("db")).when(F.col("gn").isNull() & F.col("sn").isNull() & F.col("dn").isNull(), F.col("od"))
+    now = both.select(*image, F.explode(F.array(F.struct(F.lit("annotation").alias("kind"), annotation.alias("boxes")), F.struct(F.lit("draft").alias("kind"), draft.alias("boxes")))).alias("e")).select(*image, "e.*")
+    replaced = old.where("ob is not null").join(submits.select(*image).distinct(), image, "left_semi").select(*image, F.lit("version").alias("kind"), F.col("ob").alias("boxes"))
+    order = Window.partitionBy(*image).orderBy("n")
+    earlier = submits.withColumn("_last", F.lead("n").over(order).isNull()).where("not _last").select(*image, F.lit("version").alias("kind"), "boxes")
+    kept = stored.where("kind = 'version'").select(*image, "kind", "boxes")
+    return now.where("boxes is not null").unionByName(replaced).unionByName(earlier).unionByName(kept)

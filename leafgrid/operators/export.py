@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def samples(qa: DataFrame, style: str, images: DataFrame | None = None) -> DataF
     answer = T.after_thinking(F.col("assistant"))
     parsed = J.model_object(answer)
     blocks = F.try_variant_get(F.try_parse_json(parsed), "$.blocks", "string")
-    rewritten = F.when(blocks.startswith("["), F.concat(F.lit('{"image_path":"'), ref, F.lit('","blocks":'), blocks, F.lit("}"))).otherwise(answer)
+    named = F.try_variant_get(F.try_parse_json(parsed), "$.image_path", "string")  # an answer that names the image already stays as it is
+    rewritten = F.when(blocks.startswith("[") & ~named.eqNullSafe(ref), F.concat(F.lit('{"image_path":"'), ref, F.lit('","blocks":'), blocks, F.lit("}"))).otherwise(answer)
     rows = rows.select("doc", "page_id", F.coalesce(T.filled(F.col("system")), F.lit(SYSTEM)).alias("system"), T.with_image_token(F.coalesce(T.filled(F.col("user")), F.lit(USER))).alias("user"), rewritten.alias("answer"), ref.alias("ref"))
     if style == "swift":
         message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
@@ -96,3 +99,43 @@ def chosen_image(model_url: Column, page_url: Column, default: Column, files: Co
 def usable_pages(pages: DataFrame, min_blocks: int = 1) -> DataFrame:
     """Adds why a page is left out: not done, or fewer blocks than asked for; null for pages that are used."""
     return pages.withColumn("skipped", F.when(F.col("status") != "done", "not_done").when(F.col("blocks") < min_blocks, "few_blocks"))
+
+
+def convert_files(tasks: DataFrame, style: str, split: str) -> DataFrame:
+    """(dataset_id, path, content): the small files beside an exported dataset, from (dataset_id, sources, merge, created_at, logs, skipped).
+
+    dataset_info.json names the split's file and columns, convert_config.json the task, convert_log.txt its log; swift sets have a usage note.
+    """
+    file = ("train" if split == "all" else split) + ".jsonl"
+    info = json.dumps(dataset_info(style, [file]), ensure_ascii=False, separators=(",", ":"))
+    config = J.compact(F.struct(
+        F.col("sources").alias("source_datasets"), F.lit(style).alias("target_format"), "merge", F.lit(split).alias("split_type"), "created_at", F.lit("").alias("operator"), F.col("dataset_id").alias("output_path")))
+    usage = F.concat(F.lit("  cd "), F.col("dataset_id"), F.lit(f"\n  swift sft --model <model> --dataset {file} --train_type lora\n"))
+    log = F.concat(F.array_join("logs", "\n"), F.lit("\nskipped_samples="), F.col("skipped").cast("string"), F.lit("\n"))
+    made = [("dataset_info.json", F.lit(info)), ("convert_config.json", config), ("convert_log.txt", F.concat(log, F.lit("\n"), usage) if style == "swift" else log)]
+    if style == "swift":
+        made.append(("README_ms_swift.txt", usage))
+    files = F.array(*[F.struct(F.lit(path).alias("path"), content.alias("content")) for path, content in made])
+    return tasks.select("dataset_id", F.explode(files).alias("f")).select("dataset_id", "f.*")
+
+
+def write_pretty(rows: DataFrame, path: str) -> None:
+    """One indented JSON object per row, rows apart by lines of their own."""
+    rows.select(F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def category_manifests(files: DataFrame) -> DataFrame:
+    """(category, dataset, samples, pages, blocks, files) from per-file rows (category, file, pages, samples, blocks); categories without samples fail."""
+    listed = F.array_sort(F.collect_list(F.struct("file", "pages", "samples", "blocks")))
+    out = files.groupBy("category").agg(F.sum("samples").alias("samples"), F.sum("pages").alias("pages"), F.sum("blocks").alias("blocks"), listed.alias("files"))
+    checked = F.when(F.col("samples") > 0, F.col("samples")).otherwise(F.raise_error(F.concat(F.lit("no usable samples in category "), F.col("category"))).cast("long"))
+    return out.select("category", F.concat("category", F.lit(".jsonl")).alias("dataset"), checked.alias("samples"), "pages", "blocks", "files")
+
+
+def export_categories(samples: DataFrame, files: DataFrame, folder: str) -> None:
+    """Writes samples (category, ..) as JSON lines below folder/data/category=<name>, manifests below folder/manifests and the index to folder/index."""
+    samples.repartition("category").write.mode("overwrite").partitionBy("category").option("ignoreNullFields", "false").json(f"{folder}/data")
+    manifests = category_manifests(files)
+    manifests.write.mode("overwrite").json(f"{folder}/manifests")
+    index = manifests.agg(F.array_sort(F.collect_list("category")).alias("categories"), F.sum("samples").alias("samples"), F.sum("pages").alias("pages"), F.sum("blocks").alias("blocks"))
+    index.write.mode("overwrite").json(f"{folder}/index")

@@ -169,3 +169,18 @@ def reviewed(units: DataFrame, edits: DataFrame, revision: str, current: str, fo
     both = units.join(e, "unit_id", "left").join(bad, "unit_id", "left")
     taken = F.col("_s").isin(*STATUSES) & ~((F.col("_s") == REVIEWED) & F.coalesce(F.col("_bad"), F.lit(False)))
     return both.withColumns({"review_status": F.when(F.coalesce(taken, F.lit(False)), F.col("_s")).otherwise(F.col("review_status")), "refused": F.col("_s").isNotNull() & ~F.coalesce(taken, F.lit(False))}).drop("_s", "_r", "_bad")
+
+
+def guarded_reviews(units: DataFrame, edits: DataFrame, found: DataFrame) -> DataFrame:
+    """Units after edits that each carry the revision of the unit their editor saw (unit_id, review_status, reviewer, revision).
+
+    ``units`` has the current ``revision``. An edit of another revision is stale and refused, as is a review of a unit with errors; ``outcome``
+    is saved, stale, invalid or untouched.
+    """
+    e = edits.select("unit_id", F.col("review_status").alias("_s"), F.col("reviewer").alias("_r"), F.col("revision").alias("_v"))
+    bad = found.select("unit_id").distinct().withColumn("_bad", F.lit(True))
+    both = units.join(e, "unit_id", "left").join(bad, "unit_id", "left")
+    refused = ~F.col("_s").isin(*STATUSES) | ((F.col("_s") == REVIEWED) & F.coalesce(F.col("_bad"), F.lit(False)))
+    outcome = F.when(F.col("_s").isNull(), "untouched").when(~F.col("_v").eqNullSafe(F.col("revision")), "stale").when(refused, "invalid").otherwise("saved")
+    both = both.withColumn("outcome", outcome)
+    return both.withColumn("review_status", F.when(F.col("outcome") == "saved", F.col("_s")).otherwise(F.col("review_status"))).drop("_s", "_r", "_v", "_bad")

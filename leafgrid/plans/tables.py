@@ -10,6 +10,7 @@ from leafgrid.operators import catalog as C
 from leafgrid.operators import export as X
 from leafgrid.operators import hierarchy as H
 from leafgrid.operators import quality as Q
+from leafgrid.plans.headings import outline_sql
 from leafgrid.plans.registry import Registry
 from leafgrid.sources import readers as R
 from leafgrid.sources import views as V
@@ -85,7 +86,7 @@ def a16(spark, d):
 
 @REGISTRY.query("a18_batch_progress", _JOBS + "\nSELECT model, CAST(sum(page_count) AS BIGINT) AS pages, CAST(sum(completed_pages) AS BIGINT) AS done FROM jb GROUP BY model")
 def a18(spark, d):
-    return jobs(spark, d).groupBy("model").agg(F.sum("page_count").alias("pages"), F.sum("completed_pages").alias("done"))
+    return C.batch_progress(jobs(spark, d), ["model"])
 
 
 @REGISTRY.query("o3_recent_jobs", _JOBS + "\nSELECT job_id, updated_at FROM jb ORDER BY updated_at DESC, job_id LIMIT 6")
@@ -355,7 +356,16 @@ def _pages(spark, d):
     return h, answers.withColumns({"width": F.lit(100), "height": F.lit(200), "image": F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".png"))})
 
 
-@REGISTRY.query("j10_r9_refreshed_answers")
+_BLOCK = """'{"id":"b","text":"' || text || '","bbox":[' || CAST(x1 AS VARCHAR) || ',' || CAST(y1 AS VARCHAR) || ',' || CAST(x1 + 9 AS VARCHAR) || ',' || CAST(y1 + 9 AS VARCHAR) || '],"page_id":' || CAST(page_id AS VARCHAR)
+   || ',"block_type":"' || block_type || '","description":"","level":' || CASE WHEN block_type = 'paragraph_title' AND level IS NOT NULL THEN '"' || level || '"' ELSE 'null' END || '}'"""
+_HD = V.with_views("hd")
+_PAGES = outline_sql(False) + f""",
+pb AS (SELECT doc, page_id, string_agg({_BLOCK}, ',' ORDER BY ord) AS blocks, count(*) AS n FROM hd GROUP BY ALL),
+pu AS (SELECT pb.*, outline, '当前页面 page_id=' || CAST(page_id AS VARCHAR) || '，图像尺寸为 100x200。' || chr(10) || chr(10) || outline AS page_user, 'pages/' || CAST(page_id AS VARCHAR) || '.png' AS image FROM pb JOIN ol USING (doc, page_id))"""
+
+
+@REGISTRY.query("j10_r9_refreshed_answers", _HD + _PAGES + """
+SELECT doc, page_id, image, '' AS system, page_user AS user, '{"image_path":"' || image || '","blocks":[' || blocks || ']}' AS assistant FROM pu""")
 def j10(spark, d):
     """Q&A answers and prompts after corrections; checked in the tests."""
     h, pages = _pages(spark, d)
@@ -363,7 +373,8 @@ def j10(spark, d):
     return X.refreshed_answers(old, pages, H.page_outlines(h))
 
 
-@REGISTRY.query("w4_training_lines")
+@REGISTRY.query("w4_training_lines", _HD + _PAGES + r"""
+SELECT doc, page_id, '{"image":"' || image || '","input":{"system":"","user":"' || replace(page_user, chr(10), '\n') || '"},"output":{"blocks":[' || blocks || ']}}' AS line FROM pu""")
 def w4(spark, d):
     h, pages = _pages(spark, d)
     return X.training_lines(pages, H.page_outlines(h)).select("doc", "page_id", J.compact(F.struct("image", "input", "output")).alias("line"))
