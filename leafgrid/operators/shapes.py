@@ -78,4 +78,4 @@ def shape_problems(rows: DataFrame, id_col: str, json_col: str, template: object
         template = json.loads(template)
     parsed = rows.select(F.col(id_col), F.try_parse_json(json_col).alias("v"))
     found = F.when(F.col("v").isNull(), F.array(F.struct(F.lit("schema_type").alias("code"), F.lit(name).alias("path")))).otherwise(exact_shape(F.col("v"), template, F.lit(name)))
-    return parsed.select(id_col, F.explode(found).alias("i")).select(id_col, "i.code", "i.path")
+    return parsed.select(id_col, F.explode(found).alias("_i")).select(id_col, "_i.code", "_i.path")
