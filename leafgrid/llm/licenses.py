@@ -191,6 +191,7 @@ def template_index(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("hashes", i) == F.col("v.value"))
     index = index.select("scale", "v.band", "v.value", F.explode(places).alias("place"), "notice", "license", F.size("words").alias("size"), "shingles").distinct()
     sets: dict[int, list[list[int]]] = {size: [[] for _ in range(BANDS)] for size in (SHORT, LONG)}
+    # A band's value is one of the template's own shingle hashes, so a text without any of them has no hit.
     for r in index.select("scale", "band", "value").distinct().orderBy("scale", "band", "value").collect():
         sets[r["scale"]][r["band"]].append(r["value"])
     return index, sets
@@ -212,7 +213,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     made.append(F.when(value.isin(sets[size][k]), F.struct(F.lit(size).alias("scale"), F.lit(k).alias("band"), value.alias("value"), at.alias("at"))))
             return F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.array().cast(_HITS)
 
-        return F.flatten(F.transform(window_starts(F.size(hashes), size), of))
+        known = sorted({v for values in sets[size] for v in values})
+        windows = F.flatten(F.transform(window_starts(F.size(hashes), size), of))
+        return F.when(F.exists(hashes, lambda h: h.isin(known)), windows).otherwise(F.array().cast(_HITS))
 
     found = _with(words_of(F.col(text_col)), lambda ws: F.struct(
         ws.alias("words"), _with(shingle_hashes(ws), lambda h: F.array_distinct(F.concat(hits(h, SHORT), hits(h, LONG)))).alias("hits")))
