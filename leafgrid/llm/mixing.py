@@ -10,8 +10,8 @@ without words has target 0 and nothing is taken of it; an empty table gives an e
 rows queue as separate documents (ties in finish time go by source, shuffle key, id, lap). Extra columns
 of the input are ignored.
 
-No task holds a whole source: cumulative sizes come from per-(source, bucket) sums over ``BUCKETS`` hash
-buckets plus a window inside one bucket, and the global cut from sums of finish-time bins, of finer bins inside
+No task holds a whole source: cumulative sizes come from per-(source, bucket) sums over hash buckets, whose number
+follows the number of rows (``BUCKET_ROWS`` each on average, or fewer), plus a window inside one bucket, and the global cut from sums of finish-time bins, of finer bins inside
 the bin where the budget runs out, and a window inside the one finer bin where it does. Only those sums (at most
 3 * BINS + 1 numbers) and one row reach the driver.
 """
@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from leafgrid.llm.common import WORD, checkpointed, counted, word_count
 
-#: Hash buckets of a source's queue, and bins of finish time between 0 and 1 (times from 2 on share the last bin).
-BUCKETS, BINS = 4096, 4096
+#: Most rows a bucket holds on average. Buckets are runs of the queue's order (leading hex digits of the md5), so their number changes no result.
+BUCKET_ROWS = 1 << 17
+#: Leading digits that name a bucket, at least.
+MIN_DIGITS = 3
+#: Bins of finish time between 0 and 1 (times from 2 on share the last bin).
+BINS = 4096
 WEIGHTS = (3, 1, 2)
 
 
@@ -63,8 +67,16 @@ def _cut(sums: list[tuple[int, int]], used: float, total: float) -> tuple[float,
     return used, None
 
 
+def bucket_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits that split ``rows`` rows into buckets of at most ``bucket_rows`` on average."""
+    digits = MIN_DIGITS
+    while 16**digits * bucket_rows < rows:
+        digits += 1
+    return digits
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeat: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words, repeats counted)."""
     key = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
     sized = docs.select(
@@ -72,8 +84,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         key.alias("key"),
-    ).withColumn("bucket", F.conv(F.substring(F.concat("key", F.lit("000")), 1, 3), 16, 10).cast("int") % BUCKETS)
+    )
     sized = checkpointed(sized)
+    # Equally long hex strings sort like their numbers; the empty key of a null id sorts first, in a bucket of its own.
+    sized = sized.withColumn("bucket", F.substring("key", 1, bucket_digits(sized.count(), bucket_rows)))
     targets = source_targets(sized, weights, share, max_repeat)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -309,6 +309,13 @@ def test_mix_reaches_targets_and_repeats_at_most_twice(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_mix_is_the_same_with_more_buckets(spark):
+    assert [mixing.bucket_digits(n, 10) for n in (0, 40960, 40961, 16**4 * 10 + 1)] == [3, 3, 4, 5]
+    rows = [(None if i % 50 == 0 else i, "w " * (i % 7), "ab"[i % 3 == 0]) for i in range(400)] + [(7, "w w", "a")] * 3
+    few, many = (Counter(map(tuple, mixing.mix(docs(spark, rows), bucket_rows=n).collect())) for n in (1 << 17, 0.001))
+    assert few == many and sum(few.values()) == 403
+
+
 def test_mix_on_odd_rows(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
     out = mixing.mix(docs(spark, [(1, None, "a"), (2, "", None), (None, " ", "a")])).collect()
