@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,24 +25,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with an eager reliable checkpoint.
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session without that setting gets a temporary folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="leafgrid-checkpoint-")
+    return folder
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a local session without that setting
-    gets a temporary folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with an eager reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="leafgrid-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: smaller than a checkpoint where rows are many and narrow."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir() or _shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Most rows (of a few short columns) that are sent to every executor; beyond, a join shuffles both sides.
 BROADCAST_ROWS = 250_000
 

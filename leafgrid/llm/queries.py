@@ -12,6 +12,7 @@ from leafgrid.llm.licenses import ALL_TEMPLATES, scan_licenses
 from leafgrid.llm.mixing import mix
 from leafgrid.llm.packing import pack
 from leafgrid.llm.quality import score_quality
+from leafgrid.llm.ranked import rank_documents
 from leafgrid.llm.secrets import scan_secrets, secret_digest
 from leafgrid.llm.simhash import near_components
 from leafgrid.llm.topk import top_k
@@ -69,3 +70,8 @@ def op9_mixing(spark, sf_dir):
 @REGISTRY.query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op13_ranked_search", oracles.OP13)
+def op13_ranked_search(spark, sf_dir):
+    return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -26,7 +26,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(REGISTRY.oracles))
 def test_oracle(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         path = f"{DATA}/{t}.parquet"
         duck.sql(f"create view {t} as select * from '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     frame = REGISTRY.queries[name](spark, DATA)
