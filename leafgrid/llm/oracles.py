@@ -122,3 +122,29 @@ r AS (
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank FROM r)
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
 """
+
+
+def _lloyd_round(i: int) -> str:
+    """SQL of one round: vectors to their nearest centroids, and the centroids that follow."""
+    square = "CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    return f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, rid, e, cluster, distance FROM (
+    SELECT v.vec_id, v.rid, v.e, c.cluster, {square} AS distance, row_number() OVER (PARTITION BY v.rid ORDER BY {square}, c.cluster) AS nearest FROM v, c{i} c)
+  WHERE nearest = 1)""" + (f""",
+m{i} AS (
+  SELECT cluster, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS dim, unnest(e) AS x FROM a{i}) GROUP BY ALL),
+n{i} AS (SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY dim) AS e FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN n{i} n USING (cluster))""" if i < 3 else "")
+
+
+OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT cluster, e FROM (SELECT e, CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster FROM v) WHERE cluster < 16),{",".join(_lloyd_round(i) for i in range(4))}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a3 JOIN c3 c USING (cluster)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafgrid.llm import oracles
+from leafgrid.llm.clustering import cluster_digest, lloyd
 from leafgrid.llm.common import read
 from leafgrid.llm.exact_dedup import exact_dedup
 from leafgrid.llm.language_id import identify
@@ -75,3 +76,8 @@ def op10_best_fit_packing(spark, sf_dir):
 @REGISTRY.query("op13_ranked_search", oracles.OP13)
 def op13_ranked_search(spark, sf_dir):
     return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.query("op12_centroid_clustering", oracles.OP12)
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster_digest(*lloyd(read(spark, sf_dir, "embeddings")))
