@@ -148,3 +148,15 @@ SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster)
        sha256(array_to_string(c.e, ',')) AS centroid_sha256
 FROM a3 JOIN c3 c USING (cluster)
 """
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+g AS MATERIALIZED (SELECT rid, doc_id, p, sha256(array_to_string(w[p : p + 49], ' ')) AS g FROM s),
+r AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT rid, p FROM g JOIN r USING (g) WHERE doc_id > least),
+gone AS (SELECT rid, list_distinct(flatten(list(range(p, p + 50)))) AS gone FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF gone IS NULL OR NOT list_contains(gone, i)], ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""

@@ -16,6 +16,7 @@ from leafgrid.llm.quality import score_quality
 from leafgrid.llm.ranked import rank_documents
 from leafgrid.llm.secrets import scan_secrets, secret_digest
 from leafgrid.llm.simhash import near_components
+from leafgrid.llm.substring import drop_repeats
 from leafgrid.llm.topk import top_k
 from leafgrid.llm.url_filter import judge_urls
 from leafgrid.plans.registry import Registry
@@ -73,6 +74,12 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op11_substring_dedup", oracles.OP11)
+def op11_substring_dedup(spark, sf_dir):
+    kept = drop_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @REGISTRY.query("op13_ranked_search", oracles.OP13)
 def op13_ranked_search(spark, sf_dir):
     return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
