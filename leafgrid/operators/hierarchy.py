@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
+from leafgrid.sources.shared import checkpointed
 
 
 def _order() -> WindowSpec:
@@ -203,7 +204,7 @@ def reconcile_locally(h: DataFrame) -> DataFrame:
 
     All evidence comes from the levels before the pass, so no change feeds another: joins and aggregates suffice.
     """
-    titles = numbered_titles(h).persist()  # read by five joins
+    titles = checkpointed(numbered_titles(h))  # read by five joins
     near = neighbourhood(titles)
     aim = F.col("o_rank") == F.col("rank") + 1
     facts = near.groupBy("doc", "n").agg(

@@ -16,7 +16,7 @@ from leafgrid.functions.text import fold_text
 #: Labels whose boxes are not held against each other.
 BBOX_EXEMPT, LABEL_ONLY = ("footer",), ("header",)
 #: Labels that may stand for a flowchart on listed pages, and the coverage one of them must reach.
-FLOWCHART_LABELS, FLOWCHART_COVERAGE = ("flowchart", "image", "text"), 0.8
+FLOWCHART_LABELS, FLOWCHART_COVERAGE = ("flowchart", "image", "text"), 0.10
 FIELDS = ("idx", "label", "level", "x1", "y1", "x2", "y2", "text")
 _KEYS = ("doc", "page_id")
 
@@ -194,3 +194,16 @@ def flowchart_matches(gt: DataFrame, pred: DataFrame, pages: DataFrame) -> DataF
 
     both = charts.join(answers, list(_KEYS))
     return both.select(*_KEYS, F.explode(F.aggregate("g", start, step)["out"]).alias("m")).select(*_KEYS, "m.*")
+
+
+def overlay(gt: DataFrame, pred: DataFrame, flowchart_pages: DataFrame | None = None, loose: tuple[str, ...] = (*BBOX_EXEMPT, *LABEL_ONLY),
+            min_iou: float = 0.5, min_coverage: float | None = None) -> DataFrame:
+    """Matches (doc, page_id, gt_idx, pred_idx, kind) of geometry, of labels and of flowcharts; the last named wins a block."""
+    columns = [*_KEYS, "gt_idx", "pred_idx"]
+    solid = lambda b: b.where(~F.col("label").isin(*loose))
+    out = greedy_matches(solid(gt), solid(pred), min_iou, min_coverage).select(*columns, F.lit("geometry").alias("kind"))
+    out = out.unionByName(label_pairs(gt, pred, loose).select(*columns, F.lit("label").alias("kind")))
+    if flowchart_pages is None:
+        return out
+    charts = flowchart_matches(gt, pred, flowchart_pages).select(*columns, F.lit("flowchart").alias("kind"))
+    return out.join(charts.select("doc", "gt_idx"), ["doc", "gt_idx"], "left_anti").unionByName(charts)

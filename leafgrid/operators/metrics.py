@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
 from leafgrid.operators import matching as M
+from leafgrid.sources.shared import checkpointed
 
 MISSING, EXTRA = "__missing__", "__extra__"
 
@@ -40,12 +41,15 @@ def evaluate(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, min_coverage:
     matches = M.greedy_matches(solid(gt), solid(pred), min_iou, min_coverage).select(*columns)
     if loose:
         matches = matches.unionByName(M.label_pairs(gt, pred, loose).select(*columns))
-    accepted = None
+    taken = None
     if flowchart_pages is not None:
         charts = M.flowchart_matches(gt, pred, flowchart_pages)
         new = charts.select(*columns)
+        # A flowchart replaces its block's match, but the prediction of that match stays used.
+        before = matches.select("doc", F.col("pred_idx").alias("idx"), F.lit(False).alias("chart"))
+        taken = before.unionByName(charts.select("doc", F.explode("accepted").alias("idx"), F.lit(True).alias("chart")))
+        taken = taken.groupBy("doc", "idx").agg(F.bool_or("chart").alias("chart"), F.lit(True).alias("taken"))
         matches = matches.join(new.select("doc", "gt_idx"), ["doc", "gt_idx"], "left_anti").unionByName(new)
-        accepted = charts.select("doc", F.explode("accepted").alias("idx")).distinct()
     pairs = (
         matches.join(gt.select("doc", F.col("idx").alias("gt_idx"), F.col("label").alias("gl"), F.col("level").alias("gv")), ["doc", "gt_idx"])
         .join(pred.select("doc", F.col("idx").alias("pred_idx"), F.col("label").alias("pl"), F.col("level").alias("pv")), ["doc", "pred_idx"])
@@ -59,8 +63,8 @@ def evaluate(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, min_coverage:
             for wide, keys in ((True, ("label",)), (False, ("label", "level")))
         ]
         both_keys = found[0].unionByName(found[1])
-        # Both outcome tables read it: kept, so that the regions are judged once.
-        flags = both_keys.groupBy("doc", "side", "idx").agg(F.bool_or("wide").alias("region"), F.bool_or(~F.col("wide")).alias("region_level")).persist()
+        # Both outcome tables read it: a checkpoint, so that the regions are judged once.
+        flags = checkpointed(both_keys.groupBy("doc", "side", "idx").agg(F.bool_or("wide").alias("region"), F.bool_or(~F.col("wide")).alias("region_level")))
 
     def flagged(blocks: DataFrame, side: str) -> DataFrame:
         if flags is not None:
@@ -70,7 +74,7 @@ def evaluate(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, min_coverage:
         return blocks.withColumn("exempt", F.col("label").isin(*exempt) if exempt else no)
 
     by_gt = pairs.select("doc", F.col("gt_idx").alias("idx"), "pred_idx", F.col("pl").alias("pred_label"), F.col("pv").alias("pred_level"), "same", "same_level")
-    chart_gt = None if accepted is None else charts.select("doc", F.col("gt_idx").alias("idx"), F.lit(True).alias("chart"))
+    chart_gt = None if taken is None else charts.select("doc", F.col("gt_idx").alias("idx"), F.lit(True).alias("chart"))
     g = flagged(gt.select("doc", "idx", "label", "level"), "g").join(by_gt, ["doc", "idx"], "left")
     g = g.join(chart_gt, ["doc", "idx"], "left") if chart_gt is not None else g.withColumn("chart", no)
     right = lambda same, region: F.coalesce(F.col(same), no) | F.col(region) | F.col("exempt") | F.coalesce(F.col("chart"), no)
@@ -80,11 +84,11 @@ def evaluate(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, min_coverage:
     )
     by_pred = pairs.groupBy("doc", F.col("pred_idx").alias("idx")).agg(F.bool_or("same").alias("same"), F.bool_or("same_level").alias("same_level"), F.lit(True).alias("used"))
     p = flagged(pred.select("doc", "idx", "label", "level"), "p").join(by_pred, ["doc", "idx"], "left")
-    p = p.join(accepted.withColumn("chart", F.lit(True)), ["doc", "idx"], "left") if accepted is not None else p.withColumn("chart", no)
+    p = p.join(taken, ["doc", "idx"], "left") if taken is not None else p.withColumns({"chart": no, "taken": no})
     p = p.join(known, "doc", "left").withColumn("known", F.coalesce("known", no))
     truth = lambda same, region: F.col("known") & right(same, region)
     p = p.select(
-        "doc", "idx", "label", "level", (F.coalesce("used", no) | F.coalesce("chart", no)).alias("used"),
+        "doc", "idx", "label", "level", (F.coalesce("used", no) | F.coalesce("taken", no)).alias("used"),
         truth("same", "region").alias("correct"), truth("same_level", "region_level").alias("correct_level"), "known",
     )
     return Outcomes(g, p)

@@ -317,6 +317,29 @@ def _region_sql(name: str, keys: str) -> str:
 
 
 _RECURSIVE = _VIEWS.replace("WITH li", "WITH RECURSIVE li", 1)
+_CHARTS = _RECURSIVE.replace("\ngt AS (", "\ngt0 AS (") + """,
+gt AS (SELECT * REPLACE (CASE WHEN label = 'image' THEN 'flowchart' ELSE label END AS label) FROM gt0)"""
+_ACCEPTED_BOX = "[greatest(gb[1], x.b[1]), greatest(gb[2], x.b[2]), least(gb[3], x.b[3]), least(gb[4], x.b[4])]"
+#: Flowcharts of the first pages, in order of position: a recursion carries the predictions taken so far.
+_FLOWCHARTS = f""",
+fc AS (
+  SELECT g.doc, g.page_id, g.idx, any_value([g.x1, g.y1, g.x2, g.y2]) AS gb, any_value({_area("g")}) AS ga,
+         list({{c: ({_inter("g", "p")}) / ({_area("g")}), i: ({_inter("g", "p")}) / ({_area("g")} + {_area("p")} - ({_inter("g", "p")})), idx: p.idx, b: [p.x1, p.y1, p.x2, p.y2]}} ORDER BY p.idx) AS cand
+  FROM gt g JOIN pred p ON g.doc = p.doc AND g.page_id = p.page_id
+  WHERE g.label = 'flowchart' AND g.page_id < 3 AND p.label IN ('flowchart', 'image', 'text') AND {_inter("g", "p")} > 0 GROUP BY ALL),
+fk AS (SELECT *, row_number() OVER (PARTITION BY doc, page_id ORDER BY idx) AS k FROM fc),
+fr AS (
+  SELECT doc, page_id, CAST(0 AS BIGINT) AS k, []::INTEGER[] AS used, []::INTEGER[] AS ids, NULL::INTEGER AS gt_idx, NULL::INTEGER AS pred_idx, NULL::DOUBLE AS gt_coverage, NULL::DOUBLE AS iou
+  FROM (SELECT DISTINCT doc, page_id FROM fk)
+  UNION ALL
+  SELECT doc, page_id, k, CASE WHEN ok THEN used || list_transform(free, lambda x: x.idx) ELSE used END, CASE WHEN ok THEN list_transform(free, lambda x: x.idx) ELSE [] END,
+         CASE WHEN ok THEN idx END, CASE WHEN ok THEN best.idx END, CASE WHEN ok THEN greatest(best.c, {union_sql("common")} / ga) END, CASE WHEN ok THEN best.i END
+  FROM (
+    SELECT *, coalesce(best.c >= 0.10, false) AS ok, list_transform(free, lambda x: {_ACCEPTED_BOX}) AS common FROM (
+      SELECT *, list_max(list_transform(free, lambda x: {{c: x.c, i: x.i, idx: x.idx}})) AS best FROM (
+        SELECT fk.doc, fk.page_id, fk.k, fk.idx, fk.gb, fk.ga, fr.used, list_filter(fk.cand, lambda x: NOT list_contains(fr.used, x.idx)) AS free
+        FROM fr JOIN fk ON fk.doc = fr.doc AND fk.page_id = fr.page_id AND fk.k = fr.k + 1)))),
+fl AS (SELECT doc, page_id, gt_idx, pred_idx, gt_coverage, iou, ids FROM fr WHERE gt_idx IS NOT NULL)"""
 
 
 @REGISTRY.query("j6_region_equivalence", _RECURSIVE + _region_sql("rg", "label") + "\nSELECT doc, 'g' AS side, unnest(gi) AS idx FROM rg UNION ALL SELECT doc, 'p', unnest(pi) FROM rg")
@@ -324,20 +347,35 @@ def j6_region_equivalence(spark, d):
     return M.equivalent_regions(*_views(spark, d))
 
 
-_FULL = _RECURSIVE + _PAIRS + _SOLID + _greedy("solid", "gm") + _LABEL_PAIRS + _region_sql("rg", "label") + _region_sql("rv", "label, level") + """,
-mt AS (SELECT doc, gt_idx, pred_idx FROM gm UNION ALL SELECT doc, gt_idx, pred_idx FROM lp),
-rgg AS (SELECT doc, unnest(gi) AS idx FROM rg), rgp AS (SELECT doc, unnest(pi) AS idx FROM rg), rvg AS (SELECT doc, unnest(gi) AS idx FROM rv), rvp AS (SELECT doc, unnest(pi) AS idx FROM rv),
+_REGION_ROWS = """,
+rgg AS (SELECT doc, unnest(gi) AS idx FROM rg), rgp AS (SELECT doc, unnest(pi) AS idx FROM rg), rvg AS (SELECT doc, unnest(gi) AS idx FROM rv), rvp AS (SELECT doc, unnest(pi) AS idx FROM rv)"""
+
+
+def _outcomes_sql(matches: str, chart_gt: str = "false", chart_pred: str = "false", used: str = "mt.gt_idx IS NOT NULL") -> str:
+    return _PAIRS + _SOLID + _greedy("solid", "gm") + _LABEL_PAIRS + _region_sql("rg", "label") + _region_sql("rv", "label, level") + _REGION_ROWS + f""",
+m0 AS (SELECT doc, gt_idx, pred_idx FROM gm UNION ALL SELECT doc, gt_idx, pred_idx FROM lp),
+{matches},
 go AS (
-  SELECT g.doc, g.idx, g.label, g.level, p.idx IS NOT NULL AS matched, coalesce(p.label = g.label, false) AS strict,
-         coalesce(p.label = g.label, false) OR g.label = 'footer' OR (g.doc, g.idx) IN (SELECT doc, idx FROM rgg) AS correct,
-         coalesce(p.label = g.label AND p.level = g.level, false) OR g.label = 'footer' OR (g.doc, g.idx) IN (SELECT doc, idx FROM rvg) AS correct_level
+  SELECT g.doc, g.idx, g.label, g.level, p.label AS pl, p.level AS pv, p.idx IS NOT NULL AS matched, coalesce(p.label = g.label, false) AS strict,
+         coalesce(p.label = g.label, false) OR g.label = 'footer' OR {chart_gt} OR (g.doc, g.idx) IN (SELECT doc, idx FROM rgg) AS correct,
+         coalesce(p.label = g.label AND p.level = g.level, false) OR g.label = 'footer' OR {chart_gt} OR (g.doc, g.idx) IN (SELECT doc, idx FROM rvg) AS correct_level
   FROM gt g LEFT JOIN mt ON mt.doc = g.doc AND mt.gt_idx = g.idx LEFT JOIN pred p ON p.doc = g.doc AND p.idx = mt.pred_idx),
 kd AS (SELECT DISTINCT doc FROM gt),
 po AS (
-  SELECT p.doc, p.idx, p.label, p.level,
-         kd.doc IS NOT NULL AND (coalesce(p.label = g.label, false) OR p.label = 'footer' OR (p.doc, p.idx) IN (SELECT doc, idx FROM rgp)) AS correct,
-         kd.doc IS NOT NULL AND (coalesce(p.label = g.label AND p.level = g.level, false) OR p.label = 'footer' OR (p.doc, p.idx) IN (SELECT doc, idx FROM rvp)) AS correct_level
-  FROM pred p LEFT JOIN kd USING (doc) LEFT JOIN mt ON mt.doc = p.doc AND mt.pred_idx = p.idx LEFT JOIN gt g ON g.doc = p.doc AND g.idx = mt.gt_idx)"""
+  SELECT p.doc, p.idx, p.label, p.level, kd.doc IS NOT NULL AS known, bool_or({used}) AS used,
+         kd.doc IS NOT NULL AND bool_or(coalesce(p.label = g.label, false) OR p.label = 'footer' OR {chart_pred} OR (p.doc, p.idx) IN (SELECT doc, idx FROM rgp)) AS correct,
+         kd.doc IS NOT NULL AND bool_or(coalesce(p.label = g.label AND p.level = g.level, false) OR p.label = 'footer' OR {chart_pred} OR (p.doc, p.idx) IN (SELECT doc, idx FROM rvp)) AS correct_level
+  FROM pred p LEFT JOIN kd USING (doc) LEFT JOIN mt ON mt.doc = p.doc AND mt.pred_idx = p.idx LEFT JOIN gt g ON g.doc = p.doc AND g.idx = mt.gt_idx
+  GROUP BY p.doc, p.idx, p.label, p.level, kd.doc)"""
+
+
+_FULL = _RECURSIVE + _outcomes_sql("mt AS (SELECT * FROM m0)")
+#: With the images of the first pages as flowcharts that may be answered by other labels.
+_FULL_CHARTS = _CHARTS + _FLOWCHARTS + _outcomes_sql(
+    """mt AS (SELECT * FROM m0 WHERE (doc, gt_idx) NOT IN (SELECT doc, gt_idx FROM fl) UNION ALL SELECT doc, gt_idx, pred_idx FROM fl),
+fa AS (SELECT doc, unnest(ids) AS idx FROM fl)""",
+    "(g.doc, g.idx) IN (SELECT doc, gt_idx FROM fl)", "(p.doc, p.idx) IN (SELECT doc, idx FROM fa)",
+    "(p.doc, p.idx) IN (SELECT doc, pred_idx FROM m0) OR (p.doc, p.idx) IN (SELECT doc, idx FROM fa)")
 
 
 @REGISTRY.query("flagship_label_metrics", _FULL + _rates(_BOTH.format(k="label", c="correct", w=""), "label"))
@@ -361,18 +399,30 @@ def k15_report_json(spark, d):
     return E.report_json(E.evaluate(*_views(spark, d)))
 
 
-@REGISTRY.query("j7_flexible_flowcharts")
-def j7_flexible_flowcharts(spark, d):
-    """Images of some pages taken as flowcharts; order-dependent, checked against brute force in the tests."""
+def _charts(spark, d):
+    """Both sides with the images of the ground truth as flowcharts, and the pages where other labels may answer them."""
     gt, pred = _views(spark, d)
-    charts = gt.withColumn("label", F.when((F.col("label") == "image"), "flowchart").otherwise(F.col("label")))
-    return M.flowchart_matches(charts, pred, charts.where("page_id < 3").select("doc", "page_id").distinct()).drop("accepted")
+    gt = gt.withColumn("label", F.when(F.col("label") == "image", "flowchart").otherwise(F.col("label")))
+    return gt, pred, gt.where("page_id < 3").select("doc", "page_id").distinct()
 
 
-@REGISTRY.query("j8_overlay", _VIEWS + _PAIRS + _SOLID + _greedy("solid", "gm") + _LABEL_PAIRS + "\nSELECT doc, page_id, gt_idx, pred_idx, 'geometry' AS kind FROM gm UNION ALL SELECT doc, page_id, gt_idx, pred_idx, 'label' FROM lp")
+@REGISTRY.query("j7_flexible_flowcharts", _CHARTS + _FLOWCHARTS + "\nSELECT doc, page_id, gt_idx, pred_idx, gt_coverage, iou, list_sort(ids) AS accepted FROM fl")
+def j7_flexible_flowcharts(spark, d):
+    return M.flowchart_matches(*_charts(spark, d)).withColumn("accepted", F.array_sort("accepted"))
+
+
+@REGISTRY.query("flagship_flowchart_confusion", _FULL_CHARTS + """
+SELECT gt_label, pred_label, count(*) AS n FROM (
+  SELECT label AS gt_label, CASE WHEN matched THEN pl ELSE '__missing__' END AS pred_label FROM go WHERE NOT correct
+  UNION ALL SELECT '__extra__', label FROM po WHERE NOT used AND NOT correct) GROUP BY ALL""")
+def flagship_flowchart_confusion(spark, d):
+    """Confusions of the whole evaluator with reviewed flowchart pages."""
+    gt, pred, pages = _charts(spark, d)
+    return E.label_confusion(E.evaluate(gt, pred, flowchart_pages=pages))
+
+
+@REGISTRY.query("j8_overlay", _CHARTS + _FLOWCHARTS + _PAIRS + _SOLID + _greedy("solid", "gm") + _LABEL_PAIRS + """,
+m0 AS (SELECT doc, page_id, gt_idx, pred_idx, 'geometry' AS kind FROM gm UNION ALL SELECT doc, page_id, gt_idx, pred_idx, 'label' FROM lp)
+SELECT * FROM m0 WHERE (doc, gt_idx) NOT IN (SELECT doc, gt_idx FROM fl) UNION ALL SELECT doc, page_id, gt_idx, pred_idx, 'flowchart' FROM fl""")
 def j8_overlay(spark, d):
-    gt, pred = _views(spark, d)
-    loose = (*M.BBOX_EXEMPT, *M.LABEL_ONLY)
-    solid = M.greedy_matches(gt.where(~F.col("label").isin(*loose)), pred.where(~F.col("label").isin(*loose)))
-    columns = ["doc", "page_id", "gt_idx", "pred_idx"]
-    return solid.select(*columns, F.lit("geometry").alias("kind")).union(M.label_pairs(gt, pred).select(*columns, F.lit("label").alias("kind")))
+    return M.overlay(*_charts(spark, d))

@@ -6,8 +6,6 @@ that all executors share.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,16 +15,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from leafgrid.functions import text as T
 from leafgrid.operators.catalog import latest, upsert
+from leafgrid.sources.shared import fresh_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared one; a temporary folder only in a local session without the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="leafgrid-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A fresh folder below the cluster's shared one."""
+    return fresh_folder(spark, "stream")
 
 
 class UpsertTable:

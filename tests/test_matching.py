@@ -98,8 +98,8 @@ def test_flowcharts_equal_brute_force(spark):
     used, want = set(), {}
     for g, (_, _, box, _) in enumerate(gt):
         area = (box[2] - box[0]) * (box[3] - box[1])
-        free = [(overlap(box, q[2]) / area, p) for p, q in enumerate(pred) if p not in used and q[0] in M.FLOWCHART_LABELS and overlap(box, q[2]) > 0]
-        if free and max(free)[0] >= M.FLOWCHART_COVERAGE:
+        free = [(overlap(box, q[2]) / area, p) for p, q in enumerate(pred) if p not in used and q[0] in ("flowchart", "image", "text") and overlap(box, q[2]) > 0]
+        if free and max(free)[0] >= 0.10:
             want[g] = {p for _, p in free}
             used |= want[g]
     pages = spark.createDataFrame([(1, 0)], "doc long, page_id int")
@@ -107,6 +107,21 @@ def test_flowcharts_equal_brute_force(spark):
     assert got == want
 
 
+def test_flowchart_cases(spark):
+    pages = spark.createDataFrame([(1, 0)], "doc long, page_id int")
+    chart = blocks(spark, [b("flowchart", [0, 0, 100, 100])])
+    covers = lambda y: M.flowchart_matches(chart, blocks(spark, [b("text", [0, 0, 100, y])]), pages).collect()
+    assert [r["accepted"] for r in covers(40)] == [[0]] and [r["gt_coverage"] for r in covers(10)] == [0.1] and covers(9) == []
+    # A table matches the chart by geometry, then an image is accepted for it: the table stays used, so it is no extra block.
+    said = blocks(spark, [b("table", [0, 0, 100, 90]), b("image", [0, 0, 100, 30])])
+    out = E.evaluate(chart, said, flowchart_pages=pages)
+    assert {(r["idx"], r["used"], r["correct"]) for r in out.pred.collect()} == {(0, True, False), (1, True, True)}
+    assert [(r["pred_idx"], r["correct"], r["strict"]) for r in out.gt.collect()] == [(1, True, False)]
+    assert E.totals(out).first()["extra"] == 0 and E.label_confusion(out).collect() == []
+    assert [(r["pred_idx"], r["kind"]) for r in M.overlay(chart, said, pages).collect()] == [(1, "flowchart")]
+    assert [(r["pred_idx"], r["kind"]) for r in M.overlay(chart, said).collect()] == [(0, "geometry")]
+
+
 def test_empty_sides(spark):
     none = blocks(spark, [])
     assert M.greedy_matches(none, none).collect() == [] and M.equivalent_regions(none, none).collect() == []
