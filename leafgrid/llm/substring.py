@@ -11,8 +11,10 @@ windows share theirs: about one row (prefix, document, first and last window) st
 3. Prefixes with at most ``GROUP`` rows are groups that a task can hold. Their rows bring the words around them, and a task
    builds the suffix trees of its groups level by level: the nodes at depth 2d follow from those at depth d. Internal nodes at
    depth ``WINDOW`` over two or more documents are the repeats; leaves of larger ids than the node's least are covered.
-4. A more frequent prefix is lengthened to the whole window: its subtrees have one deep node each, named by the window's SHA-256, whose least id
-   an aggregate finds. So no hot prefix is gathered, and hot windows are joined back by a join that Spark can split.
+4. The rows of a more frequent prefix that agree in all their words (128 bits of their SHA-256) collapse: those of larger ids than the least are covered
+   as a whole, first within salted shares of such a class, then among what the shares leave. What is left of a prefix goes to step 3 if it is a group
+   now; else the prefix is lengthened to the whole window: its subtrees have one deep node each, named by the window's SHA-256,
+   whose least id an aggregate finds. So no hot prefix is gathered, and hot windows are joined back by a join that Spark can split.
 5. Spans return to their documents; texts are shuffled once for steps 3 to 5.
 
 Defined results: null text has no words; a null id counts as larger than every id and is not smaller than another null; repeated
@@ -25,10 +27,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.llm.common import checkpointed, counted, stored
@@ -37,6 +40,8 @@ WINDOW, PREFIX, GROUP = 50, 8, 4096
 LONG_WORD = 64
 #: Bytes of text whose grams are hashed at once, words of a piece of a long text, and words of the trees that are built at once.
 CHUNK, PIECE, FOREST = 1 << 20, 100_000, 400_000
+#: Salted shares of the rows of a hot prefix that agree: at least so many, and one more for so many rows in all.
+SHARES, SHARE_ROWS = 32, 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = np.uint64((1 << 22) - 1)
@@ -64,7 +69,7 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[np.ndarray, ...]:
-    """Arrays (text number, gram, first window, last window): all windows of the texts by their least gram."""
+    """Arrays (text number, gram, first window, last window, digest of the words): all windows of the texts by their least gram."""
     out: list[tuple[np.ndarray, ...]] = []
     buffer: list[bytes] = []
     pieces: list[tuple[int, int, int]] = []  # text number, place of the first word, words
@@ -72,7 +77,8 @@ def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[n
 
     def flush() -> None:
         nonlocal held
-        raw = np.frombuffer(b"".join(buffer), np.uint8)
+        data = b"".join(buffer)
+        raw = np.frombuffer(data, np.uint8)
         if len(raw) > len(tables.get("up", ())):
             tables["up"], tables["down"] = _powers(_BASE, len(raw)), _powers(_BACK, len(raw))
         ends = np.flatnonzero(raw == 32)
@@ -91,7 +97,9 @@ def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[n
         last = np.concatenate([run[1:], [len(at)]]) - 1
         number, offset = (np.array([p[i] for p in pieces]) for i in (0, 1))
         shift = (offset - first)[piece[run]]
-        out.append((number[piece[run]], h[at[run]].view(np.int64), begin[run] + shift, begin[last] + shift))
+        spans = zip(starts[begin[run]].tolist(), ends[begin[last] + window - 1].tolist(), strict=True)
+        digest = np.array([hashlib.sha256(data[a:z]).digest()[:16] for a, z in spans], object)
+        out.append((number[piece[run]], h[at[run]].view(np.int64), begin[run] + shift, begin[last] + shift, digest))
         buffer.clear()
         pieces.clear()
         held = 0
@@ -109,18 +117,18 @@ def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[n
                 flush()
     if pieces:
         flush()
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
 
 
 def _file(window: int, prefix: int):
-    """Kernel: (d, h, text) -> (g, d, h, lo, hi)."""
+    """Kernel: (d, h, text) -> (g, d, h, lo, hi, r)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict = {}
         for b in batches:
-            number, g, lo, hi = filed(b["text"].cast(pa.binary()).to_pylist(), window, prefix, tables)
+            number, g, lo, hi, r = filed(b["text"].cast(pa.binary()).to_pylist(), window, prefix, tables)
             at = pa.array(number)
-            yield pa.RecordBatch.from_arrays([pa.array(g), b["d"].take(at), b["h"].take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["g", "d", "h", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), b["d"].take(at), b["h"].take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(r.tolist(), pa.binary())], names=["g", "d", "h", "lo", "hi", "r"])
 
     return run
 
@@ -261,19 +269,34 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(counted(checkpointed(twins)), "sha", "left")
     copy = F.coalesce(F.col("lead") < F.col("d"), F.lit(False))
     own = rows.where(~copy).select("doc", "d", F.xxhash64("sha").alias("h"), "text")
-    files = stored(own.select("d", "h", "text").mapInArrow(_file(window, prefix), "g long, d long, h long, lo int, hi int"))
+    files = stored(own.select("d", "h", "text").mapInArrow(_file(window, prefix), "g long, d long, h long, lo int, hi int, r binary"))
     shared = files.groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
     shared = stored(shared.select("g", (F.col("n") > group).alias("hot")))
-    marked = files.join(shared, "g")
-    marks = lambda hot: marked.where(F.col("hot") == hot).groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("marks"))
-    dealt = own.repartition("d", "h")  # one exchange of the texts, read by the joins below
-    near = dealt.join(marks(False), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_regions(window), "g long, d long, h long, lo int, words binary")
-    spans = near.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window), "d long, h long, start int, end int")
+    place = ["g", "d", "h", "lo", "hi"]
+    marked, whole = files.select(place).join(shared.where("not hot").select("g"), "g"), None
+    spans = []
     if not shared.where("hot").isEmpty():
-        whole = dealt.join(marks(True), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_windows(window), "w binary, d long, h long, start int")
+        # Hot prefixes are at most rows / group many.
+        shares = max(SHARES, files.count() // SHARE_ROWS)
+        rows_of_hot = files.join(counted(shared.where("hot").select("g")), "g").withColumn("share", F.pmod(F.xxhash64("d"), F.lit(shares)))
+        twin = lambda *keys: F.col("d") > F.min("d").over(Window.partitionBy(*keys))
+        within = stored(rows_of_hot.withColumn("twin", twin("g", "r", "share")))
+        rest = stored(within.where("not twin").withColumn("twin", twin("g", "r")))  # at most ``shares`` documents a class
+        gone = within.where("twin").select("d", "h", "lo", "hi").union(rest.where("twin").select("d", "h", "lo", "hi"))
+        spans.append(gone.select("d", "h", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")))
+        sizes = checkpointed(rest.where("not twin").groupBy("g").agg((F.count(F.lit(1)) > group).alias("hot")))
+        left = lambda hot: rest.where("not twin").select(place).join(counted(sizes.where(F.col("hot") == hot).select("g")), "g")
+        marked = marked.union(left(False))
+        whole = None if sizes.where("hot").isEmpty() else left(True)
+    marks = lambda rows: rows.groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("marks"))
+    dealt = own.repartition("d", "h")  # one exchange of the texts, read by the joins below
+    near = dealt.join(marks(marked), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_regions(window), "g long, d long, h long, lo int, words binary")
+    spans.append(near.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window), "d long, h long, start int, end int"))
+    if whole is not None:
+        whole = dealt.join(marks(whole), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_windows(window), "w binary, d long, h long, start int")
         least = whole.groupBy("w").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("w", "a")
-        again = whole.join(least, "w").where("d > a")
-        spans = spans.union(again.select("d", "h", "start", (F.col("start") + window).alias("end")))
+        spans.append(whole.join(least, "w").where("d > a").select("d", "h", "start", (F.col("start") + window).alias("end")))
+    spans = reduce(DataFrame.union, spans)
     spans = spans.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end")))
     split = dealt.join(spans, ["d", "h"], "left").select("doc", "text", "spans").union(rows.where(copy).select("doc", "text", all_of_it.alias("spans")))
