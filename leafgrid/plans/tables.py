@@ -14,6 +14,7 @@ from leafgrid.plans.headings import outline_sql
 from leafgrid.plans.registry import Registry
 from leafgrid.sources import readers as R
 from leafgrid.sources import views as V
+from leafgrid.sources.versions import VersionedTable
 from leafgrid.streaming import incremental as S
 
 REGISTRY = Registry()
@@ -506,22 +507,26 @@ def labels_confusion(spark, d):
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, frame, folder, order, parts):
-    """The rows of a frame as a stream of files, in the given order, a file a batch."""
-    cut = frame.withColumn("part", (F.col(order) % parts if isinstance(order, str) else order).cast("int"))
+#: Files of a micro-batch: that many tasks read it.
+_FILES = 4
+
+
+def _stream(spark, frame, folder, part, parts):
+    """The rows of a frame as a stream of files: those of part 0 first, then those of part 1, ..."""
+    cut = frame.withColumn("part", part.cast("int"))
     for k in range(parts):
-        cut.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
+        cut.where(F.col("part") == k).drop("part").repartition(_FILES).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", _FILES).option("latestFirst", False).parquet(f"{folder}/in")
 
 
 @REGISTRY.query("t1_stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
 def t1(spark, d):
-    """Commits of a stream as upserts; the last version equals the batch result."""
+    """Commits of a stream as upserts of the touched buckets; the last version equals the batch result."""
     folder = S.shared_folder(spark)
-    stream = _stream(spark, V.table(spark, d, "events").select("user_id", "event_id", "event_type"), folder, "event_id", 3)
-    table = S.UpsertTable(f"{folder}/table", ["user_id"], ["event_id"])
-    S.run_to_end(stream, folder, table)
-    return table.read(spark)
+    stream = _stream(spark, V.table(spark, d, "events").select("user_id", "event_id", "event_type"), folder, F.col("event_id") % 3, 3)
+    table = VersionedTable(spark, f"{folder}/table", "user_id long, event_id long, event_type string", ["user_id"])
+    S.run_to_end(stream, folder, S.upserts(table, ["event_id"], "events"))
+    return VersionedTable(spark, f"{folder}/table", table.schema, ["user_id"]).read()
 
 
 @REGISTRY.query("t2_stream_heading_state", V.with_views("hd") + """,
@@ -530,19 +535,35 @@ cl AS (
   FROM (SELECT *, count(l) OVER (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN block_type = 'paragraph_title' AND level IS NOT NULL THEN CAST(substr(level, 2) AS INTEGER) END AS l FROM hd)))
 SELECT doc, ord, repaired FROM cl""")
 def t2(spark, d):
-    """The heading clamp with one integer of state per document, fed page by page."""
+    """The heading clamp over pages that finish in any order: a page waits in the state until those before it have come."""
     folder = S.shared_folder(spark)
-    h = V.headings(spark, d).select("doc", "ord", "block_type", "level", "page_id")
-    stream = _stream(spark, h, folder, F.col("page_id"), 5)
-    out = S.clamp_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    pages = S.page_rows(V.headings(spark, d))
+    stream = _stream(spark, pages, folder, F.pmod(F.xxhash64("doc", "page_id"), F.lit(4)), 4)
+    out = S.clamp_pages(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     out.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("doc", "ord", "repaired")
 
 
-@REGISTRY.query("t4_failed_pages_rerun", "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 1 AND conv_id % 2 = 0")
+@REGISTRY.query("t4_failed_pages_rerun", """
+SELECT conv_id, turn, CASE WHEN done THEN 'done' ELSE 'dead' END AS status, CAST(CASE WHEN turn % 3 <> 1 THEN 1 WHEN done THEN 1 + conv_id % 4 ELSE 3 END AS BIGINT) AS attempts,
+       CASE WHEN done THEN t ELSE 'timeout' END AS said
+FROM (SELECT conv_id, turn, min(text) AS t, turn % 3 <> 1 OR (conv_id % 4 BETWEEN 1 AND 2) AS done FROM conversations GROUP BY ALL)""")
 def t4(spark, d):
-    """Pages set aside as failed that a later run has not done."""
-    c = V.table(spark, d, "conversations").withColumn("error", F.when(F.col("turn") % 3 == 1, "timeout"))
-    good, failed = S.split_failed(c)
-    rerun = failed.where("conv_id % 2 = 1")
-    return S.still_failed(failed, good.unionByName(rerun), ["conv_id", "turn"])
+    """A stream of page results with failures, then reruns: some pages work at the second attempt, some at the third, some never."""
+    folder = S.shared_folder(spark)
+    pages = V.table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("payload"))
+    error = lambda bad: F.when(bad, "timeout")
+    stamp = lambda k: F.timestamp_seconds(F.lit(k))
+    first = pages.withColumns({"error": error(F.col("turn") % 3 == 1), "at": stamp(0)})
+    queue = S.PageQueue(spark, f"{folder}/queue", "conv_id long, turn long")
+    S.run_to_end(_stream(spark, first, folder, F.pmod("conv_id", F.lit(2)), 2), folder, queue.sink("pages"))
+
+    def attempt(k):
+        works = (F.col("conv_id") % 4 <= k) & (F.col("conv_id") % 4 >= 1)
+        return lambda keys: keys.join(pages, ["conv_id", "turn"]).withColumns({"error": error(~works), "at": stamp(k)})
+
+    again = S.PageQueue(spark, f"{folder}/queue", "conv_id long, turn long")  # another object finds what the first one left
+    for k in (1, 2, 3):
+        again.rerun(attempt(k), most=3)
+    done = again.done.read().select("conv_id", "turn", F.lit("done").alias("status"), "attempts", F.col("payload").alias("said"))
+    return done.unionByName(again.waiting().select("conv_id", "turn", F.lit("dead").alias("status"), "attempts", F.col("error").alias("said")))
