@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words of one document; a word goes if a windo
 document with a smaller id. A window is a suffix of its document, cut at ``WINDOW`` words. Suffixes are not shipped one by
 one: each is filed under the prefix of a sparse suffix, the ``PREFIX``-word gram with the least hash among its grams (leftmost
 among equals). Equal windows have the same least gram at the same place, so they meet under one prefix, and neighbouring
-windows share theirs: about one row (prefix, document, first and last window) stands for 22 windows.
+windows share theirs: about one row (prefix, document, first and last window) stands for 22 windows, and places of one document that
+agree in all their words share a row.
 
 1. Exact copies of a text in a smaller id are set aside: all of their windows start there too.
 2. Prefixes that occur in one document only fall away by an aggregate. The others are counted.
@@ -69,8 +70,10 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[np.ndarray, ...]:
-    """Arrays (text number, gram, first window, last window, digest of the words): all windows of the texts by their least gram."""
+    """All windows of the texts by their least gram: text number, gram, windows less one, digest of the words, and the first windows of
+    all places of the text that agree in these (offsets and values)."""
     out: list[tuple[np.ndarray, ...]] = []
+    digests: list[bytes] = []
     buffer: list[bytes] = []
     pieces: list[tuple[int, int, int]] = []  # text number, place of the first word, words
     held = 0
@@ -98,8 +101,8 @@ def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[n
         number, offset = (np.array([p[i] for p in pieces]) for i in (0, 1))
         shift = (offset - first)[piece[run]]
         spans = zip(starts[begin[run]].tolist(), ends[begin[last] + window - 1].tolist(), strict=True)
-        digest = np.array([hashlib.sha256(data[a:z]).digest()[:16] for a, z in spans], object)
-        out.append((number[piece[run]], h[at[run]].view(np.int64), begin[run] + shift, begin[last] + shift, digest))
+        digests.extend(hashlib.sha256(data[a:z]).digest()[:16] for a, z in spans)
+        out.append((number[piece[run]], h[at[run]].view(np.int64), begin[run] + shift, begin[last] - begin[run]))
         buffer.clear()
         pieces.clear()
         held = 0
@@ -117,18 +120,28 @@ def filed(texts: list[bytes], window: int, prefix: int, tables: dict) -> tuple[n
                 flush()
     if pieces:
         flush()
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+    if not out:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 16), np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    number_, gram, lo, span = (np.concatenate(x) for x in zip(*out, strict=True))
+    digest = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+    high, low = np.ascontiguousarray(digest).view(np.int64).T
+    order = np.lexsort((lo, low, high, gram, number_))
+    number_, gram, lo, span, digest, high, low = (x[order] for x in (number_, gram, lo, span, digest, high, low))
+    new = np.concatenate([[True], (number_[1:] != number_[:-1]) | (gram[1:] != gram[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    return number_[new], gram[new], span[new], digest[new], np.concatenate([np.flatnonzero(new), [len(lo)]]), lo
 
 
 def _file(window: int, prefix: int):
-    """Kernel: (d, h, text) -> (g, d, h, lo, hi, r)."""
+    """Kernel: (d, h, text) -> (g, d, h, span, r, los)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict = {}
         for b in batches:
-            number, g, lo, hi, r = filed(b["text"].cast(pa.binary()).to_pylist(), window, prefix, tables)
+            number, g, span, digest, offsets, los = filed(b["text"].cast(pa.binary()).to_pylist(), window, prefix, tables)
             at = pa.array(number)
-            yield pa.RecordBatch.from_arrays([pa.array(g), b["d"].take(at), b["h"].take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(r.tolist(), pa.binary())], names=["g", "d", "h", "lo", "hi", "r"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(los.astype(np.int32)))
+            r = pa.array([x.tobytes() for x in digest], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(g), b["d"].take(at), b["h"].take(at), pa.array(span.astype(np.int32)), r, lists], names=["g", "d", "h", "span", "r", "los"])
 
     return run
 
@@ -138,35 +151,36 @@ def _short(words: list[bytes]) -> list[bytes]:
 
 
 def _regions(window: int):
-    """Kernel: (d, h, text, marks of (g, lo, hi)) -> (g, d, h, lo, words from the first window's start to the last one's end)."""
+    """Kernel: (d, h, text, marks of (g, span, los)) -> (g, d, h, los, words from the first window's start to the last one's end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for d, h, text, marks in zip(b["d"].to_pylist(), b["h"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["marks"].to_pylist(), strict=True):
                 words = _short(text.split())
-                rows += [(m["g"], d, h, m["lo"], b" ".join(words[m["lo"] : m["hi"] + window])) for m in marks]
+                rows += [(m["g"], d, h, m["los"], b" ".join(words[m["los"][0] : m["los"][0] + m["span"] + window])) for m in marks]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             for at in range(0, len(rows), 10_000):  # bounded batches
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], t) for c, t in zip(columns, kinds, strict=True)], names=["g", "d", "h", "lo", "words"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 10_000], t) for c, t in zip(columns, kinds, strict=True)], names=["g", "d", "h", "los", "words"])
 
     return run
 
 
 def _windows(window: int):
-    """Kernel: (d, h, text, marks) -> (w, d, h, start): the SHA-256 of every window of the marks."""
+    """Kernel: (d, h, text, marks) -> (w, d, h, starts): the SHA-256 of every window of the marks, and where it starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, h, text, marks in zip(b["d"].to_pylist(), b["h"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["marks"].to_pylist(), strict=True):
                 words = _short(text.split())
-                starts = [s for m in marks for s in range(m["lo"], m["hi"] + 1)]
-                for at in range(0, len(starts), 100_000):
-                    part = starts[at : at + 100_000]
-                    w = [hashlib.sha256(b" ".join(words[s : s + window])).digest() for s in part]
+                found = [(m["los"], k) for m in marks for k in range(m["span"] + 1)]
+                for at in range(0, len(found), 100_000):
+                    part = found[at : at + 100_000]
+                    w = [hashlib.sha256(b" ".join(words[los[0] + k : los[0] + k + window])).digest() for los, k in part]
+                    starts = [[lo + k for lo in los] for los, k in part]
                     n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([d] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(part, pa.int32())], names=["w", "d", "h", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([d] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], names=["w", "d", "h", "starts"])
 
     return run
 
@@ -181,8 +195,8 @@ def deep_nodes(words: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def covered(d: np.ndarray, lo: np.ndarray, bodies: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
-    """(row, start, end) of the words of each row that windows cover which also start in a row of a smaller d."""
+def covered(d: np.ndarray, bodies: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) within its body of the words of each row that windows cover which also start in a row of a smaller d."""
     names: dict[bytes, int] = {}
     split = [body.split(b" ") for body in bodies]
     sizes = np.array([len(x) for x in split])
@@ -198,19 +212,22 @@ def covered(d: np.ndarray, lo: np.ndarray, bodies: list[bytes], window: int) ->
     if len(gone):
         cut = np.concatenate([[True], (row[gone][1:] != row[gone][:-1]) | (at[gone][1:] != at[gone][:-1] + 1)])
         begin, end = gone[cut], gone[np.concatenate([cut[1:], [True]])]
-        yield from zip(row[begin].tolist(), (lo[row[begin]] + at[begin]).tolist(), (lo[row[end]] + at[end] + window).tolist(), strict=True)
+        yield from zip(row[begin].tolist(), at[begin].tolist(), (at[end] + window).tolist(), strict=True)
 
 
 def _trees(window: int):
-    """Kernel over (g, d, h, lo, words) sorted by g: the spans (d, h, start, end) that the groups' suffix trees cover."""
+    """Kernel over (g, d, h, los, words) sorted by g: the spans (d, h, array of start and end) that the groups' suffix trees cover."""
     most = max(1, FOREST // (2 * window))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        d, h, lo = (t[c].to_numpy() for c in ("d", "h", "lo"))
-        found = list(covered(d, lo, t["words"].to_pylist(), window)) if t.num_rows else []
+        d, h = (t[c].to_numpy() for c in ("d", "h"))
+        found = list(covered(d, t["words"].to_pylist(), window)) if t.num_rows else []
         row = np.array([f[0] for f in found], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(h[row]), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], names=["d", "h", "start", "end"])
+        los = t["los"].combine_chunks().take(pa.array(row)).to_pylist()
+        spans = [[{"start": lo + a, "end": lo + z} for lo in own] for own, (_, a, z) in zip(los, found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(h[row]), pa.array(spans, kind)], names=["d", "h", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -269,11 +286,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.join(counted(checkpointed(twins)), "sha", "left")
     copy = F.coalesce(F.col("lead") < F.col("d"), F.lit(False))
     own = rows.where(~copy).select("doc", "d", F.xxhash64("sha").alias("h"), "text")
-    files = stored(own.select("d", "h", "text").mapInArrow(_file(window, prefix), "g long, d long, h long, lo int, hi int, r binary"))
+    files = stored(own.select("d", "h", "text").mapInArrow(_file(window, prefix), "g long, d long, h long, span int, r binary, los array<int>"))
     shared = files.groupBy("g").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
     shared = stored(shared.select("g", (F.col("n") > group).alias("hot")))
-    place = ["g", "d", "h", "lo", "hi"]
+    place = ["g", "d", "h", "span", "los"]
     marked, whole = files.select(place).join(shared.where("not hot").select("g"), "g"), None
+    span = lambda starts, length: F.transform(starts, lambda s: F.struct(s.alias("start"), (s + length).alias("end")))
     spans = []
     if not shared.where("hot").isEmpty():
         # Hot prefixes are at most rows / group many.
@@ -282,22 +300,22 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         twin = lambda *keys: F.col("d") > F.min("d").over(Window.partitionBy(*keys))
         within = stored(rows_of_hot.withColumn("twin", twin("g", "r", "share")))
         rest = stored(within.where("not twin").withColumn("twin", twin("g", "r")))  # at most ``shares`` documents a class
-        gone = within.where("twin").select("d", "h", "lo", "hi").union(rest.where("twin").select("d", "h", "lo", "hi"))
-        spans.append(gone.select("d", "h", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")))
+        gone = within.where("twin").select(place).union(rest.where("twin").select(place))
+        spans.append(gone.select("d", "h", span("los", F.col("span") + window).alias("spans")))
         sizes = checkpointed(rest.where("not twin").groupBy("g").agg((F.count(F.lit(1)) > group).alias("hot")))
         left = lambda hot: rest.where("not twin").select(place).join(counted(sizes.where(F.col("hot") == hot).select("g")), "g")
         marked = marked.union(left(False))
         whole = None if sizes.where("hot").isEmpty() else left(True)
-    marks = lambda rows: rows.groupBy("d", "h").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("marks"))
+    marks = lambda rows: rows.groupBy("d", "h").agg(F.collect_list(F.struct("g", "span", "los")).alias("marks"))
     dealt = own.repartition("d", "h")  # one exchange of the texts, read by the joins below
-    near = dealt.join(marks(marked), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_regions(window), "g long, d long, h long, lo int, words binary")
-    spans.append(near.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window), "d long, h long, start int, end int"))
+    near = dealt.join(marks(marked), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_regions(window), "g long, d long, h long, los array<int>, words binary")
+    kind = "d long, h long, spans array<struct<start:int,end:int>>"
+    spans.append(near.repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window), kind))
     if whole is not None:
-        whole = dealt.join(marks(whole), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_windows(window), "w binary, d long, h long, start int")
+        whole = dealt.join(marks(whole), ["d", "h"]).select("d", "h", "text", "marks").mapInArrow(_windows(window), "w binary, d long, h long, starts array<int>")
         least = whole.groupBy("w").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("w", "a")
-        spans.append(whole.join(least, "w").where("d > a").select("d", "h", "start", (F.col("start") + window).alias("end")))
-    spans = reduce(DataFrame.union, spans)
-    spans = spans.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        spans.append(whole.join(least, "w").where("d > a").select("d", "h", span("starts", F.lit(window)).alias("spans")))
+    spans = reduce(DataFrame.union, spans).groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end")))
     split = dealt.join(spans, ["d", "h"], "left").select("doc", "text", "spans").union(rows.where(copy).select("doc", "text", all_of_it.alias("spans")))
     return split.mapInArrow(_keep(window), "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)

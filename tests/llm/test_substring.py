@@ -81,9 +81,13 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(substring, "PIECE", 300)
     monkeypatch.setattr(substring, "CHUNK", 1000)
     parts = substring.filed([b"", b" ".join(words), b"short text"], 20, 4, {})
-    grams = lambda f: [g for g, lo, hi in zip(*f[1:4], strict=True) for _ in range(lo, hi + 1)]
-    assert grams(whole) == grams(parts) and set(parts[0].tolist()) == {1}
-    assert [s for lo, hi in zip(*parts[2:4], strict=True) for s in range(lo, hi + 1)] == list(range(4981))
+
+    def windows(number, gram, span, digest, offsets, los):
+        return sorted((lo + k, g) for g, n, a, z in zip(gram, span, offsets[:-1], offsets[1:], strict=True) for lo in los[a:z] for k in range(n + 1))
+
+    assert windows(*whole) == windows(*parts) and set(parts[0].tolist()) == {1}
+    assert [s for s, _ in windows(*parts)] == list(range(4981))
+    assert len(substring.filed([b"z " * 500], 20, 4, {})[0]) == 1  # repeated places share a row
 
 
 def test_nodes_are_equal_prefixes():
