@@ -10,6 +10,7 @@ from leafgrid.plans.registry import Registry
 from leafgrid.plans.tables import _UNITS, units
 from leafgrid.sources import readers as R
 from leafgrid.sources import views as V
+from leafgrid.sources.job_store import JobStore, copy_images, listing, page_images, write_files
 from leafgrid.streaming.incremental import shared_folder
 
 REGISTRY = Registry()
@@ -24,16 +25,50 @@ def _one_file_each(rows, folder: str, *dirs: str) -> None:
 SELECT 'j' || CAST(s_suppkey AS VARCHAR) AS job_id, CASE WHEN s_suppkey % 3 = 0 THEN '未知文件' ELSE s_name END AS filename, CASE WHEN s_suppkey % 2 = 0 THEN 'complete' ELSE 'running' END AS status, CAST(s_suppkey % 4 - s_suppkey % 4 // 2 AS INTEGER) AS completed_pages,
        CASE WHEN s_suppkey % 5 = 0 THEN 'm/x' ELSE '未知' END AS model FROM supplier""")
 def s1(spark, d):
-    """Jobs in two directory depths; a file that two globs match counts once, retired keys are not read, missing fields get defaults."""
+    """Jobs in two directory depths of nested roots; each file counts once without a shuffle, retired keys are not read, missing fields get defaults."""
+    return R.with_job_defaults(_job_store(spark, d).scan()).select("job_id", "filename", "status", "completed_pages", F.col("config.model").alias("model"))
+
+
+@REGISTRY.query("s2_job_lookup", """
+SELECT 'j' || CAST(s_suppkey AS VARCHAR) AS job_id, CASE WHEN s_suppkey % 2 = 0 THEN 'complete' ELSE 'running' END AS status, CAST(s_suppkey AS VARCHAR) AS job FROM supplier WHERE s_suppkey BETWEEN 1 AND 10""")
+def s2_lookup(spark, d):
+    """Ten jobs and one that is not there, by their folders: even ones are flat, odd ones one level deeper. Only their files are read."""
+    found = _job_store(spark, d).find([*map(str, range(1, 11)), "nowhere"])
+    return R.with_job_defaults(found).select("job_id", "status", "job")
+
+
+def _job_store(spark, d):
     k = F.col("s_suppkey")
     pages = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < k % 4), lambda i: F.struct(i.cast("int").alias("page_id"), F.when(i % 2 == 0, "done").otherwise("pending").alias("status"), F.lit("x").alias("retired")))
     job = F.struct(F.concat(F.lit("j"), k.cast("string")).alias("job_id"), F.when(k % 3 != 0, F.col("s_name")).alias("filename"), F.when(k % 2 == 1, "running").alias("status"), pages.alias("pages"), F.when(k % 5 == 0, "m/x").alias("model"), F.lit("gone").alias("layout_prompt"))
     rows = V.table(spark, d, "supplier").select(k.alias("job"), (k % 3).alias("user"), F.to_json(job).alias("value"))
+    root = f"{shared_folder(spark)}/store"
+    _one_file_each(rows.where("job % 2 = 0").drop("user"), root, "job")
+    rows.where("job % 2 = 1").repartition(8, "user", "job").write.mode("append").partitionBy("user", "job").text(root)
+    return JobStore(spark, root, f"{root}/user=0", file="part-*.txt", folder="job={}")
+
+
+@REGISTRY.query("k9_r24_copied_images", """
+WITH p AS (
+  SELECT page_id, 'j' || CAST(page_id // 5 AS VARCHAR) AS job, page_id % 5 AS no, page_id % 6 AS m, html FROM pages)
+SELECT page_id, CASE WHEN m <> 2 THEN printf('images/set_1/%s/page_%03d.png', job, no) END AS target, CAST(CASE WHEN m = 4 THEN 0 WHEN m <> 2 THEN 1 END AS INTEGER) AS rank,
+       CASE WHEN m <> 2 THEN sha256(coalesce(html, '')) END AS sha256, CASE WHEN m = 2 THEN 'no file at the url or the page''s places' END AS reason FROM p""")
+def k9_r24(spark, d):
+    """Page images found by URL or by their place in the job's folder, copied byte for byte; those that are missing have a reason."""
+    p, i = V.table(spark, d, "pages"), F.col("page_id")
+    job = F.concat(F.lit("j"), F.floor(i / 5).cast("string"))
+    own = F.format_string("pages/page_%03d.png", (i % 5).cast("int"))
     folder = shared_folder(spark)
-    _one_file_each(rows.where("job % 2 = 0").drop("user"), f"{folder}/flat", "job")
-    _one_file_each(rows.where("job % 2 = 1"), f"{folder}/deep", "user", "job")
-    found = R.read_jobs(spark, f"{folder}/flat/*/*.txt", f"{folder}/deep/*/*/*.txt", f"{folder}/flat/job=*/part-*.txt")
-    return R.with_job_defaults(found).select("job_id", "filename", "status", "completed_pages", F.col("config.model").alias("model"))
+    place = F.concat_ws("/", job, F.when(i % 6 == 4, F.concat(F.lit("extra/p"), i.cast("string"), F.lit(".png"))).otherwise(own))
+    write_files(p.where(i % 6 != 2).select(place.alias("name"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), f"{folder}/jobs")
+    base = F.lit(f"{folder}/jobs/")
+    url = F.concat(F.lit("/jobs/"), job, F.when(i % 6 == 4, F.concat(F.lit("/extra/p"), i.cast("string"), F.lit(".png"))).otherwise("/gone.png"))
+    asked = p.select("page_id", job.alias("job"), F.regexp_replace(F.concat(base, job), "^(file:)?/+", "file:/").alias("folder"), (i % 5).cast("int").alias("page_no"), url.alias("image_url"), url.alias("model_image_url"))
+    asked = asked.select(F.col("page_id").alias("id"), "job", "folder", F.col("page_no").alias("page_id"), "image_url", "model_image_url")
+    found = page_images(asked, listing(spark, f"{folder}/jobs/*"))
+    out = copy_images(found, f"{folder}/export", F.lit("set 1"))
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/export/images").select(F.regexp_extract("path", "(images/.*)$", 1).alias("target"), F.sha2("content", 256).alias("sha256"))
+    return out.join(back, "target", "left").select(F.col("id").alias("page_id"), "target", "rank", "sha256", "reason")
 
 
 @REGISTRY.query("s3_json_lines", "SELECT event_id, event_type, user_id FROM events WHERE event_id % 5 <> 1 AND event_id % 5 <> 2")
