@@ -17,7 +17,8 @@ Defined results: vectors that are null or hold null, NaN or infinite components
 queries nor as candidates; shorter vectors count as padded with zeros; a query's own id never is its answer;
 ties go to the smaller id; a repeated candidate row is a candidate each time, a repeated query id is asked once, with its
 least vector; an empty table gives an empty result; extra columns
-are ignored. A component of 2**31 or more after scaling stops the run; sums are 64-bit.
+are ignored. Scaled components and scores beyond 64 bits count as the nearest number of the range -(2**63 - 1) to 2**63 - 1; products are exact
+before that (in Python's integers for the rows that need it).
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ BLOCK, QUERY_BLOCK = 256, 8192
 PARTITION_ROWS = 65536
 #: Partitions of the first wave, and growth of what all waves so far have searched.
 FIRST_PARTS, WAVE_GROWTH = 64, 4
-#: Stands for no score; its negative is a valid number too.
-NONE = -(2**62)
+#: Stands for no score: below every score. Falling order is the rising order of ~score, which no score overflows.
+NONE = -(2**63)
 _OUT = "query_id long, vec_id long, score long"
 
 
@@ -46,8 +47,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v array<long>) of the rows that take part."""
     v = F.col(vec_col)
     odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
-    large = F.raise_error(F.lit("a component is 2**31 or more after scaling")).cast("long")
-    scaled = lambda x: F.when(F.abs(x.cast("double") * SCALE) < 2.0**31, F.floor(x.cast("double") * SCALE).cast("long")).otherwise(large)
+    scaled = lambda x: F.greatest(F.floor(x.cast("double") * SCALE), F.lit(-(2**63 - 1)))  # noqa: E731  floor stays within 64 bits
     return vectors.where(v.isNotNull() & ~F.exists(v, odd)).select(F.col(id_col).cast("long").alias("id"), F.transform(v, scaled).alias("v"))
 
 
@@ -62,12 +62,26 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products a @ b.T; in floating point (fast) where sums stay below 2**53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
     if most < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -(2**63 - 1), 2**63 - 1).astype(np.int64)
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer products a @ b.T, exact or at the end of the range; in floating point (fast) for rows whose sums stay below 2**53."""
+    small = (2**52 / max(1, a.shape[1])) ** 0.5
+    large_a, large_b = (np.abs(x.astype(np.float64)).max(axis=1, initial=0) > small for x in (a, b))
+    if not large_a.any() and not large_b.any():
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    out = np.empty((len(a), len(b)), np.int64)
+    for rows in (large_a, ~large_a):
+        for columns in (large_b, ~large_b):
+            out[np.ix_(rows, columns)] = _exact(a[rows], b[columns])
+    return out
 
 
 def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int, floor: np.ndarray | None = None):
@@ -79,8 +93,8 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
     starts = np.arange(0, len(ids), block)
     highest, lowest = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = _dot(positive, highest) + _dot(negative, lowest)
-    order = np.argsort(-bounds, axis=1, kind="stable")
+    bounds = _dot(np.concatenate([positive, negative], axis=1), np.concatenate([highest, lowest], axis=1))
+    order = np.argsort(~bounds, axis=1, kind="stable")
     n = len(queries)
     best_s, best_i = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max)
     live, scored = np.arange(n), 0
@@ -103,10 +117,10 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
                 kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 for r in range(len(q)):
                     keep = np.flatnonzero(s[r] >= kth[r])
-                    first = keep[np.lexsort((i[r, keep], -s[r, keep]))[:k]]
+                    first = keep[np.lexsort((i[r, keep], ~s[r, keep]))[:k]]
                     best_s[q[r]], best_i[q[r]] = s[r, first], i[r, first]
             else:
-                first = np.lexsort((i, -s), axis=1)[:, :k]
+                first = np.lexsort((i, ~s), axis=1)[:, :k]
                 best_s[q], best_i[q] = np.take_along_axis(s, first, 1), np.take_along_axis(i, first, 1)
     return best_s, best_i, scored
 

@@ -1,6 +1,7 @@
 """Registered opN queries on the smallest tables against DuckDB, and operators on odd rows against brute force."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -269,12 +270,24 @@ def test_ranks_repeated_candidates_and_waves(spark):
     assert topk.waves_of(31, 2) == 3 and topk.waves_of(4, 8) == 1
 
 
-def test_components_beyond_the_bound_stop_the_run(spark):
+def test_large_components_are_exact_to_the_end_of_64_bits(spark):
     from pyspark.sql import functions as F
 
-    frame = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="2\\*\\*31"):
-        topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()
+    rng = random.Random(8)
+    end = 2**63 - 1
+    rows = [(i, [float(rng.choice([0, 1, -1, 3.5, 2.0**24, -(2.0**24), 2.0**30, -(2.0**30), 4e7, 1e30, -1e300]) if rng.random() < 0.3 else rng.uniform(-9, 9)) for _ in range(8)]) for i in range(90)]
+    rows += [(100, [2.0**24] * 8), (101, [2.0**24] * 8), (102, [4e7, 1.0]), (103, [-(2.0**24)] * 8)]
+    clip = lambda x: max(-end, min(end, x))
+    whole = {i: [clip(math.floor(64 * x)) for x in v] for i, v in rows}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, block in ((20, 16), (200, 7)):
+        out = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=k, block=block).collect()
+        got = {q: [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in whole if q % 20 == 0}
+        for q in got:
+            scores = [(clip(sum(x * y for x, y in zip(whole[q], v, strict=False))), i) for i, v in whole.items() if i != q]
+            assert got[q] == [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+    two = spark.createDataFrame([(0, [2.0**24] * 8), (1, [2.0**24] * 8), (2, [4e7, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(1, end), (2, 2**30 * (64 * 40000000 + 64))]
 
 
 def test_blocks_below_the_bound_are_skipped():
