@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,5 +75,21 @@ def running_sums(numbers: Column) -> Column:
     return F.aggregate(steps, numbers, add)
 
 
+def under_own_names(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Decorator of a function of ``docs`` that keeps the columns of its input: inside they are called in_0, in_1, ..., so no name
+    of the input meets a helper column. Arguments id_col, text_col and source_col follow."""
+
+    @functools.wraps(step)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        bound = inspect.signature(step).bind(docs, *args, **named)
+        bound.apply_defaults()
+        inner = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+        bound.arguments |= {p: inner[bound.arguments[p]] for p in ("id_col", "text_col", "source_col") if p in bound.arguments}
+        bound.arguments["docs"] = docs.toDF(*inner.values())
+        return step(*bound.args, **bound.kwargs).select(*inner.values()).toDF(*docs.columns)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import BROADCAST_ROWS, ascii_lower, checkpointed, counted
+from leafgrid.llm.common import BROADCAST_ROWS, ascii_lower, checkpointed, counted, under_own_names
 
 #: Tasks that share the texts of one hash.
 SALTS = 32
@@ -90,6 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+@under_own_names
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The input's rows without copies: one row of each group stays, all columns unchanged.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import WORD, checkpointed, counted, word_count
+from leafgrid.llm.common import WORD, checkpointed, counted, under_own_names, word_count
 
 #: Most rows a bucket holds on average. Buckets are runs of the queue's order (leading hex digits of the md5), so their number changes no result.
 BUCKET_ROWS = 1 << 17
@@ -143,6 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+@under_own_names
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The input's rows, each as often as the mix takes it; rows without words stay once.
 
@@ -151,7 +152,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share the laps of all of them, the first rows one more if the number does not divide.
     """
     taken = checkpointed(mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).where("size > 0").select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("t")
+        F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("t")
     ))
     place = lambda c: F.substring(F.coalesce(F.md5(F.col(c).cast("string")), F.lit("")), 1, 3)
     buckets = taken.groupBy("__source", place("__id").alias("__place")).agg(F.min("t").alias("__t"), F.max("t").alias("most"))

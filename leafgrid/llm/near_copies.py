@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import checkpointed, counted
+from leafgrid.llm.common import checkpointed, counted, under_own_names
 from leafgrid.llm.graph import connected_components
 from leafgrid.llm.simhash import _Sets, forest_pairs
 
@@ -285,6 +285,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return named.join(first, "root").select("node", "id", (F.col("node") == F.col("m.node")).alias("keeper"))
 
 
+@under_own_names
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input's rows and columns without near copies: one document of each group stays."""
     losers = near_copy_groups(docs, id_col, text_col, words, similarity).where("not keeper").select(F.col("node").alias("__node"))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from leafgrid.llm import mixing, quality
@@ -45,6 +46,19 @@ def test_stages_leave_columns_alone(spark):
     assert sorted((r["doc_id"] or 0) for r in exact) == [1, 3, 4]
 
 
+def test_helper_names_in_the_input_stay(spark):
+    """Columns called like the stages' own helpers come back unchanged."""
+    names = ["__sha2", "__own", "__words", "__lap", "__id", "__t", "__place", "__source", "__node", "in_0", "in_1", "kept", "bin_id", "key", "row", "y", "x"]
+    frame = rows(spark, [(1, "A clean sentence about the town.", "a"), (1, "A clean sentence about the town.", "a"), (2, None, None), (4, "words " * 30, "b"), (5, "words " * 30 + "more", "b")])
+    for k, name in enumerate(names):
+        frame = frame.withColumn(name, F.lit(k))
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, frame, "/root/testdata/sf0.001")
+        assert out.columns == frame.columns
+        assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+    assert P.packing(spark, frame, "").count() > 0
+
+
 def test_bradley_terry_weights_maximise_the_likelihood():
     """An independent gradient climb over the same pairs ends at the same weights."""
     rng = np.random.default_rng(1)
