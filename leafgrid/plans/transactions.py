@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafgrid.operators import annotations as A
 from leafgrid.operators import reviews as W
 from leafgrid.plans.registry import Registry
 from leafgrid.plans.tables import _UNITS, _VOCABULARY, units
+from leafgrid.sources import views as V
 from leafgrid.sources.shared import fresh_folder
 
 REGISTRY = Registry()
@@ -50,3 +52,74 @@ def k12_gold_update(spark, d):
     for t, name in ((a, "first_batch"), (b, "second_batch"), (c, "third_batch")):
         out = out.join(said(t, name), "unit_id", "full_outer")
     return out
+
+
+# --- annotations in versions -------------------------------------------------------------------------------------------
+
+_SAVES = """
+WITH s AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS job, event_id AS e, ts, props AS pages, event_id % 2 AS half,
+         CASE event_type WHEN 'click' THEN 'draft' WHEN 'view' THEN 'overwrite' ELSE 'submit' END AS mode FROM events),
+v AS (
+  SELECT *, CASE mode WHEN 'draft' THEN 'draft' WHEN 'overwrite' THEN 'first_annotation' ELSE 'annotation_v2_' || strftime(ts, '%Y%m%d_%H%M%S') END AS version FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY job, version ORDER BY half DESC, ts DESC, pages DESC) AS n FROM v {where}),
+a AS (SELECT job, version, pages, row_number() OVER (PARTITION BY job ORDER BY CASE WHEN version = 'draft' THEN 0 WHEN version LIKE 'annotation_v2_%' THEN 1 ELSE 2 END, version DESC) AS r FROM k WHERE n = 1),
+st AS (
+  SELECT job, arg_max(CASE mode WHEN 'draft' THEN 'second_annotating' WHEN 'overwrite' THEN 'first_annotated' ELSE 'second_annotated' END, (half, ts)) AS annotation_status
+  FROM v {where} GROUP BY job)
+SELECT a.job AS job_id, a.version AS active_version, a.pages, st.annotation_status FROM a JOIN st USING (job) WHERE r = 1"""
+
+
+def _annotations(spark, d, as_of=None):
+    mode = F.when(F.col("event_type") == "click", "draft").when(F.col("event_type") == "view", "overwrite").otherwise("submit")
+    saves = V.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("job_id"), mode.alias("mode"), F.col("props").alias("pages"), F.col("ts").alias("saved_at"), "event_id")
+    store = A.AnnotationStore(spark, fresh_folder(spark, "annotations"))
+    for half in (0, 1):
+        store.save(saves.where(F.col("event_id") % 2 == half).drop("event_id"))
+    return store.active(as_of).select("job_id", "active_version", "pages", "annotation_status")
+
+
+@REGISTRY.query("k4_s11_saved_annotations", _SAVES.format(where=""))
+def k4_s11(spark, d):
+    """Two batches of drafts, overwrites and second annotations; per job the annotation that readers see, and the job's stage."""
+    return _annotations(spark, d)
+
+
+@REGISTRY.query("k4_annotations_as_of", _SAVES.format(where="WHERE half = 0"))
+def k4_as_of(spark, d):
+    """The same store as it was after the first batch."""
+    return _annotations(spark, d, as_of=0)
+
+
+_STATUS = "CASE event_type WHEN 'signup' THEN 'converting' WHEN 'view' THEN NULL WHEN 'click' THEN 'converting' WHEN 'purchase' THEN 'success' ELSE 'failed' END"
+
+
+@REGISTRY.query("r15_t5_task_states", f"""
+WITH RECURSIVE e AS (
+  SELECT CAST(event_id // 5 AS VARCHAR) AS task_id, event_id AS seq, ts, {_STATUS} AS status, CAST(event_id % 3 AS VARCHAR) AS f, CAST(event_id AS VARCHAR) AS x FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, seq) AS k FROM e),
+w AS (
+  SELECT task_id, CAST(0 AS BIGINT) AS k, '' AS status, NULL::VARCHAR AS f0, NULL::VARCHAR AS f1, NULL::VARCHAR AS f2, NULL::TIMESTAMP AS seen, 0 AS refused FROM (SELECT DISTINCT task_id FROM o)
+  UNION ALL
+  SELECT task_id, k, CASE WHEN ok THEN coalesce(new, status) ELSE status END, CASE WHEN ok AND f = '0' THEN x ELSE f0 END, CASE WHEN ok AND f = '1' THEN x ELSE f1 END, CASE WHEN ok AND f = '2' THEN x ELSE f2 END,
+         CASE WHEN ok THEN ts ELSE seen END, refused + CASE WHEN ok THEN 0 ELSE 1 END
+  FROM (
+    SELECT w.task_id, o.k, w.status, o.status AS new, w.f0, w.f1, w.f2, w.seen, w.refused, o.ts, o.f, o.x,
+           o.status IS NULL OR (w.status = '' AND o.status IN ('converting', 'failed')) OR w.status = 'converting' AS ok
+    FROM w JOIN o ON o.task_id = w.task_id AND o.k = w.k + 1)),
+z AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY k DESC) AS last FROM w),
+c AS (SELECT *, status = 'converting' AND seen < (SELECT max(ts) FROM events) - INTERVAL 5 DAY AS cut FROM z WHERE last = 1)
+SELECT task_id, CASE WHEN cut THEN 'failed' ELSE status END AS status, coalesce(f0, '-') || '/' || coalesce(f1, '-') || '/' || coalesce(f2, '-') AS fields, CASE WHEN cut THEN 'timeout' END AS error, refused FROM c""")
+def r15_t5(spark, d):
+    """Events of tasks in two batches, out of order and partly repeated, folded into states with a timeout."""
+    e = V.table(spark, d, "events")
+    kind = F.col("event_type")
+    status = F.when(kind.isin("signup", "click"), "converting").when(kind == "purchase", "success").when(kind != "view", "failed")
+    i = F.col("event_id")
+    rows = e.select(F.floor(i / 5).cast("string").alias("task_id"), i.alias("seq"), F.col("ts").alias("at"), status.alias("status"), F.create_map((i % 3).cast("string"), i.cast("string")).alias("fields"))
+    log = A.TaskLog(spark, fresh_folder(spark, "tasks"))
+    log.append(rows.where("seq % 7 < 4"))
+    log.append(rows.where("seq % 7 >= 3"))
+    states = log.states(now=F.lit(e.agg(F.max("ts")).first()[0]), patience="5 days")
+    part = lambda k: F.coalesce(F.element_at("fields", k), F.lit("-"))
+    return states.select("task_id", "status", F.concat_ws("/", part("0"), part("1"), part("2")).alias("fields"), F.element_at("fields", "error").alias("error"), "refused")
