@@ -340,3 +340,33 @@ def saved_boxes(stored: DataFrame, saves: DataFrame) -> DataFrame:
     earlier = submits.withColumn("_last", F.lead("n").over(order).isNull()).where("not _last").select(*image, F.lit("version").alias("kind"), "boxes")
     kept = stored.where("kind = 'version'").select(*image, "kind", "boxes")
     return now.where("boxes is not null").unionByName(replaced).unionByName(earlier).unionByName(kept)
+
+
+def deleted(jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The jobs that stay, and a report (pos, wanted, job_id, error) of the ids (pos, wanted) to delete.
+
+    An id is a job id, a dataset id or a file name. An id that no job answers to, or whose job an earlier id has deleted already, has an error and
+    stops nothing; blank ids are skipped.
+    """
+    asked = ids.where(F.trim(F.coalesce("wanted", F.lit(""))) != "")
+    found = asked.join(resolved_ids(asked.select("wanted").distinct(), jobs), "wanted", "left")
+    turn = F.row_number().over(Window.partitionBy("job_id").orderBy("pos"))
+    gone = F.col("job_id").isNull() | (turn > 1)
+    report = found.select("pos", "wanted", "job_id", F.when(gone, F.concat(F.lit("FileNotFoundError: dataset not found: "), "wanted")).alias("error"))
+    return jobs.join(report.where("error is null").select("job_id"), "job_id", "left_anti"), report
+
+
+def with_replaced_blocks(pages: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Job pages (doc, page_id, blocks) with the blocks that corrections (doc, page_id, blocks: annotation blocks) hold for them, and (doc, blocks): each job's list
+    of the blocks that were replaced, in the order of pages. Pages without a correction keep their blocks and are no part of the list; corrections of pages that the job lacks
+    are ignored; of two corrections of a page the later one (column ``pos``) counts."""
+    from leafgrid.operators.blocks import job_block
+
+    newest = latest(corrections, ["doc", "page_id"], F.col("pos").desc())
+    new = newest.select("doc", "page_id", F.transform("blocks", job_block).alias("_new"))
+    both = pages.join(new, ["doc", "page_id"], "left")
+    replaced = both.select("doc", "page_id", F.coalesce("_new", "blocks").alias("blocks"), F.col("_new").isNotNull().alias("replaced"))
+    ordered = replaced.where("replaced").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_id", "blocks"))).alias("p"))
+    listed = pages.select("doc").distinct().join(ordered, "doc", "left")
+    none = F.slice(F.array(F.lit(None)), 1, 0)
+    return replaced, listed.select("doc", F.coalesce(F.flatten(F.transform("p", lambda x: x["blocks"])), none).alias("blocks"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
@@ -211,3 +211,41 @@ def report_json(o: Outcomes) -> DataFrame:
     for key, part in (("per_label", per_label(o)), ("paragraph_title_by_level", title_levels(o)), ("job_rows", per_document(o))):
         t = t.join(rows(part, key), "one", "left")
     return t.select(F.to_json(F.struct("totals", "per_label", "paragraph_title_by_level", "job_rows"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def report_lines(o: Outcomes, labels: int = 20, levels: int = 10) -> DataFrame:
+    """The printed report as rows (section, pos, line): documents, labels, levels, title levels, totals, and the most frequent label and level errors.
+
+    Every section is formatted where its table is; ``sort("section", "pos")`` puts the lines together.
+    """
+    share = lambda c, width, digits=1: F.lpad(F.format_string(f"%.{digits}f%%", F.col(c) * 100), width, " ")
+    number = lambda c, width: F.lpad(F.col(c).cast("string"), width, " ")
+    name = lambda c, width: F.when(F.length(c) >= width, F.col(c)).otherwise(F.rpad(F.col(c), width, " "))
+
+    def section(k: int, rows: DataFrame, order, *parts) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(F.lit(k)).orderBy(*order))
+        return rows.select(F.lit(k).alias("section"), place.alias("pos"), F.concat(F.lit("  "), *parts).alias("line"))
+
+    def rates(k: int, rows: DataFrame, key: str, order) -> DataFrame:
+        score = F.lpad(F.format_string("%.3f", F.col("f1")), 8, " ")
+        return section(k, rows, order, name(key, 20), number("support", 9), number("correct", 9), share("recall", 9), share("precision", 11), score)
+
+    def errors(k: int, rows: DataFrame, width: int, other: int) -> DataFrame:
+        a, b = rows.columns[:2]
+        return section(k, rows, [F.col("n").desc(), a, b], name(a, width), F.lit(" -> "), name(b, other), F.lit(" "), F.col("n").cast("string"))
+
+    docs = per_document(o).withColumn("doc", F.col("doc").cast("string"))
+    doc_line = (
+        F.rpad(F.substring("doc", 1, 24), 24, " "), *[number(c, 7) for c in ("gt", "predicted", "matched")], number("correct", 10), share("end_to_end_recall", 12), number("missing", 7), number("extra", 7)
+    )
+    # Rows of documents are as many as documents, so they are numbered by document instead of one window over all.
+    lines = docs.select(F.lit(1).alias("section"), F.lit(0).alias("pos"), F.concat(F.lit("  "), *doc_line).alias("line"))
+    lines = lines.union(rates(2, per_label(o), "label", ["label"])).union(rates(3, per_level(o), "level", [level_rank(F.col("level"))])).union(rates(4, title_levels(o), "level", [level_rank(F.col("level"))]))
+    t = totals(o)
+    counts = F.format_string("GT=%d, 预测=%d, 几何匹配=%d, 区域等价正确 GT/预测=%d/%d", "total_gt", "total_predicted", "total_matched", "total_correct", "total_pred_correct")
+    detection = F.format_string("Precision=%.2f%%, Recall=%.2f%%, F1=%.2f%%", *[F.col(c) * 100 for c in ("detection_precision", "detection_recall", "detection_f1")])
+    whole = F.format_string("Precision=%.2f%%, Recall=%.2f%%, F1=%.2f%%", *[F.col(c) * 100 for c in ("precision", "recall", "f1")])
+    said = F.array(counts, detection, F.format_string("%.2f%%", F.col("classification_accuracy") * 100), whole, F.format_string("漏检=%d, 误检=%d", "missing", "extra"))
+    lines = lines.union(t.select(F.lit(5).alias("section"), F.posexplode(said)).select("section", (F.col("pos") + 1).alias("pos"), F.concat(F.lit("  "), "col")))
+    lines = lines.union(errors(6, top_confusions(label_confusion(o), labels), 20, 20))
+    return lines.union(errors(7, top_confusions(level_confusion(o, titles_only=True), levels), 10, 16))

@@ -426,3 +426,39 @@ m0 AS (SELECT doc, page_id, gt_idx, pred_idx, 'geometry' AS kind FROM gm UNION A
 SELECT * FROM m0 WHERE (doc, gt_idx) NOT IN (SELECT doc, gt_idx FROM fl) UNION ALL SELECT doc, page_id, gt_idx, pred_idx, 'flowchart' FROM fl""")
 def j8_overlay(spark, d):
     return M.overlay(*_charts(spark, d))
+
+
+@REGISTRY.query("k14_level_errors", _level_sql("AND label = 'paragraph_title'") + "\nORDER BY n DESC, gt_level, pred_level LIMIT 10")
+def k14_level_errors(spark, d):
+    """The ten most frequent level errors of paragraph titles."""
+    return E.top_confusions(E.level_confusion(_plain(spark, d), titles_only=True), 10)
+
+
+_PERCENT = "lpad(printf('%.1f%%', {x} * 100), {w}, ' ')"
+
+
+@REGISTRY.query("k14_report_lines", _VIEWS + _OUT + """,
+cf AS (
+  SELECT gt_label, pred_label, count(*) AS n FROM (
+    SELECT label AS gt_label, CASE WHEN matched THEN pl ELSE '__missing__' END AS pred_label FROM go WHERE NOT correct
+    UNION ALL SELECT '__extra__', label FROM po WHERE NOT used AND NOT correct) GROUP BY ALL),
+lf AS (
+  SELECT gt_level, pred_level, count(*) AS n FROM (
+    SELECT level AS gt_level, CASE WHEN NOT matched THEN '__missing__' WHEN pl = label THEN pv ELSE pl END AS pred_level FROM go WHERE NOT correct_level AND label = 'paragraph_title'
+    UNION ALL SELECT '__extra__', level FROM po WHERE known AND NOT used AND NOT correct AND label = 'paragraph_title') GROUP BY ALL),
+rt AS (""" + " UNION ALL ".join(
+    f"SELECT {k} AS section, * FROM ({_rates(_BOTH.format(k=key, c=c, w=w), key).replace(key + ', count', key + ' AS name, count')})"
+    for k, key, c, w in ((2, "label", "correct", ""), (3, "level", "correct_level", ""), (4, "level", "correct_level", "WHERE label = 'paragraph_title'"))) + """),
+rl AS (
+  SELECT section, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 2 THEN 0 WHEN regexp_matches(name, '^H[0-9]+$') THEN 0 WHEN name = 'none' THEN 2 ELSE 1 END,
+           CASE WHEN section > 2 THEN coalesce(TRY_CAST(substr(name, 2) AS INTEGER), 0) ELSE 0 END, name) AS pos,
+         '  ' || rpad(name, CAST(greatest(20, length(name)) AS INTEGER), ' ') || lpad(CAST(support AS VARCHAR), 9, ' ') || lpad(CAST(correct AS VARCHAR), 9, ' ') || """
+    + _PERCENT.format(x="recall", w=9) + " || " + _PERCENT.format(x="precision", w=11) + """ || lpad(printf('%.3f', f1), 8, ' ') AS line FROM rt)
+SELECT section, CAST(pos AS INTEGER) AS pos, line FROM rl
+UNION ALL SELECT 6, CAST(row_number() OVER (ORDER BY n DESC, gt_label, pred_label) AS INTEGER), '  ' || rpad(gt_label, CAST(greatest(20, length(gt_label)) AS INTEGER), ' ') || ' -> ' || rpad(pred_label, CAST(greatest(20, length(pred_label)) AS INTEGER), ' ') || ' ' || CAST(n AS VARCHAR)
+  FROM (SELECT * FROM cf ORDER BY n DESC, gt_label, pred_label LIMIT 20)
+UNION ALL SELECT 7, CAST(row_number() OVER (ORDER BY n DESC, gt_level, pred_level) AS INTEGER), '  ' || rpad(gt_level, CAST(greatest(10, length(gt_level)) AS INTEGER), ' ') || ' -> ' || rpad(pred_level, CAST(greatest(16, length(pred_level)) AS INTEGER), ' ') || ' ' || CAST(n AS VARCHAR)
+  FROM (SELECT * FROM lf ORDER BY n DESC, gt_level, pred_level LIMIT 10)""")
+def k14_report_lines(spark, d):
+    """The report's tables of labels, levels and errors as printed lines (documents and totals are tested in pytest)."""
+    return E.report_lines(_plain(spark, d)).where("section not in (1, 5)")

@@ -67,6 +67,23 @@ def f12_chinese_ordinal(spark, d):
     return spark.createDataFrame([(t,) for t in sorted(texts)], "s string").select("s", T.chinese_ordinal(F.col("s")).alias("value"))
 
 
+_ORDINAL = """
+WITH c AS (SELECT ['零','一','二','三','四','五','六','七','八','九','十'] AS c),
+r AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS m, CAST(l_partkey % 8 + 2 AS INTEGER) AS a, CAST(l_suppkey % 9 + 1 AS INTEGER) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE m WHEN 0 THEN c[a + 1] WHEN 1 THEN '十' || c[b + 1] WHEN 2 THEN c[a + 1] || '十' WHEN 3 THEN c[a + 1] || '十' || c[b + 1] ELSE c[b + 1] || '百' END AS s,
+       CASE m WHEN 0 THEN a WHEN 1 THEN 10 + b WHEN 2 THEN 10 * a WHEN 3 THEN 10 * a + b END AS value FROM r, c"""
+
+
+@REGISTRY.query("f12_row_ordinals", _ORDINAL)
+def f12_row_ordinals(spark, d):
+    """Chinese ordinals of all rows, one and two digits, and some that are none."""
+    t, c = V.table(spark, d, "lineitem"), F.array(*map(F.lit, "零一二三四五六七八九十"))
+    a, b = F.get(c, (F.col("l_partkey") % 8 + 2).cast("int")), F.get(c, (F.col("l_suppkey") % 9 + 1).cast("int"))
+    m = F.col("l_orderkey") % 5
+    text = F.when(m == 0, a).when(m == 1, F.concat(F.lit("十"), b)).when(m == 2, F.concat(a, F.lit("十"))).when(m == 3, F.concat(a, F.lit("十"), b)).otherwise(F.concat(b, F.lit("百")))
+    return t.select("l_orderkey", "l_linenumber", text.alias("s")).withColumn("value", T.chinese_ordinal(F.col("s")))
+
+
 _SCHEMA = rf""",
 sc AS (
   SELECT *, CASE WHEN dec IS NOT NULL THEN 'decimal_' || len(dec) WHEN regexp_matches(t, '^[（(][{_CN}]+[）)]') THEN 'cn_paren' WHEN regexp_matches(t, '^[（(]\d+[）)]') THEN 'arabic_paren'

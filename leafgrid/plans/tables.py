@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafgrid.functions import jsonx as J
 from leafgrid.functions import text as T
+from leafgrid.operators import blocks as B
 from leafgrid.operators import catalog as C
 from leafgrid.operators import export as X
 from leafgrid.operators import hierarchy as H
@@ -397,6 +398,46 @@ def j11(spark, d):
     return both.select("doc", "page_id", F.coalesce("new", "own").alias("blocks"), F.col("new").isNotNull().alias("replaced"))
 
 
+@REGISTRY.query("j11_r10_job_blocks", V.with_views("gt", "pred") + f""",
+n AS (SELECT doc, page_id, list({{i: idx, k: CASE WHEN label IN {T.BLOCK_TYPES} THEN label ELSE 'text' END}} ORDER BY idx) AS b FROM pred WHERE doc % 2 = 0 GROUP BY ALL),
+o AS (SELECT doc, page_id, count(*) AS own FROM gt GROUP BY ALL)
+SELECT doc, string_agg(CAST(page_id AS VARCHAR) || ':' || CAST(coalesce(len(b), own) AS VARCHAR), ',' ORDER BY page_id) AS pages,
+       coalesce(array_to_string(list_transform(flatten(list(b ORDER BY page_id) FILTER (b IS NOT NULL)), lambda x: CAST(x.i AS VARCHAR) || x.k), ','), '') AS result
+FROM o LEFT JOIN n USING (doc, page_id) GROUP BY doc""")
+def j11_blocks(spark, d):
+    """Jobs whose pages take the blocks of a correction, and the list of all replaced blocks."""
+    from leafgrid.sources.readers import BLOCK
+
+    def pages(rows):
+        box = F.array("x1", "y1", "x2", "y2")
+        block = F.struct(F.col("idx").cast("string").alias("id"), "text", box.alias("bbox"), F.lit(None).cast("array<double>").alias("bbox_1000"), F.lit(None).cast("array<double>").alias("model_bbox"), "page_id", F.lit(None).cast("string").alias("block_type"), "label",
+                         F.lit(None).cast("string").alias("type"), F.lit("").alias("description"), F.lit("").alias("chart_description"), "level", F.lit("").alias("source"), F.lit(False).alias("modified"), F.lit(None).cast("array<string>").alias("modified_fields")).cast(BLOCK)
+        return rows.groupBy("doc", "page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+
+    own = pages(V.gt_blocks(spark, d)).withColumn("blocks", F.transform("blocks", B.job_block))
+    replaced, listed = C.with_replaced_blocks(own, pages(V.pred_blocks(spark, d).where("doc % 2 = 0")).withColumn("pos", F.lit(0)))
+    per = replaced.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.size("blocks").alias("n")))), lambda x: F.concat_ws(":", x["page_id"], x["n"])), ",").alias("pages"))
+    return per.join(listed, "doc").select("doc", "pages", F.array_join(F.transform("blocks", lambda b: F.concat(b["id"], b["block_type"])), ",").alias("result"))
+
+
+@REGISTRY.query("k11_deleted_datasets", _JOBS + """,
+w AS (
+  SELECT k AS pos, job_id AS wanted FROM jb WHERE k % 10 = 0 UNION ALL SELECT k + 1000000000, dataset_id FROM jb WHERE k % 20 = 4 UNION ALL SELECT k + 2000000000, job_id FROM jb WHERE k % 30 = 0
+  UNION ALL SELECT k + 3000000000, 'none' || CAST(k AS VARCHAR) FROM jb WHERE k % 50 = 1),
+g AS (SELECT * , row_number() OVER (PARTITION BY job ORDER BY pos) AS turn FROM (SELECT pos, wanted, coalesce(a.job_id, b.job_id) AS job FROM w LEFT JOIN jb a ON a.job_id = wanted LEFT JOIN jb b ON b.dataset_id = wanted))
+SELECT 'report' AS part, wanted AS id, CASE WHEN job IS NULL OR turn > 1 THEN 'FileNotFoundError: dataset not found: ' || wanted END AS error FROM g
+UNION ALL SELECT 'kept', job_id, NULL FROM jb WHERE job_id NOT IN (SELECT job FROM g WHERE job IS NOT NULL)""")
+def k11_deleted(spark, d):
+    """Datasets deleted by job and dataset ids; ids that are unknown or come twice have an error each and stop nothing."""
+    j = jobs(spark, d)
+    k = F.col("k")
+    ids = j.where(k % 10 == 0).select(k.alias("pos"), F.col("job_id").alias("wanted")).union(j.where(k % 20 == 4).select(k + 1000000000, "dataset_id")).union(j.where(k % 30 == 0).select(k + 2000000000, "job_id"))
+    ids = ids.union(j.where(k % 50 == 1).select(k + 3000000000, F.concat(F.lit("none"), k.cast("string"))))
+    kept, report = C.deleted(j, ids)
+    none = F.lit(None).cast("string")
+    return report.select(F.lit("report").alias("part"), F.col("wanted").alias("id"), "error").union(kept.select(F.lit("kept"), "job_id", none))
+
+
 @REGISTRY.query("f26_compact_json", V.with_views("gt") + """
 SELECT doc, idx, '{"label":"' || label || '","level":' || CASE WHEN level = 'none' THEN 'null' ELSE '"' || level || '"' END || ',"page_id":' || CAST(page_id AS VARCHAR) || '}' AS json FROM gt""")
 def f26(spark, d):
