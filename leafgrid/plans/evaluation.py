@@ -394,7 +394,30 @@ def u1_u3_outcome_flags(spark, d):
     return E.evaluate(*_views(spark, d)).gt.select("doc", "idx", "label", "level", "matched", "strict", "correct", "correct_level")
 
 
-@REGISTRY.query("k15_report_json")
+_RATE_FIELDS = "support: support, correct: correct, pred_correct: pred_correct, predicted: predicted, recall: recall, precision: precision, f1: f1"
+_REPORT = _FULL + f""",
+pl AS ({_rates(_BOTH.format(k="label", c="correct", w=""), "label")}),
+tl AS ({_rates(_BOTH.format(k="level", c="correct_level", w="WHERE label = 'paragraph_title'"), "level")}),
+gd AS (SELECT doc, count(*) AS gt, count(*) FILTER (matched) AS matched, count(*) FILTER (strict) AS strict, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT matched AND NOT correct) AS missing FROM go GROUP BY doc),
+pd AS (SELECT doc, count(*) AS predicted, count(*) FILTER (correct) AS pred_correct, count(*) FILTER (NOT used AND NOT correct) AS extra FROM po WHERE known GROUP BY doc),
+jr AS (
+  SELECT doc, coalesce(gt, 0) AS gt, coalesce(predicted, 0) AS predicted, coalesce(matched, 0) AS matched, coalesce(correct, 0) AS correct, coalesce(pred_correct, 0) AS pred_correct, coalesce(matched / nullif(CAST(gt AS DOUBLE), 0), 0) AS dr,
+         coalesce(strict / nullif(CAST(matched AS DOUBLE), 0), 0) AS ca, coalesce(correct / nullif(CAST(gt AS DOUBLE), 0), 0) AS er, coalesce(missing, 0) AS missing, coalesce(extra, 0) AS extra
+  FROM gd FULL JOIN pd USING (doc)),
+t0 AS (
+  SELECT *, total_matched / CAST(total_predicted AS DOUBLE) AS dp, total_matched / CAST(total_gt AS DOUBLE) AS dr, strict / CAST(total_matched AS DOUBLE) AS ca, total_pred_correct / CAST(total_predicted AS DOUBLE) AS pr, total_correct / CAST(total_gt AS DOUBLE) AS re
+  FROM (SELECT count(*) AS total_gt, count(*) FILTER (matched) AS total_matched, count(*) FILTER (strict) AS strict, count(*) FILTER (correct) AS total_correct, count(*) FILTER (NOT matched AND NOT correct) AS missing FROM go),
+       (SELECT count(*) AS total_predicted, count(*) FILTER (correct) AS total_pred_correct, count(*) FILTER (NOT used AND NOT correct) AS extra FROM po))
+SELECT CAST(to_json({{
+  totals: {{total_gt: total_gt, total_matched: total_matched, total_correct: total_correct, missing: missing, total_predicted: total_predicted, total_pred_correct: total_pred_correct, extra: extra, detection_precision: dp, detection_recall: dr,
+    classification_accuracy: ca, precision: pr, recall: re, detection_f1: 2.0::DOUBLE * dp * dr / (dp + dr), f1: 2.0::DOUBLE * pr * re / (pr + re)}},
+  per_label: (SELECT list({{label: label, {_RATE_FIELDS}}} ORDER BY label) FROM pl),
+  paragraph_title_by_level: (SELECT list({{level: level, {_RATE_FIELDS}}} ORDER BY level) FROM tl),
+  job_rows: (SELECT list({{doc: doc, gt: gt, predicted: predicted, matched: matched, correct: correct, pred_correct: pred_correct, detection_recall: dr, classification_accuracy: ca, end_to_end_recall: er, missing: missing, extra: extra}} ORDER BY doc) FROM jr)
+}}) AS VARCHAR) AS report FROM t0"""
+
+
+@REGISTRY.query("k15_report_json", _REPORT)
 def k15_report_json(spark, d):
     return E.report_json(E.evaluate(*_views(spark, d)))
 

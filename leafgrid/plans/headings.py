@@ -193,7 +193,51 @@ def w5_financial_chain(spark, d):
     return H.financial_chain(h).select("doc", "ord", "level", "fixed")
 
 
-@REGISTRY.query("w6_reconcile_document")
+def _reconcile_sql() -> str:
+    """The document pass as a recursion over each document's titles: the state has the records of numbered titles, the active path and the last left edges."""
+    w = H.WEIGHTS
+
+    def score(r: int) -> str:
+        above = f"CASE WHEN h{r - 1} AND p{r - 1} IS NOT NULL THEN CASE WHEN x1 >= p{r - 1} - 12 THEN {w['deeper_indent']} ELSE {w['indent_conflict']} END ELSE 0 END" if r > 1 else "0"
+        step = f"CASE WHEN k > 0 THEN {w['legal_ascend']} ELSE 0 END" if r == 1 else (
+            f"CASE WHEN deep = 0 THEN {w['missing_parent_deep_level'] if r >= 3 else 0} WHEN {r} = deep THEN {w['legal_same_level']} WHEN {r} < deep THEN {w['legal_ascend']} "
+            f"WHEN {r} = deep + 1 THEN {w['legal_descend']} WHEN {r} = deep + 2 THEN {w['skip_one_level']} ELSE {w['skip_two_levels']} END")
+        return f"""(CASE WHEN own = {r} THEN {w['model_match']} ELSE {w['model_change']} END
+          + CASE WHEN chapter THEN {w['chapter_root'] if r == 1 else -w['chapter_root']} ELSE 0 END
+          + CASE WHEN num IS NULL THEN 0 ELSE
+              CASE WHEN par IS NOT NULL THEN CASE WHEN {r} = par.r + 1 THEN {w['direct_parent_match']} + CASE WHEN par.pg <> page_id THEN {w['cross_page_parent']} ELSE 0 END ELSE {w['direct_parent_conflict']} END
+                   ELSE {w['missing_parent_deep_level'] if r >= 3 else 0} END
+              + CASE WHEN sib IS NULL THEN 0 WHEN {r} = sib.r THEN {w['sibling_match']} + CASE WHEN sib.pg <> page_id THEN {w['cross_page_sibling']} ELSE 0 END ELSE {w['sibling_conflict']} END
+              + CASE WHEN (par IS NOT NULL OR sib IS NOT NULL) AND least(greatest(parts, 2), 4) = {r} THEN {w['decimal_relative_depth']} ELSE 0 END END
+          + {step}
+          + CASE WHEN x1 IS NULL THEN 0 ELSE CASE WHEN l{r} IS NULL THEN 0 WHEN abs(x1 - l{r}) <= 36 THEN {w['same_level_indent']} ELSE {w['indent_conflict']} END + {above} END)"""
+
+    slots = ", ".join(f"CASE WHEN pick = {r} THEN true WHEN pick > {r} THEN h{r} ELSE false END AS h{r}, CASE WHEN pick = {r} THEN x1 WHEN pick > {r} THEN p{r} END AS p{r}, CASE WHEN pick = {r} AND x1 IS NOT NULL THEN x1 ELSE l{r} END AS l{r}" for r in range(1, 5))
+    start = ", ".join(f"false AS h{r}, NULL::INTEGER AS p{r}, NULL::INTEGER AS l{r}" for r in range(1, 5))
+    kept = ", ".join(f"h{r}, p{r}, l{r}" for r in range(1, 5))
+    return _HD.replace("WITH li", "WITH RECURSIVE li", 1) + _TXT + _DEC + f""",
+tt AS (
+  SELECT doc, ord, page_id, level, x1, rank AS own, regexp_matches(t, '^(第[{_CN}百\\d]+[章节]|[{_CN}]+[、.．])') AS chapter, array_to_string(dec, '.') AS num, array_to_string(dec[:-2], '.') AS up, len(dec) AS parts,
+         row_number() OVER (PARTITION BY doc ORDER BY ord) AS n FROM dc WHERE block_type = 'paragraph_title'),
+rc AS (
+  SELECT doc, CAST(0 AS BIGINT) AS k, []::STRUCT(num VARCHAR, up VARCHAR, r INTEGER, pg INTEGER)[] AS sel, {start}, NULL::INTEGER AS ord, NULL::VARCHAR AS level, NULL::INTEGER AS pick, NULL::BIGINT AS score, NULL::BIGINT AS margin
+  FROM (SELECT DISTINCT doc FROM tt)
+  UNION ALL
+  SELECT doc, n, CASE WHEN num IS NULL THEN sel ELSE list_append(sel, {{num: num, up: up, r: pick, pg: page_id}}) END, {slots}, ord, level, pick, got[pick], margin
+  FROM (
+    SELECT *, CAST(CASE WHEN own > 0 AND best <> own AND NOT (own IN (2, 3) AND best = own + 1 AND margin >= 6 AND (par IS NOT NULL OR coalesce(page_id - sib.pg <= 3, false))) THEN own ELSE best END AS INTEGER) AS pick
+    FROM (
+      SELECT *, o[1][3] AS best, o[2][1] - o[1][1] AS margin FROM (
+        SELECT *, list_sort(list_transform(range(1, 5), lambda r: [-got[r], CASE WHEN r = own THEN 0 ELSE 1 END, r])) AS o FROM (
+          SELECT *, [{", ".join(f"CAST({score(r)} AS BIGINT)" for r in range(1, 5))}] AS got FROM (
+            SELECT rc.doc, rc.k, rc.sel, {", ".join("rc." + x for x in kept.split(", "))}, tt.ord, tt.page_id, tt.level, tt.x1, tt.own, tt.chapter, tt.num, tt.up, tt.parts, tt.n,
+                   CASE WHEN rc.h4 THEN 4 WHEN rc.h3 THEN 3 WHEN rc.h2 THEN 2 WHEN rc.h1 THEN 1 ELSE 0 END AS deep,
+                   list_filter(rc.sel, lambda z: z.num = tt.up)[-1] AS par, list_filter(rc.sel, lambda z: z.up = tt.up)[-1] AS sib
+            FROM rc JOIN tt ON tt.doc = rc.doc AND tt.n = rc.k + 1))))))
+SELECT doc, ord, level AS old_level, 'H' || CAST(pick AS VARCHAR) AS new_level, score, margin FROM rc WHERE ord IS NOT NULL"""
+
+
+@REGISTRY.query("w6_reconcile_document", _reconcile_sql())
 def w6_reconcile_document(spark, d):
     return H.reconcile_document(_h(spark, d))
 
