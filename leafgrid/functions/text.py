@@ -65,10 +65,21 @@ def label_or(c: Column, other: Column | None = None, default: str = "unknown") -
 
 
 @F.pandas_udf(StringType())
-def fold_text(texts: pd.Series) -> pd.Series:
-    """NFKC, lower case, letters and digits only; null gives the empty text. Spark has no NFKC of its own."""
+def _fold_any(texts: pd.Series) -> pd.Series:
+    """Spark has no NFKC of its own."""
     fold = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "").lower() if c.isalnum())
-    return texts.map(fold, na_action=None)
+    return texts.map(fold, na_action="ignore")
+
+
+#: Texts of these characters fold without NFKC: ASCII, Han, and the punctuation (also full-width) that Chinese texts use, all of which goes.
+PLAIN = r"^[\x00-\x7F\u4E00-\u9FFF\u2014\u2018\u2019\u201C\u201D\u2026\u3001-\u3003\u3008-\u3011\uFF01-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF5E]*$"
+
+
+def fold_text(text: Column) -> Column:
+    """NFKC, lower case, letters and digits only; null gives the empty text. Plain texts fold in the JVM, and only the others reach a Python worker."""
+    plain = F.coalesce(text, F.lit("")).rlike(PLAIN)
+    native = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^0-9a-z\u4E00-\u9FFF]", "")
+    return F.coalesce(_fold_any(F.when(~plain, text)), native)
 
 
 def normalized_span(c: Column) -> Column:

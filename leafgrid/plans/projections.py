@@ -446,6 +446,17 @@ def f1(spark, d):
     return _docs(spark, d).select("doc_id", T.fold_text(F.col("text")).alias("folded"))
 
 
+@REGISTRY.query("f1_folded_blocks", V.with_views("gt", "hd") + """,
+t AS (
+  SELECT doc, idx AS k, 'block' AS kind, text || '，' || level || '（' || label || '）' AS text FROM gt UNION ALL SELECT doc, ord, 'heading', text || '：“A-1”' FROM hd)
+SELECT doc, k, kind, regexp_replace(lower(text), '[^0-9a-z一-鿿]', '', 'g') AS folded FROM t""")
+def f1_folded(spark, d):
+    """Folding of ASCII and Han texts with their punctuation, where NFKC changes nothing that stays."""
+    gt = V.gt_blocks(spark, d).select("doc", F.col("idx").cast("long").alias("k"), F.lit("block").alias("kind"), F.concat("text", F.lit("，"), "level", F.lit("（"), "label", F.lit("）")).alias("text"))
+    hd = V.headings(spark, d).select("doc", F.col("ord").cast("long"), F.lit("heading"), F.concat("text", F.lit("：“A-1”")))
+    return gt.union(hd).select("doc", "k", "kind", T.fold_text(F.col("text")).alias("folded"))
+
+
 @REGISTRY.query("a8_shared_characters", r"""
 WITH p AS (SELECT a.doc_id, regexp_replace(lower(a.text), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(b.text), '[^a-z0-9]', '', 'g') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.lang = 'en' AND b.lang = 'en')
 SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(x, '')), lambda c: c <> ''), lambda c: least(len(x) - len(replace(x, c, '')), len(y) - len(replace(y, c, ''))))), 0) AS INTEGER) AS common FROM p""")
