@@ -39,32 +39,10 @@ SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken
 FROM q LEFT JOIN took USING (rid)
 """
 
-_SHAPE = ", ".join(f"coalesce(seg[{i + 1}], '') AS s{i}" for i in range(3))
-_FAN = "".join(
-    f""",
-g{i} AS (
-  SELECT *, CASE WHEN count(DISTINCT s{i}) OVER (PARTITION BY host{"".join(f", t{k}" for k in range(i))}) > 32 THEN '*' ELSE s{i} END AS t{i}
-  FROM {"tree" if i == 0 else f"g{i - 1}"})"""
-    for i in range(3)
-)
-
-
-def _merge(i: int) -> str:
-    m = [f"m{k}" for k in range(3)]
-    rest = ", ".join(["host", *[x for x in m if x != f"m{i}"], "more"])
-    new = ", ".join(f"CASE WHEN labelled >= 2 AND m{i} <> '' AND (nn = 0 OR (bn * ns - nn * bs) * (bn * ns - nn * bs) <= 3.841459::DOUBLE * nn * bs * (ns - bs)) THEN '*' ELSE m{i} END AS m{i}" if k == i else f"m{k}" for k in range(3))
-    return f""",
-a{i} AS (SELECT *, CAST(sum(b) OVER (PARTITION BY host, {", ".join(m)}, more) AS DOUBLE) AS bn,
-                CAST(sum(n) OVER (PARTITION BY host, {", ".join(m)}, more) AS DOUBLE) AS nn FROM {"m" if i == 0 else f"c{i - 1}"}),
-b{i} AS (SELECT *, CAST(sum(b) OVER (PARTITION BY {rest}) AS DOUBLE) AS bs, CAST(sum(n) OVER (PARTITION BY {rest}) AS DOUBLE) AS ns,
-                count(DISTINCT CASE WHEN nn > 0 THEN m{i} END) OVER (PARTITION BY {rest}) AS labelled FROM a{i}),
-c{i} AS (SELECT host, t0, t1, t2, more, b, n, {new} FROM b{i})"""
-
-
 _FITS = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '/{p}')"
 
 OP8 = rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
   FROM pages),
@@ -74,19 +52,23 @@ r AS (
   FROM u),
 j AS (
   SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
-         string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS seg
+         regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g') AS shape
   FROM r),
-s AS (SELECT page_id, host, path, rule, ruled, {_SHAPE}, CASE WHEN len(seg) > 3 THEN '...' ELSE '' END AS more FROM j),
-tree AS (SELECT host, s0, s1, s2, more, count(*) FILTER (ruled = 'block') AS b, count(ruled) AS n FROM s GROUP BY ALL){_FAN},
-m AS (SELECT host, t0, t1, t2, more, sum(b) AS b, sum(n) AS n, t0 AS m0, t1 AS m1, t2 AS m2 FROM g2 GROUP BY ALL){_merge(0)}{_merge(1)}{_merge(2)},
-v AS (
-  SELECT host, t0, t1, t2, more,
-         CASE WHEN (sum(b) OVER k + 1) * 100 >= (sum(n) OVER k + 2) * 90 THEN 'block' ELSE 'allow' END AS learnt,
-         '/' || array_to_string(list_filter([m0, m1, m2, more], lambda x: x <> ''), '/') AS template
-  FROM c2 WINDOW k AS (PARTITION BY host, m0, m1, m2, more)),
-leaves AS (SELECT g2.host, s0, s1, s2, g2.more, learnt, template FROM g2 JOIN v USING (host, t0, t1, t2, more))
-SELECT page_id, host, path, rule, coalesce(ruled, learnt) AS verdict, template
-FROM s JOIN leaves USING (host, s0, s1, s2, more)
+sh AS (SELECT host, shape, string_split(shape, '/') AS seg, count(*) FILTER (ruled = 'block') AS b, count(ruled) AS n FROM j GROUP BY ALL),
+tree AS (
+  SELECT host, shape, seg, b, n, CAST(1 AS BIGINT) AS i, '' AS t, CASE WHEN hn >= 8 THEN hb ELSE 0 END AS eb, CASE WHEN hn >= 8 THEN hn ELSE 0 END AS en
+  FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY host) AS BIGINT) AS hb, CAST(sum(n) OVER (PARTITION BY host) AS BIGINT) AS hn FROM sh)
+  UNION ALL
+  SELECT host, shape, seg, b, n, i + 1, t2, CASE WHEN mn >= 8 THEN mb ELSE eb END, CASE WHEN mn >= 8 THEN mn ELSE en END
+  FROM (
+    SELECT *, CAST(sum(b) OVER (PARTITION BY host, t2) AS BIGINT) AS mb, CAST(sum(n) OVER (PARTITION BY host, t2) AS BIGINT) AS mn FROM (
+      SELECT *, t || '/' || CASE WHEN s <> '' AND CASE WHEN cn > 0 THEN labelled >= 2 AND (cb * tn - cn * tb) * (cb * tn - cn * tb) <= 3.841459::DOUBLE * cn * tb * (tn - tb) ELSE fan > 32 OR labelled >= 2 END THEN '*' ELSE s END AS t2 FROM (
+        SELECT *, count(DISTINCT s) OVER (PARTITION BY host, t) AS fan, count(DISTINCT CASE WHEN cn > 0 THEN s END) OVER (PARTITION BY host, t) AS labelled FROM (
+          SELECT *, CAST(sum(b) OVER (PARTITION BY host, t, s) AS DOUBLE) AS cb, CAST(sum(n) OVER (PARTITION BY host, t, s) AS DOUBLE) AS cn,
+                 CAST(sum(b) OVER (PARTITION BY host, t) AS DOUBLE) AS tb, CAST(sum(n) OVER (PARTITION BY host, t) AS DOUBLE) AS tn
+          FROM (SELECT *, seg[i] AS s FROM tree WHERE i <= len(seg))))))),
+leaves AS (SELECT host, shape, t AS template, CASE WHEN (eb + 1) * 100 >= (en + 2) * 90 THEN 'block' ELSE 'allow' END AS learnt FROM tree WHERE i = len(seg) + 1)
+SELECT page_id, host, path, rule, coalesce(ruled, learnt) AS verdict, template FROM j JOIN leaves USING (host, shape)
 """
 
 OP6 = """

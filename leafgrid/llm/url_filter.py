@@ -4,29 +4,26 @@ A URL's host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the
 the path follows up to ``?``, ``#`` or the end. Of the rules that fit (the rule's host or a subdomain of
 it, and the path starts with the rule's), the longest decides.
 
-URLs that no rule fits are judged by their host's template tree, whose labels are the rules' own verdicts:
-
-1. shape: digit runs in a segment become ``#``; the path is its first ``LEVELS - 1`` segments and, as one more, all that
-   follows them, so that the whole path counts;
-2. generalise: level by level, the children of a node with more than ``MAX_FAN`` different segments
-   become the wildcard ``*``; of the labelled ones only those that step 3 would merge, the others stay as they are;
-3. merge: at each level, sibling templates that differ only there become one wildcard branch if at least
-   two siblings carry labels; a labelled sibling joins if its share of blocked URLs does not differ from
-   the pooled share (one-degree chi-squared test at 5%), an unlabelled one always. A host with a single
-   labelled branch is not generalised: one branch says nothing about the others;
-4. reject a template whose smoothed purity (blocked + 1) / (labelled + 2) is at least ``PURITY``.
+URLs that no rule fits are judged by their host's template tree, whose labels are the rules' own verdicts. Digit runs of a path become
+``#``; its segments, all of them, lead from the host down the tree, level by level:
+
+1. generalise: of a node with more than ``MAX_FAN`` children, those without labels become the wildcard ``*``;
+2. merge: if two or more children of a node carry labels, those whose share of blocked URLs does not differ from the share of all (one-degree chi-squared
+   test at 5%) become one wildcard branch, which the children without labels join; the others keep branches of their own;
+3. reject: a URL takes the smoothed purity (blocked + 1) / (labelled + 2) of its template, or of the nearest node above with at least ``EVIDENCE``
+   labelled URLs; from ``PURITY`` on it is blocked. Without such a node, host included, it is allowed.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, fit no rule and are allowed;
-repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+repeated rows give repeated results; empty segments stay as they are; an empty table gives an empty result; extra columns are ignored.
 
-Only counts per (host, shape) travel through the tree. After step 2 a host has at most
-(MAX_FAN + its labelled branches) ** LEVELS templates, which bounds the windows of step 3; before it, fan-outs come from partial
-aggregates and joins.
+Only counts per (host, shape) travel through the tree. All steps are partial aggregates and equi-joins keyed by node or by child, so the children of a
+hot host are spread over tasks. A level costs a few jobs; a shape that is alone below its node is finished at once, so there are as many levels as paths that
+share a prefix have in common.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrid.llm.common import ascii_lower, checkpointed
@@ -39,7 +36,8 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-LEVELS, MAX_FAN = 4, 32
+#: Children from which on a node is variable, and labelled URLs that a node needs to speak for what is below it.
+MAX_FAN, EVIDENCE = 32, 8
 #: Smoothed share of blocked URLs, in percent, from which a template is rejected.
 PURITY = 90
 #: Critical value of the chi-squared distribution, one degree of freedom, 5%.
@@ -67,10 +65,9 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return out
 
 
-def _shape(path: Column) -> list[Column]:
-    """The first LEVELS - 1 segments with digit runs as '#', '' where missing, then all further segments as one."""
-    segments = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "#"), "/", LEVELS)
-    return [F.coalesce(F.get(segments, F.lit(i)), F.lit("")) for i in range(LEVELS)]
+def _shape(path: Column) -> Column:
+    """The path without its first slash, digit runs as '#'."""
+    return F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "#")
 
 
 def _similar(b: Column, n: Column, b_all: Column, n_all: Column) -> Column:
@@ -83,61 +80,49 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """One row per page: id, host, path, rule, verdict and the template that was applied."""
     host, path = parts(F.col(url_col))
-    names = [f"s{i}" for i in range(LEVELS)]
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    shape = _shape(F.col("path"))
-    judged = judged.select(
-        "id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"),
-        *[c.alias(n) for c, n in zip(shape, names, strict=True)],
-    )
-    tree = checkpointed(
-        judged.groupBy("host", *names).agg(
-            F.count_if(F.col("ruled") == "block").alias("b"), F.count("ruled").alias("n")
-        )
-    )
-    # Generalise: t_i is the segment of level i, or '*' below a node with many children.
-    for i, name in enumerate(names):
-        node = ["host", *[f"t{k}" for k in range(i)]]
-        children = checkpointed(tree.groupBy(*node, name).agg(F.sum("b").cast("double").alias("cb"), F.sum("n").cast("double").alias("cn")))
-        totals = children.groupBy(*node).agg(
-            F.count(F.lit(1)).alias("fan"), F.sum("cb").alias("tb"), F.sum("cn").alias("tn"), F.count_if(F.col("cn") > 0).alias("labelled")
+    judged = judged.select("id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), _shape(F.col("path")).alias("shape"))
+    counts = judged.groupBy("host", "shape").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count("ruled").alias("n"))
+    blocked = (F.col("eb") + 1) * 100 >= (F.col("en") + 2) * PURITY
+    leaves = template_tree(checkpointed(counts)).select("host", "shape", "template", F.when(blocked, "block").otherwise("allow").alias("learnt"))
+    out = judged.join(leaves, ["host", "shape"])
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "learnt").alias("verdict"), "template")
+
+
+def _evidence(b: str, n: str) -> list[Column]:
+    """(eb, en) of a node, kept from above where it has too few labels."""
+    enough = F.col(n) >= EVIDENCE
+    return [F.when(enough, F.col(b)).otherwise(F.col("eb")).alias("eb"), F.when(enough, F.col(n)).otherwise(F.col("en")).alias("en")]
+
+
+def template_tree(counts: DataFrame) -> DataFrame:
+    """(host, shape, template, eb, en) of shapes with b blocked of n labelled URLs (host, shape, b, n): the template, and the labels of the nearest node that has enough."""
+    none = F.lit(0).cast("long")
+    hosts = counts.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("n").alias("hn"))
+    alive = counts.withColumns({"eb": none, "en": none, "t": F.lit(""), "seg": F.split("shape", "/", -1)})
+    alive = checkpointed(alive.join(hosts, "host").select("host", "shape", "b", "n", "t", "seg", *_evidence("hb", "hn")))
+    done = None
+    while True:
+        node, child = ["host", "t"], ["host", "t", "s"]
+        alive = alive.withColumn("s", F.get("seg", F.lit(0)))
+        children = checkpointed(alive.groupBy(*child).agg(F.sum("b").alias("cb"), F.sum("n").alias("cn"), F.count(F.lit(1)).alias("shapes")))
+        nodes = children.groupBy(*node).agg(
+            F.count(F.lit(1)).alias("fan"), F.count_if(F.col("cn") > 0).alias("labelled"), F.sum("cb").alias("tb"), F.sum("cn").alias("tn"), F.sum("shapes").alias("below")
         )
-        # Only nodes with many children and their labelled children have an own verdict; all other children of such nodes are unlabelled.
-        wide = checkpointed(totals.where(F.col("fan") > MAX_FAN))
-        own = children.where("cn > 0").join(wide, node).where(~((F.col("labelled") >= 2) & _similar(F.col("cb"), F.col("cn"), F.col("tb"), F.col("tn"))))
-        tree = tree.join(wide.select(*node, F.lit(True).alias("wide")), node, "left").join(own.select(*node, name, F.lit(True).alias("own")), [*node, name], "left")
-        tree = checkpointed(tree.withColumn(f"t{i}", F.when(F.col("wide") & F.col("own").isNull(), F.lit("*")).otherwise(F.col(name))).drop("wide", "own"))
-    keys = [f"t{i}" for i in range(LEVELS)]
-    merged = tree.groupBy("host", *keys).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-    merged = merged.select("*", *[F.col(k).alias(f"m{i}") for i, k in enumerate(keys)])
-    for i in range(LEVELS):
-        final = [f"m{k}" for k in range(LEVELS)]
-        rest = ["host", *[m for m in final if m != f"m{i}"]]
-        branch, siblings = Window.partitionBy("host", *final), Window.partitionBy(*rest)
-        merged = merged.withColumns({"bn": F.sum("b").over(branch).cast("double"), "nn": F.sum("n").over(branch).cast("double")})
-        merged = merged.withColumns({
-            "bs": F.sum("b").over(siblings).cast("double"),
-            "ns": F.sum("n").over(siblings).cast("double"),
-            "labelled": F.size(F.collect_set(F.when(F.col("nn") > 0, F.col(f"m{i}"))).over(siblings)),
-        })
-        similar = _similar(F.col("bn"), F.col("nn"), F.col("bs"), F.col("ns"))
-        merge = (F.col("labelled") >= 2) & ((F.col("nn") == 0) | similar) & (F.col(f"m{i}") != "")
-        merged = merged.withColumn(f"m{i}", F.when(merge, F.lit("*")).otherwise(F.col(f"m{i}"))).drop("bn", "nn", "bs", "ns", "labelled")
-    final = Window.partitionBy("host", *[f"m{i}" for i in range(LEVELS)])
-    blocked, labelled = F.sum("b").over(final), F.sum("n").over(final)
-    parts_of = F.filter(F.array(*[F.col(f"m{i}") for i in range(LEVELS)]), lambda x: x != "")
-    verdicts = merged.select(
-        F.col("host").alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
-        F.when((blocked + 1) * 100 >= (labelled + 2) * PURITY, F.lit("block")).otherwise(F.lit("allow")).alias("learnt"),
-        F.concat(F.lit("/"), F.array_join(parts_of, "/")).alias("template"),
-    )
-    at_node = tree["host"] == verdicts["h"]
-    for i in range(LEVELS):
-        at_node = at_node & (tree[f"t{i}"] == verdicts[f"k{i}"])
-    leaves = checkpointed(tree.join(verdicts, at_node).select("host", *names, "learnt", "template"))
-    out = judged.join(leaves, ["host", *names])
-    return out.select(
-        F.col("id").alias(id_col), "host", "path", "rule",
-        F.coalesce("ruled", "learnt").alias("verdict"), "template",
-    )
+        double = lambda *names: [F.col(c).cast("double") for c in names]
+        similar = (F.col("labelled") >= 2) & _similar(*double("cb", "cn", "tb", "tn"))
+        wild = (F.col("s") != "") & F.when(F.col("cn") > 0, similar).otherwise((F.col("fan") > MAX_FAN) | (F.col("labelled") >= 2))
+        named = children.join(nodes, node).withColumn("t2", F.concat("t", F.lit("/"), F.when(wild, "*").otherwise(F.col("s"))))
+        named = checkpointed(named.select(*child, "t2", "cb", "cn", (F.col("below") == 1).alias("alone")))
+        merged = named.groupBy("host", "t2").agg(F.sum("cb").alias("mb"), F.sum("cn").alias("mn"))
+        moved = alive.join(named.select(*child, "t2", "alone").join(merged, ["host", "t2"]), child)
+        rest = F.slice("seg", F.lit(2), F.greatest(F.size("seg") - 1, F.lit(0)))
+        # A shape that is alone below its node keeps its segments; all of its nodes have its own labels.
+        whole = F.when(F.col("alone"), F.concat_ws("/", "t", F.array_join("seg", "/"))).otherwise(F.col("t2"))
+        moved = checkpointed(moved.select("host", "shape", "b", "n", whole.alias("t"), F.when(F.col("alone"), F.slice("seg", 1, 0)).otherwise(rest).alias("seg"), *_evidence("mb", "mn")))
+        over = moved.where(F.size("seg") == 0).select("host", "shape", F.col("t").alias("template"), "eb", "en")
+        done = over if done is None else done.unionByName(over)
+        alive = moved.where(F.size("seg") > 0)
+        if alive.isEmpty():
+            return done

@@ -434,7 +434,10 @@ def test_url_templates_generalise_from_two_branches(spark):
     urls = [f"http://bad.com/{s}/{i}" for s in "abc" for i in range(30)] + [f"http://one.com/{s}/{i}" for s in "ac" for i in range(30)]
     out = judged(spark, urls, rules=rules)
     assert out[75]["rule"] is None and out[75]["verdict"] == "block" and out[75]["template"] == "/*/#"
-    assert out[140]["rule"] is None and out[140]["verdict"] == "allow"
+    # One labelled branch: the rest of the host takes the purity of the nearest node with enough labels, the host.
+    assert out[140]["rule"] is None and out[140]["verdict"] == "block" and out[140]["template"] == "/c/#"
+    few = judged(spark, [f"http://one.com/{s}/{i}" for s in "ac" for i in range(7)], rules=rules)
+    assert few[10]["rule"] is None and few[10]["verdict"] == "allow"  # seven labels are too few to speak for others
 
 
 def test_url_templates_use_the_whole_path(spark):
@@ -442,18 +445,82 @@ def test_url_templates_use_the_whole_path(spark):
     rules = (("block", "h.com/a/b/c/d/bad/x/"), ("block", "h.com/a/b/c/d/bad/y/"), ("allow", "h.com/a/b/c/d/good/"))
     urls = [f"http://h.com/a/b/c/d/{s}/{i}" for s in ("bad/x", "bad/y", "good/z") for i in range(30)] + ["http://h.com/a/b/c/d/other/1"]
     out = judged(spark, urls, rules=rules)
-    assert out[0]["template"] == "/a/b/c/d/bad/x/#" and out[60]["template"] == "/a/b/c/d/good/z/#"
+    assert out[0]["template"] == "/a/b/c/d/bad/*/#" and out[60]["template"] == "/a/b/c/d/good/z/#"
     assert out[90]["rule"] is None and out[90]["template"] not in (out[0]["template"], out[60]["template"])
 
 
-def test_one_labelled_branch_does_not_speak_for_a_wide_host(spark):
+def test_wide_nodes_keep_labelled_branches_that_differ(spark):
     rules = (("block", "w.com/a/"), ("block", "v.com/a/"), ("block", "v.com/b/"), ("allow", "v.com/c/"))
     letters = [x + y for x in string.ascii_lowercase[3:9] for y in string.ascii_lowercase[:7]]
     urls = [f"http://{h}.com/{s}/{i}" for h in "wv" for s in [*"abc", *letters] for i in range(12)]
     out = judged(spark, urls, rules=rules)
     by = {u: out[i] for i, u in enumerate(urls)}
-    assert by["http://w.com/dc/3"]["verdict"] == "allow" and by["http://w.com/a/3"]["template"] == "/a/#" and by["http://w.com/dc/3"]["template"] == "/*/#"
-    assert by["http://v.com/c/3"]["template"] == "/c/#" and by["http://v.com/dc/3"]["template"] == "/*/#"
+    assert by["http://w.com/dc/3"]["verdict"] == "block" and by["http://w.com/a/3"]["template"] == "/a/#" and by["http://w.com/dc/3"]["template"] == "/*/#"
+    assert by["http://v.com/c/3"]["template"] == "/c/#" and by["http://v.com/dc/3"]["template"] == "/*/#" and by["http://v.com/dc/3"]["verdict"] == "allow"
+
+
+def plain_tree(urls, rules):
+    """Template and verdict of each URL by a recursion over plain dictionaries."""
+    hosts, ruled = defaultdict(Counter), defaultdict(lambda: [0, 0])
+    for host, path in urls:
+        fits = [(len(r), v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        shape = re.sub("[0-9]+", "#", re.sub("^/", "", path))
+        hosts[host][shape] += 1
+        if fits:
+            ruled[host, shape][0] += max(fits)[1] == "block"
+            ruled[host, shape][1] += 1
+    out = {}
+
+    def walk(host, shapes, t, evidence):
+        alive = {s: seg for s, seg in shapes.items() if seg}
+        for s in shapes.keys() - alive.keys():
+            b, n = evidence
+            out[host, s] = (t, "block" if (b + 1) * 100 >= (n + 2) * 90 else "allow")
+        children = defaultdict(lambda: [0, 0])
+        for s, seg in alive.items():
+            children[seg[0]] = [x + y for x, y in zip(children[seg[0]], ruled[host, s], strict=True)]
+        labelled = [c for c in children if children[c][1]]
+        tb, tn = (sum(children[c][k] for c in children) for k in (0, 1))
+        below = defaultdict(dict)
+        for s, seg in alive.items():
+            b, n = children[seg[0]]
+            if n:
+                wild = len(labelled) >= 2 and (b * tn - n * tb) ** 2 <= 3.841459 * n * tb * (tn - tb)
+            else:
+                wild = len(children) > 32 or len(labelled) >= 2
+            below["*" if wild and seg[0] else seg[0]][s] = seg[1:]
+        for name, group in below.items():
+            b, n = (sum(ruled[host, s][k] for s in group) for k in (0, 1))
+            walk(host, group, f"{t}/{name}", (b, n) if n >= 8 else evidence)
+
+    for host, shapes in hosts.items():
+        b, n = (sum(ruled[host, s][k] for s in shapes) for k in (0, 1))
+        walk(host, {s: s.split("/") for s in shapes}, "", (b, n) if n >= 8 else (0, 0))
+    return out
+
+
+def test_url_trees_equal_a_recursion(spark):
+    rng = random.Random(11)
+    rules = (("block", "a.com/x/"), ("allow", "a.com/x/y/"), ("block", "a.com/u/"), ("allow", "b.a.com/v/"), ("block", "c.com/"), ("allow", "c.com/w/w/w/w/w/w"), ("block", "d.com/p/q/r/s/t/u"))
+    urls = []
+    for _ in range(2500):
+        host = rng.choice(["a.com", "b.a.com", "c.com", "d.com", "e.com"])
+        depth = rng.randint(0, 7)
+        urls.append((host, "".join("/" + rng.choice(["x", "y", "u", "v", "w", "", "p", f"n{rng.randrange(60)}x", str(rng.randrange(9)), "*"]) for _ in range(depth))))
+    urls += [("d.com", f"/p/q/r/s/t/{c}{k}") for c in "uvw" for k in range(20)] + [("a.com", f"/k{chr(97 + k % 26)}{chr(97 + k // 26)}/z") for k in range(40)]
+    want = plain_tree(urls, rules)
+    out = judged(spark, [f"http://{h}{p}" for h, p in urls], rules=rules)
+    for i, (host, path) in enumerate(urls):
+        template, verdict = want[host, re.sub("[0-9]+", "#", re.sub("^/", "", path))]
+        assert out[i]["template"] == template and (out[i]["rule"] or out[i]["verdict"] == verdict)
+    assert {out[i]["verdict"] for i in out if out[i]["rule"] is None} == {"allow", "block"}
+
+
+def test_long_and_repeated_urls(spark):
+    urls = ["http://h.com/" + "a/" * 3000, "http://h.com/" + "b" * 100000, "http://h.com/a/b", "http://h.com/a/b", "http://h.com//", "http://h.com"]
+    out = judged(spark, urls)
+    assert len(out) == 6 and {r["verdict"] for r in out.values()} == {"allow"}
+    assert out[2]["template"] == out[3]["template"] == "/a/b" and out[0]["template"] == "/" + "a/" * 3000 and out[4]["template"] == "//"
 
 
 def test_rules_are_sorted_by_length():
