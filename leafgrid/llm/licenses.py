@@ -218,7 +218,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.when(F.exists(hashes, lambda h: h.isin(known)), windows).otherwise(F.array().cast(_HITS))
 
     found = _with(words_of(F.col(text_col)), lambda ws: F.struct(
-        ws.alias("words"), _with(shingle_hashes(ws), lambda h: F.array_distinct(F.concat(hits(h, SHORT), hits(h, LONG)))).alias("hits")))
+        ws.alias("words"), _with(shingle_hashes(ws), lambda h: F.concat(hits(h, SHORT), hits(h, LONG))).alias("hits")))
     kept = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), found.alias("f")).where(F.size("f.hits") > 0)
     # Row numbers are fixed by the checkpoint; it holds the texts with a hit only.
     kept = checkpointed(kept.select("id", "row", "f.words", "f.hits"))
@@ -226,13 +226,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The index has some ten thousand rows: templates times places times bands.
     places = each.join(F.broadcast(index), ["scale", "band", "value"]).select("row", "notice", (F.col("at") - F.col("place")).alias("start")).distinct()
     about = index.select("notice", "license", "size", "shingles").distinct()
-    matched = kept.select("id", "row", "words").join(places, "row").join(F.broadcast(about), "notice")
-    slack = F.lit(SLACK) + F.floor(F.col("size") / 5).cast("int")
+    # The region of each place is cut where the row's words are, so a row's words are never copied once per place.
+    slack = lambda size: F.lit(SLACK) + F.floor(size / 5).cast("int")
+    places = places.join(F.broadcast(about.select("notice", "size")), "notice").groupBy("row").agg(F.collect_list(F.struct("notice", "start", "size")).alias("places"))
 
-    def measured(before: Column, after: Column) -> Column:
-        """Containment in the words from ``before`` the start to ``after`` the end, and the span of the shingles found."""
-        low, high = F.greatest(F.col("start") - before, F.lit(0)), F.col("start") + F.col("size") + after
-        region = F.when(high > low, F.slice("words", low + 1, F.greatest(high - low, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    def cut(p: Column) -> Column:
+        base = F.greatest(p["start"] - slack(p["size"]), F.lit(0))
+        upto = p["start"] + p["size"] + slack(p["size"])
+        return F.struct(p["notice"].alias("notice"), p["start"].alias("start"), base.alias("base"), F.slice("words", base + 1, F.greatest(upto - base, F.lit(0))).alias("region"))
+
+    regions = kept.select("id", "row", "words").join(places, "row").select("id", "row", F.explode(F.transform("places", cut)).alias("p")).select("id", "row", "p.*")
+    matched = regions.join(F.broadcast(about), "notice")
+
+    def measured(around: Column) -> Column:
+        """Containment in the words from ``around`` words before the start to as many after the end, and the span of the shingles found."""
+        low, high = F.greatest(F.col("start") - around, F.lit(0)), F.col("start") + F.col("size") + around
+        region = F.when(high > low, F.slice("region", low - F.col("base") + 1, F.greatest(high - low, F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
         def spans(own: Column) -> Column:
             first = lambda a: F.array_position(a, F.lit(True)).cast("int")
@@ -245,8 +254,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return _with(_shingles(region), spans)
 
     # The template's own length first: with slack, a neighbouring occurrence would lengthen the span.
-    tested = matched.withColumn("m", measured(F.lit(0), F.lit(0)))
-    tested = tested.withColumn("m", F.when(F.col("m.containment") >= containment, F.col("m")).otherwise(measured(slack, slack)))
+    tested = matched.withColumn("m", measured(F.lit(0)))
+    tested = tested.withColumn("m", F.when(F.col("m.containment") >= containment, F.col("m")).otherwise(measured(slack(F.col("size")))))
     tested = tested.select("id", "row", "notice", "license", "size", "start", "m.*").where(F.col("containment") >= containment)
     by_start = Window.partitionBy("row", "notice").orderBy("start")
     new = (F.col("start") - F.lag("start").over(by_start) > F.floor(F.col("size") / 2)).cast("int")

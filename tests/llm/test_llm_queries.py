@@ -340,29 +340,48 @@ def test_mix_on_odd_rows(spark):
 # --- licenses ----------------------------------------------------------------------------------------------------------
 
 
-def brute_licenses(text):
+def brute_licenses(text, templates):
+    """Templates of which some stretch of the text, as long as the template or longer by its slack, holds 80% of the shingles."""
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-    out = set()
-    for k, (_, line) in enumerate(licenses.TEMPLATES):
+    own = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    have, out = set(own), set()
+    for k, (_, line) in enumerate(templates):
         w = re.findall(r"[^\W_]+", line.lower())
         s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        if any(len({tuple(words[i : i + 5]) for i in range(max(0, at), min(len(words) - 4, at + len(w) + 4))} & s) / len(s) >= 0.8 for at in range(-4, len(words))) and len(own & s):
+        if not s or len(have & s) < 0.8 * len(s):
+            continue
+        slack = licenses.SLACK + len(w) // 5
+        at = [i for i, x in enumerate(own) if x in s]
+        starts = {i + d for i in at for d in (0, -slack, -len(w), -len(w) - slack)}
+        if any(len({own[i] for i in at if a <= i <= a + len(w) + 2 * slack - 5} & s) >= 0.8 * len(s) for a in starts):
             out.add(k)
     return out
 
 
-def test_licenses_equal_brute_force(spark):
+@pytest.mark.parametrize("templates", [licenses.TEMPLATES, licenses.ALL_TEMPLATES])
+def test_licenses_equal_brute_force(spark, templates):
     d = "/root/testdata/sf0.01"
     rows = [(r["doc_id"], r["text"], "s") for r in read(spark, d, "documents").select("doc_id", "text").collect()]
-    full = " ".join(t for _, t in licenses.TEMPLATES)
+    full = " ".join(t for _, t in templates)
     rows += [(10**6, None, "s"), (10**6 + 1, "", "s"), (10**6 + 2, "MIT License", "s"), (10**6 + 3, "x " * 50000 + full, "s"), (10**6 + 4, "a b c " + licenses.TEMPLATES[6][1].replace("modify", "alter") + " z", "s")]
+    rows += [rows[-1], rows[-1]]  # repeated rows
     got = defaultdict(set)
-    for r in licenses.scan_licenses(docs(spark, rows)).collect():
-        got[r["doc_id"]].add(r["notice"])
+    phrases = 0
+    for r in licenses.scan_licenses(docs(spark, rows), templates=templates).collect():
+        phrases += r["notice"] >= len(templates)
+        if r["notice"] < len(templates):
+            got[r["doc_id"]].add(r["notice"])
         assert r["containment"] >= 0.8 and r["start_word"] < r["end_word"]
-    assert dict(got) == {i: s for i, t, _ in rows if (s := brute_licenses(t))}
-    assert licenses.scan_licenses(docs(spark, [])).collect() == []
+    assert dict(got) == {i: s for i, t, _ in rows if (s := brute_licenses(t, templates))}
+    assert licenses.scan_licenses(docs(spark, []), templates=templates).collect() == []
+
+
+def test_many_notices_in_one_long_text(spark):
+    notice = licenses.TEMPLATES[6][1]
+    rng = random.Random(4)
+    text = " ".join(f"{' '.join(rng.choice('abcdefgh') * 3 for _ in range(40))} {notice}" for _ in range(600))
+    out = licenses.scan_licenses(docs(spark, [(1, text, "s")])).where("notice = 6").collect()
+    assert len(out) == 600 and all(r["containment"] == 1.0 for r in out)
 
 
 NOTICES = {
