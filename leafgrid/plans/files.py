@@ -14,6 +14,8 @@ from leafgrid.sources.job_store import JobStore, copy_images, listing, page_imag
 from leafgrid.streaming.incremental import shared_folder
 
 REGISTRY = Registry()
+#: Pages in a part of a long document.
+PART = 1000
 
 
 def _one_file_each(rows, folder: str, *dirs: str) -> None:
@@ -95,10 +97,13 @@ def s4(spark, d):
     box = F.when(F.col("bn") % 7 == 6, F.array("x1", "y1", "x1", "y2")).when(F.col("bn") % 2 == 1, F.array("x2", "y2", "x1", "y1")).otherwise(F.array("x1", "y1", "x2", "y2"))
     block = F.struct("bn", F.when(F.col("bn") % 3 == 0, F.concat(F.lit("b"), F.col("bn").cast("string"))).alias("id"), F.when(F.col("bn") % 4 != 1, F.col("label")).alias("label"), F.col("label").alias("block_type"), F.nullif("level", F.lit("none")).alias("level"), box.alias("bbox"), "text")
     pages = g.groupBy("file", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    files = pages.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("page_id"), "blocks"))).alias("pages"))
+    # A document is as long as the corpus, so its result lies in parts of some pages; a part is what one row has to hold.
+    files = pages.groupBy("file", F.floor(F.col("page") / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("page_id"), "blocks"))).alias("pages"))
     folder = shared_folder(spark)
-    _one_file_each(files.select("file", F.to_json(F.struct(F.concat(F.lit("f"), F.col("file").cast("string"), F.lit(".pdf")).alias("file_name"), "pages")).alias("value")), folder, "file")
-    return R.blocks_of(R.keyed(R.read_jobs(spark, f"{folder}/*/*.txt")))
+    rows = files.select("file", "part", F.to_json(F.struct(F.concat(F.lit("f"), F.col("file").cast("string"), F.lit(".pdf")).alias("file_name"), "pages")).alias("value"))
+    rows.write.partitionBy("file", "part").text(folder)
+    jobs = R.keyed(R.read_jobs(spark, f"{folder}/*/*/*.txt")).withColumn("part", F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("int"))
+    return R.blocks_of(jobs)
 
 
 @REGISTRY.query("s13_gold_lines", _UNITS + "\nSELECT i AS unit_id, lang AS document_id, '第' || CAST(i AS VARCHAR) || '条' AS unit_number, kind FROM un")

@@ -58,18 +58,27 @@ def check_unique(files: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def blocks_of(files: DataFrame) -> DataFrame:
-    """Blocks of keyed files: doc, page_id, idx, id, label, level, x1, y1, x2, y2, text; rows without a proper box are dropped."""
-    pages = files.select("doc", F.posexplode("pages").alias("pn", "page")).where("page is not null")
-    rows = pages.select("doc", "pn", F.coalesce("page.page_id", F.lit(0)).alias("page_id"), F.posexplode("page.blocks").alias("bn", "b")).where("b is not null and size(b.bbox) = 4")
+    """Blocks of keyed files: doc, page_id, idx, id, label, level, x1, y1, x2, y2, text; rows without a proper box are dropped.
+
+    A long document may lie in several files, numbered by a column ``part``; idx goes on from part to part, and no task holds more than a part's blocks.
+    """
+    part = F.col("part") if "part" in files.columns else F.lit(0).alias("part")
+    pages = files.select("doc", part, F.posexplode("pages").alias("pn", "page")).where("page is not null")
+    rows = pages.select("doc", "part", "pn", F.coalesce("page.page_id", F.lit(0)).alias("page_id"), F.posexplode("page.blocks").alias("bn", "b")).where("b is not null and size(b.bbox) = 4")
     box = [F.get(F.col("b.bbox"), F.lit(i)) for i in range(4)]
     rows = rows.select(
-        "doc", "pn", "bn", "page_id", F.coalesce(T.filled(F.col("b.id")), F.format_string("p%03d_b%03d", F.col("page_id"), F.col("bn"))).alias("id"),
+        "doc", "part", "pn", "bn", "page_id", F.coalesce(T.filled(F.col("b.id")), F.format_string("p%03d_b%03d", F.col("page_id"), F.col("bn"))).alias("id"),
         T.label_or(F.col("b.label"), F.col("b.block_type")).alias("label"), F.coalesce(T.filled(F.col("b.level")), F.lit("none")).alias("level"),
         F.least(box[0], box[2]).alias("x1"), F.least(box[1], box[3]).alias("y1"), F.greatest(box[0], box[2]).alias("x2"), F.greatest(box[1], box[3]).alias("y2"), F.coalesce("b.text", F.lit("")).alias("text"),
     ).where("x1 < x2 and y1 < y2")
     from pyspark.sql import Window
 
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("pn", "bn")) - 1).drop("pn", "bn")
+    place = F.row_number().over(Window.partitionBy("doc", "part").orderBy("pn", "bn")) - 1
+    if "part" not in files.columns:
+        return rows.withColumn("idx", place).drop("part", "pn", "bn")
+    before = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("doc", "part").agg(F.count(F.lit(1)).alias("_n")).select("doc", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.withColumn("idx", place).join(sizes, ["doc", "part"]).withColumn("idx", (F.col("idx") + F.col("_before")).cast("int")).drop("part", "pn", "bn", "_before")
 
 
 def failed_pages(files: DataFrame) -> DataFrame:
