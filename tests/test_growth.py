@@ -33,3 +33,14 @@ def test_a_long_document_lies_in_parts(spark, monkeypatch):
     folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
     assert len(folders) > 1 and all(f.startswith("part=") for f in folders)
     assert _rows(got) == _wanted("s4_evaluator_scan", got, lineitem=f"{SMALL}/lineitem.parquet")
+
+
+def test_document_pass_needs_no_group_per_document(spark):
+    frame = catalog.REGISTRY.queries["w6_reconcile_document"](spark, SMALL)
+    whole = _rows(frame)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert _rows(catalog.REGISTRY.queries["w6_reconcile_document"](spark, SMALL)) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().toString()
