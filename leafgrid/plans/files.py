@@ -20,7 +20,12 @@ PART = 1000
 
 def _one_file_each(rows, folder: str, *dirs: str) -> None:
     """A text file per value of the directory columns, from the column ``value``."""
-    rows.repartition(8, *dirs).write.partitionBy(*dirs).text(folder)
+    rows.repartition(_writers(rows), *dirs).write.mode("append").partitionBy(*dirs).text(folder)
+
+
+def _writers(rows) -> int:
+    """Tasks that write small files: two a core of the cluster."""
+    return max(8, 2 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 @REGISTRY.query("s1_p1_scanned_jobs", """
@@ -46,7 +51,7 @@ def _job_store(spark, d):
     rows = V.table(spark, d, "supplier").select(k.alias("job"), (k % 3).alias("user"), F.to_json(job).alias("value"))
     root = f"{shared_folder(spark)}/store"
     _one_file_each(rows.where("job % 2 = 0").drop("user"), root, "job")
-    rows.where("job % 2 = 1").repartition(8, "user", "job").write.mode("append").partitionBy("user", "job").text(root)
+    _one_file_each(rows.where("job % 2 = 1"), root, "user", "job")
     return JobStore(spark, root, f"{root}/user=0", file="part-*.txt", folder="job={}")
 
 

@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ class JobStore:
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
         return sorted(s.getPath().toString() for s in found or [])
 
+    def _any(self, pattern: str) -> bool:
+        """Whether a file fits: one of the first folders tells most often, else a count of all. No list of files comes to Python."""
+        folder, file = posixpath.split(pattern)
+        path = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in islice(fs.globStatus(path(folder)) or [], 20):
+            if self._glob(f"{_escaped(s.getPath().toString())}/{file}"):
+                return True
+        return len(fs.globStatus(path(pattern)) or []) > 0
+
     def patterns(self) -> list[str]:
         """Globs that name every result file once: those of a root's own folders are left out where another root's second depth has them."""
         inner = [r for r in self.roots if posixpath.dirname(r) in self.roots]
@@ -56,7 +67,7 @@ class JobStore:
 
     def scan(self) -> DataFrame:
         """All jobs, one row per result file, with its path and the job's folder name."""
-        return self._read([p for p in self.patterns() if self._glob(p)])
+        return self._read([p for p in self.patterns() if self._any(p)])
 
     def find(self, jobs: list[str]) -> DataFrame:
         """The jobs of the ids, each from the first place that has it: root by root, the flat folder before the deeper ones. Reads their files only."""

@@ -106,3 +106,18 @@ def test_failed_copies_leave_no_half_file(spark, tmp_path):
         J.write_files(spark.createDataFrame([("../x", b"1")], "name string, content binary"), f"{tmp_path}/out")
     J.write_files(rows.where("id < 5"), f"{tmp_path}/out")
     assert sorted(n for n in os.listdir(tmp_path / "out/d") if not n.startswith(".")) == [f"f{i}" for i in range(5)]
+
+
+def test_a_scan_lists_no_store_in_python(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / f"j{i}").mkdir()
+        (tmp_path / f"j{i}" / "result.json").write_text("{}")
+    asked, glob = [], J.JobStore._glob
+
+    def noted(self, pattern):
+        asked.append(pattern)
+        return glob(self, pattern)
+
+    monkeypatch.setattr(J.JobStore, "_glob", noted)
+    assert J.JobStore(spark, str(tmp_path)).scan().count() == 5
+    assert all("*" not in p for p in asked)
