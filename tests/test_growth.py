@@ -44,3 +44,21 @@ def test_document_pass_needs_no_group_per_document(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in frame._jdf.queryExecution().toString()
+
+
+def test_outlines_need_one_shuffle_and_sort_no_lists_by_title(spark):
+    """Every page's text comes from one shuffle of the headings: no second scan for the pages, no join of lists."""
+    frame = catalog.REGISTRY.queries["w3_page_outlines"](spark, SMALL)
+    plan = frame._jdf.queryExecution().sparkPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert _rows(frame) == _wanted("w3_page_outlines", frame, lineitem=f"{SMALL}/lineitem.parquet")
+
+
+def test_outlines_keep_rows_without_page_or_titles(spark):
+    rows = [(1, None, 1, "paragraph_title", "H1", "a"), (1, 0, 2, "text", None, "b"), (1, 1, 3, "paragraph_title", "H2", "c"), (1, 2, 4, "text", "H1", "d"), (None, 0, 1, "paragraph_title", "H1", "e"), (None, 1, 2, "text", None, "f")]
+    from leafgrid.operators import hierarchy
+
+    got = hierarchy.page_outlines(spark.createDataFrame(rows, "doc long, page_id int, ord int, block_type string, level string, text string"), following=12)
+    seen = {(r["doc"], r["page_id"]): r["outline"] for r in got.collect()}
+    assert sorted(seen, key=str) == sorted({(r[0], r[1]) for r in rows}, key=str)
+    assert "H2 c" in seen[1, 2] and "H1 a" not in seen[1, 1] and "page 2: H2 c" in seen[1, 0] and "H1 e" not in seen[None, 1]
