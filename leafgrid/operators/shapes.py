@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgrid.functions.geometry import let
+
 
 def depth_of(raw: Column) -> Column:
     """Greatest nesting of objects and arrays in a JSON text; strings are skipped."""
@@ -52,24 +54,28 @@ def exact_shape(v: Column, template: object, path: Column) -> Column:
     """
     issue = lambda code, p: F.struct(F.lit(code).alias("code"), p.alias("path"))
     none = F.array().cast("array<struct<code:string,path:string>>")
-    kind = _kind(v)
+    wrong = F.array(issue("schema_type", path))
     if isinstance(template, dict):
-        have = F.json_object_keys(F.to_json(v))
         want = F.array(*map(F.lit, sorted(template))) if template else F.array().cast("array<string>")
         named = lambda code, keys: F.transform(F.array_sort(keys), lambda k: issue(code, F.concat(path, F.lit("."), k)))
-        parts = [named("schema_missing", F.array_except(want, have)), named("schema_extra", F.array_except(have, want))]
-        for key in sorted(template):
-            child = exact_shape(F.try_variant_get(v, f'$["{key}"]', "variant"), template[key], F.concat(path, F.lit("." + key)))
-            parts.append(F.when(F.array_contains(have, key), child).otherwise(none))
-        return F.when(kind == "OBJECT", F.concat(*parts)).otherwise(F.array(issue("schema_type", path)))
+
+        def members(m: Column) -> Column:
+            have = F.map_keys(m)
+            parts = [named("schema_missing", F.array_except(want, have)), named("schema_extra", F.array_except(have, want))]
+            for key in sorted(template):
+                child = exact_shape(F.try_element_at(m, F.lit(key)), template[key], F.concat(path, F.lit("." + key)))
+                parts.append(F.when(F.map_contains_key(m, key), child).otherwise(none))
+            return F.when(m.isNotNull(), F.concat(*parts)).otherwise(wrong)
+
+        return let(v.try_cast("map<string,variant>"), members)  # each object and list is opened once
     if isinstance(template, list):
         at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
         if template:
-            items = F.flatten(F.transform(v.try_cast("array<variant>"), lambda x, i: exact_shape(x, template[0], at(i))))
+            item = lambda x, i: exact_shape(x, template[0], at(i))
         else:
-            items = F.flatten(F.transform(v.try_cast("array<variant>"), lambda x, i: F.when(F.coalesce(_kind(x), F.lit("VOID")) == "STRING", none).otherwise(F.array(issue("schema_type", at(i))))))
-        return F.when(kind == "ARRAY", items).otherwise(F.array(issue("schema_type", path)))
-    return F.when(F.coalesce(kind, F.lit("VOID")).isin("STRING", "VOID"), none).otherwise(F.array(issue("schema_type", path)))
+            item = lambda x, i: F.when(F.coalesce(_kind(x), F.lit("VOID")) == "STRING", none).otherwise(F.array(issue("schema_type", at(i))))
+        return let(v.try_cast("array<variant>"), lambda a: F.when(a.isNotNull(), F.flatten(F.transform(a, item))).otherwise(wrong))
+    return F.when(F.coalesce(_kind(v), F.lit("VOID")).isin("STRING", "VOID"), none).otherwise(wrong)
 
 
 def shape_problems(rows: DataFrame, id_col: str, json_col: str, template: object, name: str = "gold_answer") -> DataFrame:
