@@ -104,11 +104,15 @@ def export_block(b: Column, bbox: Column | None = None) -> Column:
 def job_block(b: Column) -> Column:
     """A block struct of an annotation as it goes back into its job; unknown labels become text."""
     label = T.block_type(F.coalesce(T.filled(b["label"]), b["block_type"]))
-    kind = F.when(label.isin(*T.BLOCK_TYPES), label).otherwise("text")
-    return F.struct(
-        b["id"].alias("id"), F.coalesce(b["text"], F.lit("")).alias("text"), F.coalesce(b["bbox"], unit_box()).alias("bbox"), F.coalesce(b["page_id"], F.lit(0)).alias("page_id"),
-        kind.alias("block_type"), described(kind, b["description"]).alias("description"), T.stored_level(b["level"], kind).alias("level"),
-    )
+
+    def put(kind: Column) -> Column:
+        return F.struct(
+            b["id"].alias("id"), F.coalesce(b["text"], F.lit("")).alias("text"), F.coalesce(b["bbox"], unit_box()).alias("bbox"), F.coalesce(b["page_id"], F.lit(0)).alias("page_id"),
+            kind.alias("block_type"), described(kind, b["description"]).alias("description"), T.stored_level(b["level"], kind).alias("level"),
+        )
+
+    # In a list of blocks nothing finds common parts of expressions, so the label is made once here.
+    return G.let(label, lambda x: G.let(F.when(x.isin(*T.BLOCK_TYPES), x).otherwise("text"), put))
 
 
 def cli_block(b: Column, index: Column) -> Column:

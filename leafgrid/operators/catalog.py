@@ -366,7 +366,6 @@ def with_replaced_blocks(pages: DataFrame, corrections: DataFrame) -> tuple[Data
     new = newest.select("doc", "page_id", F.transform("blocks", job_block).alias("_new"))
     both = pages.join(new, ["doc", "page_id"], "left")
     replaced = both.select("doc", "page_id", F.coalesce("_new", "blocks").alias("blocks"), F.col("_new").isNotNull().alias("replaced"))
-    ordered = replaced.where("replaced").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_id", "blocks"))).alias("p"))
-    listed = pages.select("doc").distinct().join(ordered, "doc", "left")
+    listed = replaced.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("replaced"), F.struct("page_id", "blocks")))).alias("p"))
     none = F.slice(F.array(F.lit(None)), 1, 0)
     return replaced, listed.select("doc", F.coalesce(F.flatten(F.transform("p", lambda x: x["blocks"])), none).alias("blocks"))
