@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
+from leafgrid.functions.geometry import let
 
 
 def last_json_fence(c: Column) -> Column:
@@ -47,11 +48,10 @@ def model_object(c: Column) -> Column:
     """
     clean = F.trim(T.stripped(T.after_thinking(c)))
     plain = lambda x: F.regexp_replace(x, r"[\x00-\x1F]", " ")
-    candidates = F.array(T.stripped(last_json_fence(clean)), T.stripped(without_fence(clean)), last_object(clean))
     parsed = lambda x: F.coalesce(F.try_parse_json(x), F.try_parse_json(plain(x)))
-    valid = F.filter(candidates, lambda x: x.isNotNull() & (x != "") & parsed(x).isNotNull())
-    first = F.get(valid, F.lit(0))
-    return F.when(first.rlike(r"^\s*\{"), first)
+    valid = lambda x: F.when(x.isNotNull() & (x != "") & parsed(x).isNotNull(), x)
+    first = F.coalesce(valid(T.stripped(last_json_fence(clean))), valid(T.stripped(without_fence(clean))), valid(last_object(clean)))  # the fold runs where all else fails
+    return let(first, lambda x: F.when(x.rlike(r"^\s*\{"), x))
 
 
 def review_decision(c: Column) -> Column:

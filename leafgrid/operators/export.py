@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafgrid.functions import jsonx as J
 from leafgrid.functions import text as T
+from leafgrid.functions.geometry import let
 
 #: Default prompts of training samples.
 SYSTEM = "你是一个专业的文档版面分析模型。"
@@ -55,10 +56,10 @@ def samples(qa: DataFrame, style: str, images: DataFrame | None = None) -> DataF
         rows = rows.join(images.select("doc", "image").distinct(), ["doc", "image"], "left_semi")
     ref = image_ref(F.col("doc").cast("string"), F.col("page_id"), F.regexp_extract("image", r"(\.[^./]+)$", 1))
     answer = T.after_thinking(F.col("assistant"))
-    parsed = J.model_object(answer)
-    blocks = F.try_variant_get(F.try_parse_json(parsed), "$.blocks", "string")
-    named = F.try_variant_get(F.try_parse_json(parsed), "$.image_path", "string")  # an answer that names the image already stays as it is
-    rewritten = F.when(blocks.startswith("[") & ~named.eqNullSafe(ref), F.concat(F.lit('{"image_path":"'), ref, F.lit('","blocks":'), blocks, F.lit("}"))).otherwise(answer)
+    named = lambda v: F.try_variant_get(v, "$.image_path", "string").eqNullSafe(ref)  # noqa: E731 - an answer that names the image already stays as it is
+    blocks = lambda v: F.when(~named(v), F.try_variant_get(v, "$.blocks", "string"))
+    put = lambda a, b: F.when(b.startswith("["), F.concat(F.lit('{"image_path":"'), ref, F.lit('","blocks":'), b, F.lit("}"))).otherwise(a)
+    rewritten = let(answer, lambda a: let(F.try_parse_json(J.model_object(a)), lambda v: let(blocks(v), lambda b: put(a, b))))
     rows = rows.select("doc", "page_id", F.coalesce(T.filled(F.col("system")), F.lit(SYSTEM)).alias("system"), T.with_image_token(F.coalesce(T.filled(F.col("user")), F.lit(USER))).alias("user"), rewritten.alias("answer"), ref.alias("ref"))
     if style == "swift":
         message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
