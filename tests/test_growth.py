@@ -62,3 +62,31 @@ def test_outlines_keep_rows_without_page_or_titles(spark):
     seen = {(r["doc"], r["page_id"]): r["outline"] for r in got.collect()}
     assert sorted(seen, key=str) == sorted({(r[0], r[1]) for r in rows}, key=str)
     assert "H2 c" in seen[1, 2] and "H1 a" not in seen[1, 1] and "page 2: H2 c" in seen[1, 0] and "H1 e" not in seen[None, 1]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shape_checks_open_each_object_once(spark):
+    frame = catalog.REGISTRY.queries["f28_recursive_shape"](spark, SMALL)
+    assert "json_object_keys" not in _plan(frame)
+    assert _rows(frame) == _wanted("f28_recursive_shape", frame, events=f"{SMALL}/events.parquet")
+
+
+def test_plain_answers_are_parsed_without_the_fold(spark):
+    frame = catalog.REGISTRY.queries["r12_annotation_samples"](spark, SMALL)
+    assert _plan(frame).count("filter(array(") < 8  # 12 where all candidates, the fold over tokens among them, were made for each answer
+    assert _rows(frame) == _wanted("r12_annotation_samples", frame, lineitem=f"{SMALL}/lineitem.parquet")
+
+
+def test_replaced_blocks_read_each_side_once_a_result(spark):
+    frame = catalog.REGISTRY.queries["j11_r10_job_blocks"](spark, SMALL)
+    assert _plan(frame).count("parquet") == 4
+    assert _rows(frame) == _wanted("j11_r10_job_blocks", frame, lineitem=f"{SMALL}/lineitem.parquet")
+
+
+def test_heading_texts_are_not_shuffled(spark):
+    frame = catalog.REGISTRY.queries["j10_r9_refreshed_answers"](spark, SMALL)
+    assert "rid" not in _plan(frame)
+    assert _rows(frame) == _wanted("j10_r9_refreshed_answers", frame, lineitem=f"{SMALL}/lineitem.parquet")
