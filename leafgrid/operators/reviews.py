@@ -74,8 +74,11 @@ def apply_edits(units: DataFrame, edits: DataFrame, revision: str, now: str, iss
 
     folded = units.join(per, "unit_id").withColumn("_after", F.aggregate(F.array_sort("_edits", order), start, step))
     kept = [c for c in units.columns if c not in _CHANGED]
-    changed = folded.where("_after.saved").select(*kept, *[F.col(f"_after.{c}").alias(c) for c in _CHANGED]).select(units.columns)
-    outcomes = folded.select("unit_id", F.explode("_after.out").alias("o")).select("unit_id", "o.seq", "o.outcome")
+    # Found once, for units and outcomes; units that stay as they are leave their texts behind.
+    saved = F.col("_after.saved")
+    folded = checkpointed(folded.select("unit_id", *[F.when(saved, F.col(c)).alias(c) for c in kept if c != "unit_id"], F.when(saved, F.struct(*[F.col(f"_after.{c}").alias(c) for c in _CHANGED])).alias("_new"), F.col("_after.out").alias("_out")))
+    changed = folded.where("_new is not null").select(*kept, *[F.col(f"_new.{c}").alias(c) for c in _CHANGED]).select(units.columns)
+    outcomes = folded.select("unit_id", F.explode("_out").alias("o")).select("unit_id", "o.seq", "o.outcome")
     expects = F.coalesce(F.col("expected_revision"), F.lit(""))
     unknown = edits.join(units.select("unit_id"), "unit_id", "left_anti").select("unit_id", "seq", F.when((expects != "") & (expects != revision), "stale").otherwise("missing_unit").alias("outcome"))
     return changed, outcomes.unionByName(unknown)
@@ -106,7 +109,7 @@ class GoldStore:
             base = self.table.entry()
             old = self.table.read(base["version"], touched)
             changed, outcomes = apply_edits(old, edits, base["revision"], now, self.issues)
-            changed, outcomes = checkpointed(changed), checkpointed(outcomes)
+            outcomes = checkpointed(outcomes)
             if changed.isEmpty():
                 return base["version"], outcomes
             rows = old.join(changed.select("unit_id"), "unit_id", "left_anti").select(changed.columns).unionByName(changed)

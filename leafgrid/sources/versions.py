@@ -144,7 +144,7 @@ class VersionedTable:
         txn = uuid.uuid4().hex
         path = f"{self.folder}/data/{txn}"
         rows = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).withColumn("bucket", self.bucket())
-        rows.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(path)
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)  # a large bucket is several tasks' work, small ones are one task's
         written = {n.removeprefix("bucket=") for n in Folder(self.spark, path).names() if n.startswith("bucket=")}
         if strays := {int(b) for b in written} - set(touched):
             raise ValueError(f"rows of buckets that were not announced: {sorted(strays)[:5]}")

@@ -90,3 +90,16 @@ def test_heading_texts_are_not_shuffled(spark):
     frame = catalog.REGISTRY.queries["j10_r9_refreshed_answers"](spark, SMALL)
     assert "rid" not in _plan(frame)
     assert _rows(frame) == _wanted("j10_r9_refreshed_answers", frame, lineitem=f"{SMALL}/lineitem.parquet")
+
+
+def test_a_bucket_may_be_several_tasks_work(spark, tmp_path):
+    from leafgrid.sources.versions import VersionedTable
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k long, v string", ["k"], 2)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        table.upsert(spark.range(20_000).selectExpr("id as k", "sha2(cast(id as string), 256) as v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = table.read()
+    assert rows.count() == 20_000 and rows.select("k").distinct().count() == 20_000 and len(rows.inputFiles()) > 4
