@@ -15,6 +15,7 @@ from leafgrid.plans.headings import outline_sql
 from leafgrid.plans.registry import Registry
 from leafgrid.sources import readers as R
 from leafgrid.sources import views as V
+from leafgrid.sources.shared import checkpointed
 from leafgrid.sources.versions import VersionedTable
 from leafgrid.streaming import incremental as S
 
@@ -578,7 +579,7 @@ SELECT doc, ord, repaired FROM cl""")
 def t2(spark, d):
     """The heading clamp over pages that finish in any order: a page waits in the state until those before it have come."""
     folder = S.shared_folder(spark)
-    pages = S.page_rows(V.headings(spark, d))
+    pages = checkpointed(S.page_rows(V.headings(spark, d)))  # the four parts are written from it
     stream = _stream(spark, pages, folder, F.pmod(F.xxhash64("doc", "page_id"), F.lit(4)), 4)
     out = S.clamp_pages(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     out.awaitTermination()

@@ -107,20 +107,26 @@ class _InPageOrder(StatefulProcessor):
         self.at = handle.getValueState("at", "page int, last int")
         self.held = handle.getMapState("held", "page int", "ord array<int>, kind array<string>, level array<string>")
 
-    def _release(self, doc, page: int, last: int, skip: bool) -> Iterator[pd.DataFrame]:
+    def _release(self, doc, page: int, last: int, skip: bool, come: dict[int, tuple]) -> Iterator[pd.DataFrame]:
+        """``come`` has the pages of this call: only those that still wait for an earlier one go into the state."""
         out: list[tuple] = []
         while True:
-            if not self.held.containsKey((page,)):
+            held = self.held.containsKey((page,))
+            if page not in come and not held:
                 later = [k[0] for k in self.held.keys()] if skip else []
                 if not later:
                     break
                 page, skip = min(later), False
-            ords, kinds, levels = self.held.getValue((page,))
-            self.held.removeKey((page,))
+                held = True
+            ords, kinds, levels = come.pop(page) if page in come else self.held.getValue((page,))
+            if held:
+                self.held.removeKey((page,))
             for o, kind, level in zip(ords, kinds, levels, strict=True):
                 last, repaired = clamped(last, kind, level)
                 out.append((doc, o, repaired, False))
             page += 1
+        for no, items in come.items():
+            self.held.updateValue((no,), items)
         self.at.update((page, last))
         if out:
             yield pd.DataFrame(out, columns=["doc", "ord", "repaired", "late"])
@@ -128,13 +134,14 @@ class _InPageOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         page, last = self.at.get() if self.at.exists() else (0, 0)
         late: list[tuple] = []
+        come: dict[int, tuple] = {}
         for part in rows:
             for no, ords, kinds, levels in zip(part["page_no"], part["ords"], part["kinds"], part["levels"], strict=True):
                 if no < page:  # passed over or repeated: its titles are no part of the state any more
                     late += [(key[0], int(o), None, True) for o in ords]
                 else:
-                    self.held.updateValue((int(no),), ([int(o) for o in ords], list(kinds), list(levels)))
-        yield from self._release(key[0], page, last, False)
+                    come[int(no)] = ([int(o) for o in ords], list(kinds), list(levels))
+        yield from self._release(key[0], page, last, False, come)
         if late:
             yield pd.DataFrame(late, columns=["doc", "ord", "repaired", "late"])
         if self.patience is not None:
@@ -145,7 +152,7 @@ class _InPageOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         page, last = self.at.get()
-        yield from self._release(key[0], page, last, True)
+        yield from self._release(key[0], page, last, True, {})
         if any(True for _ in self.held.keys()):
             self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience)
 

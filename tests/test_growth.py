@@ -103,3 +103,34 @@ def test_a_bucket_may_be_several_tasks_work(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     rows = table.read()
     assert rows.count() == 20_000 and rows.select("k").distinct().count() == 20_000 and len(rows.inputFiles()) > 4
+
+
+def test_pages_in_order_leave_the_map_state_alone():
+    import pandas as pd
+
+    from leafgrid.streaming import incremental
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        exists, get = lambda self: self.v is not None, lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Held(dict):
+        wrote = 0
+        containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.__delitem__
+
+        def updateValue(self, k, v):
+            self.wrote += 1
+            self[k] = v
+
+    one = incremental._InPageOrder(None)
+    one.at, one.held = Value(), Held()
+    page = lambda *numbers: pd.DataFrame([(n, [n], ["paragraph_title"], ["H3"]) for n in numbers], columns=["page_no", "ords", "kinds", "levels"])
+    out = lambda *numbers: [tuple(r) for part in one.handleInputRows((1,), iter([page(*numbers)]), None) for r in part.itertuples(index=False)]
+    assert out(1, 0) == [(1, 0, "H1", False), (1, 1, "H2", False)] and one.held.wrote == 0
+    assert out(4, 3) == [] and one.held.wrote == 2
+    assert out(2, 3) == [(1, 2, "H3", False), (1, 3, "H3", False), (1, 4, "H3", False)] and not one.held
