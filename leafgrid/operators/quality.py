@@ -70,12 +70,8 @@ def _not_in(allowed: tuple[str, ...]):
     return lambda v: v.isNotNull() & ~v.isin(*allowed)
 
 
-def issues(units: DataFrame, sources: DataFrame | None = None, vocabularies: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(unit_id, severity, code, path). ``sources`` has source_markdown, sha256 and text of the files that exist; without it files are not tested.
-
-    ``vocabularies`` gives the allowed values of kind, role, action_type, object_type, limit_type, origin, consequence_type, reference_type.
-    """
-    units = units.withColumn("_e", T.normalized_span(F.col("input_text")))
+def answer_issues(vocabularies: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The issues of a unit's answer as an array, from the unit's columns and ``_e``, its normalised input_text."""
     grounded = lambda v: (F.coalesce(v, F.lit("")) == "") | F.contains(F.col("_e"), T.normalized_span(v))
     no = F.array().cast(f"array<{_ISSUE}>")
     put = lambda bad, code, path: F.when(F.coalesce(bad, F.lit(False)), F.array(_issue(code, path))).otherwise(no)
@@ -104,9 +100,11 @@ def issues(units: DataFrame, sources: DataFrame | None = None, vocabularies: dic
             allowed = vocabularies.get(name)
             if allowed:
                 parts.append(_per_rule(_each("controlled_value", family, field, _not_in(allowed), at, no)))
-    found = units.select("unit_id", F.explode(F.concat(*parts)).alias("i")).select("unit_id", F.lit("error").alias("severity"), "i.code", "i.path")
-    if sources is None:
-        return found
+    return F.concat(*parts)
+
+
+def source_issues(units: DataFrame, sources: DataFrame) -> DataFrame:
+    """The issue rows of units against the files they come from."""
     s = sources.select("source_markdown", F.col("sha256").alias("_h"), T.normalized_span(F.regexp_replace("text", r"(?m)^\s*(---|\d+)\s*$", "")).alias("_t"), F.lit(True).alias("_s"))
     both = units.join(s, "source_markdown", "left")
     have = F.coalesce(F.col("_s"), F.lit(False))
@@ -115,7 +113,20 @@ def issues(units: DataFrame, sources: DataFrame | None = None, vocabularies: dic
         _one(~have, "source_path", "source_markdown"), _one(have & ~F.col("_h").eqNullSafe(F.col("source_sha256")), "source_hash", "source_sha256"),
         _one(have & absent("source_text"), "source_text_grounding", "source_text"), _one(have & absent("document_name"), "document_name_grounding", "document_name"),
     )
-    return found.unionByName(both.select("unit_id", F.explode(tests).alias("i")).select("unit_id", F.lit("error").alias("severity"), "i.code", "i.path"))
+    return _rows(both, tests)
+
+
+def _rows(units: DataFrame, found: Column) -> DataFrame:
+    return units.select("unit_id", F.explode(found).alias("i")).select("unit_id", F.lit("error").alias("severity"), "i.code", "i.path")
+
+
+def issues(units: DataFrame, sources: DataFrame | None = None, vocabularies: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(unit_id, severity, code, path). ``sources`` has source_markdown, sha256 and text of the files that exist; without it files are not tested.
+
+    ``vocabularies`` gives the allowed values of kind, role, action_type, object_type, limit_type, origin, consequence_type, reference_type.
+    """
+    found = _rows(units.withColumn("_e", T.normalized_span(F.col("input_text"))), answer_issues(vocabularies))
+    return found if sources is None else found.unionByName(source_issues(units, sources))
 
 
 def _role(kind: Column) -> Column:

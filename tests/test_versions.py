@@ -223,3 +223,68 @@ def test_batches_without_a_saved_edit_make_no_version(spark, tmp_path):
     version, outcomes = s.save(edits(spark, edit(1, answer="bad"), edit(9)), "now")
     assert version == 0 and said(outcomes) == {(1, 1): "invalid", (9, 1): "missing_unit"}
     assert s.save(edits(spark), "now")[0] == 0
+
+
+def bytes_under(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_texts_are_written_once(spark, tmp_path):
+    """A store of units whose source and clause are their text is as large as the text, and commits don't write it again."""
+    texts = [random.Random(i).randbytes(4000).hex() for i in range(60)]
+    size = sum(len(t) for t in texts) / 2  # hexadecimal digits: half a byte each
+    units = [unit(i)[:4] + (t, t, "/s", "h", None, (f"d{i}", t, [])) + (None,) * 4 for i, t in enumerate(texts)]
+    s = store(spark, tmp_path, *units)
+    created = bytes_under(tmp_path / "gold")
+    given = [(i, 1, (f"d{i}", t, []), None, "human_reviewed", "me", "n", "") for i, t in enumerate(texts)]
+    _, outcomes = s.save(edits(spark, *given), "now")
+    assert set(said(outcomes).values()) == {"saved"} and len(said(outcomes)) == 60
+    assert created < 2.6 * size and bytes_under(tmp_path / "gold") - created < 0.5 * size  # uncompressed digits are 2 x size
+    after = {r["unit_id"]: (r["input_text"], r["source_text"], r["answer"]["clause"], r["review_status"]) for r in s.units().collect()}
+    assert after == {i: (t, t, t, "human_reviewed") for i, t in enumerate(texts)}
+
+
+def test_odd_units_stay_as_they_are(spark, tmp_path):
+    """Rows without an id, of one id, without texts or answers, and clauses that are not the unit's text; before and after a commit."""
+    some = [unit(1), unit(None), unit(None, status="in_progress"), unit(2, answer=None), unit(3, answer=("d3", None, None)), unit(4, answer=("d4", "other", [])), unit(5)[:4] + (None, None) + unit(5)[6:], unit(6)[:5] + (None,) + unit(6)[6:], unit(6)[:4] + ("b", "c") + unit(6)[6:], unit(7)]
+    s = store(spark, tmp_path, *some)
+    given = rows(spark.createDataFrame(some, W.UNIT))
+    assert rows(s.units()) == given
+    s.save(edits(spark, edit(7, status="in_progress"), edit(None), (6, 1, ("d6", "b", []), None, "in_progress", "me", "", "")), "now")
+    assert rows(s.units(0)) == given
+    same = lambda t: [r for r in t if r[0] not in (6, 7)]
+    assert same(rows(s.units())) == same(given) and len(rows(s.units())) == len(given)
+    assert sorted((r["input_text"], r["source_text"], r["answer"]["clause"]) for r in s.units().where("unit_id = 6").collect() if r["source_text"]) == [("b", "c", "b")]
+    assert {(r["answer"]["clause"], len(r["review_history"])) for r in s.units().where("unit_id = 6").collect()} == {("b", 1)}
+    s.table.vacuum(keep=1)
+    assert len(rows(s.units())) == len(given) and s.units().where("reviewed_by = 'me'").count() == 3
+
+
+def test_edits_that_cannot_be_saved_read_no_texts(spark, tmp_path, monkeypatch):
+    s, seen = store(spark, tmp_path, unit(1), unit(2)), []
+    apply = W.apply_edits
+    monkeypatch.setattr(W, "apply_edits", lambda units, *a: (seen.append([r["input_text"] for r in units.collect()]), apply(units, *a))[1])
+    version, outcomes = s.save(edits(spark, edit(1, expected="gone"), edit(1, 2, answer=None), edit(2, status="odd"), edit(9)), "now")
+    assert version == 0 and said(outcomes) == {(1, 1): "stale", (1, 2): "missing_answer", (2, 1): "invalid_status", (9, 1): "missing_unit"}
+    touched = s.created.read().where(s.table.bucket() == spark.createDataFrame([(9,)], "unit_id long").select(s.table.bucket()).first()[0]).count()
+    assert sum(t is not None for t in seen[0]) == touched  # the edit of the unknown unit is open, so its bucket is read whole
+
+
+def test_units_are_tested_against_their_files(spark, tmp_path):
+    files = spark.createDataFrame([("/s", "h", "d1 d2 text a")], "source_markdown string, sha256 string, text string")
+    s = W.GoldStore(spark, f"file://{tmp_path}/gold", sources=files, buckets=4)
+    s.create(spark.createDataFrame([unit(1), unit(2)[:6] + ("/gone",) + unit(2)[7:], unit(3)], W.UNIT))
+    _, outcomes = s.save(edits(spark, *[edit(i, answer="good") for i in (1, 2, 3)]), "now")
+    assert said(outcomes) == {(1, 1): "saved", (2, 1): "invalid", (3, 1): "invalid"}
+
+
+def test_a_failed_create_can_be_made_again(spark, tmp_path):
+    s = W.GoldStore(spark, f"file://{tmp_path}/gold", buckets=4)
+    put, s.table.log.put = s.table.log.put, lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        s.create(spark.createDataFrame([unit(1)], W.UNIT))
+    s.table.log.put = put
+    assert s.units().count() == 0 and s.create(spark.createDataFrame([unit(2)], W.UNIT)) == 0
+    assert [r["unit_id"] for r in s.units().collect()] == [2]
+    with pytest.raises(V.Conflict):
+        s.create(spark.createDataFrame([unit(3)], W.UNIT))
